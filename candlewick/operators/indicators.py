@@ -14,7 +14,9 @@ RSI_LABELS = ("OVERSOLD", "OVERBOUGHT", "NEUTRAL")
 
 
 def _bars(bars: DataFrame, *columns: str) -> DataFrame:
-    return bars.select(*S.KEYS, "ts", *[F.col(c).cast("double").alias(c) for c in columns])
+    """Key, time and the given columns as doubles; a NaN counts as missing."""
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c)
+    return bars.select(*S.KEYS, "ts", *[number(c) for c in columns])
 
 
 def _blocks(bars: DataFrame, halo: int, size: int) -> DataFrame:
@@ -29,9 +31,8 @@ def sma(
     bars: DataFrame, period: int, value: str = "close", name: str = "sma", size: int = S.BLOCK_ROWS
 ) -> DataFrame:
     """Simple moving average; NULL until ``period`` bars exist."""
-    mean = S.frame_average(value, period)
-    blocks = _blocks(_bars(bars, value), period - 1, max(size, period))
-    return _finish(blocks.withColumn(name, mean), value, name)
+    blocks = _blocks(_bars(bars, value), max(period, 1) - 1, max(size, period))
+    return _finish(S.with_averages(blocks, {name: (value, period)}), value, name)
 
 
 def ema(
@@ -124,10 +125,13 @@ def macd(
     return _finish(out, "close", "macd_line", "macd_signal", "macd_histogram")
 
 
-def _spike(period: int, multiplier: float) -> Column:
+def _with_spike(blocks: DataFrame, name: str, period: int, multiplier: float) -> DataFrame:
     """The current bar is part of the mean; false while the mean is not defined."""
-    level = S.frame_average("volume", period) * multiplier
-    return F.coalesce(F.col("volume") >= level, F.lit(False))
+    hit = F.col("volume") >= F.col("_volume_mean") * multiplier
+    return (
+        S.with_averages(blocks, {"_volume_mean": ("volume", period)})
+        .withColumn(name, F.coalesce(hit, F.lit(False))).drop("_volume_mean")
+    )
 
 
 def volume_spike(
@@ -138,15 +142,15 @@ def volume_spike(
 ) -> DataFrame:
     """Bars whose volume reaches ``multiplier`` times its moving average."""
     blocks = _blocks(_bars(bars, "volume"), period - 1, max(size, period))
-    return _finish(blocks.withColumn("is_spike", _spike(period, multiplier)), "volume", "is_spike")
+    return _finish(_with_spike(blocks, "is_spike", period, multiplier), "volume", "is_spike")
 
 
 def ma_name(kind: str, period: int) -> str:
     return f"{kind}_{period}"
 
 
-def _sma_columns(periods: Sequence[int]) -> dict[str, Column]:
-    return {ma_name("sma", p): S.frame_average("close", p) for p in periods}
+def _with_smas(blocks: DataFrame, periods: Sequence[int]) -> DataFrame:
+    return S.with_averages(blocks, {ma_name("sma", p): ("close", p) for p in periods})
 
 
 def _ema_decays(periods: Sequence[int]) -> list[S.Decay]:
@@ -164,7 +168,7 @@ def moving_averages(
     decays = _ema_decays(periods)
     size = S.block_size(decays, max(size, *periods))
     blocks = _blocks(_bars(bars, "close"), max(periods) - 1, size)
-    out = S.decayed_averages(blocks.withColumns(_sma_columns(periods)), decays, size=size)
+    out = S.decayed_averages(_with_smas(blocks, periods), decays, size=size)
     return _finish(out, "close", *ma_columns(periods))
 
 
@@ -178,11 +182,9 @@ def with_indicators(
         S.span("_slow", "close", C.MACD_SLOW),
         *_rsi_decays(C.RSI_PERIOD),
     ]
-    frame = _gains(blocks).withColumns(
-        {
-            **_sma_columns(periods),
-            "volume_spike": _spike(C.VOLUME_MA_PERIOD, C.VOLUME_SPIKE_MULTIPLIER),
-        }
+    frame = _with_spike(
+        _with_smas(_gains(blocks), periods), "volume_spike", C.VOLUME_MA_PERIOD,
+        C.VOLUME_SPIKE_MULTIPLIER,
     )
     out = S.decayed_averages(frame, decays, size=size)
     out = _with_macd(out, C.MACD_FAST, C.MACD_SLOW, C.MACD_SIGNAL, size)
@@ -193,10 +195,7 @@ def indicator_series(
     bars: DataFrame, periods: Sequence[int] = C.MA_PERIODS, size: int = S.BLOCK_ROWS
 ) -> DataFrame:
     """Every indicator on every bar of the full history."""
-    bars = bars.select(
-        *S.KEYS, "ts",
-        *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "volume")],
-    )
+    bars = _bars(bars, "open", "high", "low", "close", "volume")
     blocks = _blocks(bars, max(*periods, C.VOLUME_MA_PERIOD, 2) - 1, max(size, *periods))
     out = with_indicators(blocks, periods, size=max(size, *periods))
     return out.where(~F.col("halo")).drop("block", "j", "halo")

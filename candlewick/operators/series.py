@@ -95,7 +95,7 @@ def split_blocks(
 
 
 def whole_series(bars: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """One block per series, for series a lookback filter keeps short.
+    """One block per series, for series a lookback filter keeps short; adds ``length``.
 
     A year of daily bars is at most 366 rows, two years of weekly bars 105 and
     five years of monthly bars 60.
@@ -106,20 +106,41 @@ def whole_series(bars: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         .withColumn("rn", (F.row_number().over(order) - 1).cast("long"))
         .withColumn("j", F.col("rn"))
         .withColumn("halo", F.lit(False))
+        .withColumn("length", F.count(F.lit(1)).over(W.partitionBy(*keys, "block")))
     )
 
 
-def is_last(keys: Sequence[str] = KEYS) -> Column:
-    """True on the newest bar of a block."""
-    return F.lead("rn").over(block_window(keys)).isNull()
+def with_averages(
+    blocks: DataFrame, averages: dict[str, tuple[str, int]], keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """Adds means of the last ``period`` rows, NULL until that many values exist.
 
+    ``averages`` maps a column name to ``(value, period)``. Every mean is the
+    difference of two running sums of its block, so its cost does not grow with
+    the period.
+    """
+    for value, period in averages.values():
+        if period < 1:
+            raise ValueError(f"period must be >= 1, got {period} for {value}")
+    window = block_window(keys)
+    running = window.rowsBetween(W.unboundedPreceding, 0)
+    values = sorted({value for value, _ in averages.values()})
+    out = blocks.withColumns(
+        {f"_sum_{v}": F.sum(v).over(running) for v in values}
+        | {f"_count_{v}": F.count(v).over(running) for v in values}
+    )
 
-def frame_average(value: str, period: int, keys: Sequence[str] = KEYS) -> Column:
-    """Mean of the last ``period`` rows, NULL until that many exist."""
-    if period < 1:
-        raise ValueError(f"period must be >= 1, got {period}")
-    frame = block_window(keys).rowsBetween(1 - period, 0)
-    return F.when(F.count(value).over(frame) == period, F.avg(value).over(frame))
+    def inside(column: str, period: int) -> Column:
+        earlier = F.coalesce(F.lag(column, period).over(window), F.lit(0))
+        return F.col(column) - earlier
+
+    means = {
+        name: F.when(
+            inside(f"_count_{value}", period) == period, inside(f"_sum_{value}", period) / period
+        )
+        for name, (value, period) in averages.items()
+    }
+    return out.withColumns(means).drop(*[f"_{k}_{v}" for k in ("sum", "count") for v in values])
 
 
 @dataclass(frozen=True)

@@ -25,29 +25,29 @@ def signal_frame(bars: DataFrame) -> DataFrame:
     numbers = ("open", "high", "low", "close", "volume")
     bars = bars.select(*S.KEYS, "ts", *[F.col(c).cast("double").alias(c) for c in numbers])
     window = S.block_window()
-    year = window.rowsBetween(1 - C.RANGE_BARS, 0)
+    everything = W.partitionBy(*S.KEYS, "block")
+    in_range = F.when(F.col("rn") >= F.col("length") - C.RANGE_BARS, F.col("close"))
     frame = I.with_indicators(S.whole_series(bars)).withColumns(
         {
             "close_before_5": F.lag("close", 5).over(window),
             "close_before": F.lag("close", 1).over(window),
-            "high_52w": F.max("close").over(year),
-            "low_52w": F.min("close").over(year),
+            "high_52w": F.max(in_range).over(everything),
+            "low_52w": F.min(in_range).over(everything),
             "_anchor": F.coalesce(
                 F.lag("close", C.TREND_BARS - 1).over(window),
                 F.first("close").over(window.rowsBetween(W.unboundedPreceding, 0)),
             ),
-            "_last": S.is_last(),
         }
     )
     return (
-        frame.where("_last")
-        .withColumn("bars_seen", F.col("rn") + 1)
+        frame.where(F.col("rn") == F.col("length") - 1)
+        .withColumn("bars_seen", F.col("length"))
         .withColumn("trend", F.when(F.col("close") > F.col("_anchor"), "UPTREND")
                     .otherwise("DOWNTREND"))
         .withColumn("rsi_signal", I.rsi_label(F.col("rsi")))
         .withColumn("macd_bullish", F.coalesce(F.col("macd_histogram") > 0, F.lit(False)))
         .withColumn("price", F.col("close"))
-        .drop("_anchor", "_last", "block", "rn", "j", "halo")
+        .drop("_anchor", "block", "rn", "j", "halo", "length")
     )
 
 

@@ -397,6 +397,7 @@ cte("fired", """SELECT a.id, a.chat_id, a.ticker, a.alert_type, a.threshold, p.p
 # ================= queries =================
 
 _OHLCV = "open, high, low, close, volume"
+oracle("daily_bars", "SELECT * FROM bars")
 oracle("bar_scan", f"""SELECT ticker, ts, timeframe, {_OHLCV} FROM bars
  WHERE ts > (SELECT max(ts) FROM bars) - INTERVAL 6 MONTH""")
 oracle("last_bar", """SELECT * FROM bars

@@ -72,29 +72,56 @@ def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
+SERIES = (
+    "ticker STRING, exchange STRING, ts TIMESTAMP, timeframe STRING, open DOUBLE, high DOUBLE, "
+    "low DOUBLE, close DOUBLE, volume BIGINT"
+)
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """The bar table of a folder, written once per application.
+
+    Bars are a stored table: trades are folded into bars once, and every query
+    then reads the few columns and partitions it needs, as often as it has to.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _stored:
+        path = f"{shared_folder(spark)}/bars-{uuid.uuid4().hex}"
+        sinks.write_series(M.daily_bars(spark, sf), path)
+        _stored[key] = path
+    return sinks.read_bars(spark, _stored[key], SERIES)
+
+
 def market(spark: SparkSession, sf: str) -> R.Market:
     return R.Market(
-        bars=M.daily_bars(spark, sf), quotes=M.quotes(spark, sf), articles=M.articles(spark, sf),
+        bars=stored_bars(spark, sf), quotes=M.quotes(spark, sf), articles=M.articles(spark, sf),
         facts=M.company_facts(spark, sf), statements=M.income_statements(spark, sf),
         calendar=M.earnings_calendar(spark, sf), filings=M.insider_raw(spark, sf),
     )
 
 
 def all_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    return M.daily_bars(spark, sf).select("ticker").distinct()
+    return stored_bars(spark, sf).select("ticker").distinct()
 
 
 # ---- scans, stored-table lookups ----
 
 
+@query
+def daily_bars(spark, sf):
+    """Bars straight from the trades, without the stored table."""
+    return M.daily_bars(spark, sf)
+
+
 @query
 def bar_scan(spark, sf):
-    return P.bar_scan(M.daily_bars(spark, sf), "6mo").drop("exchange")
+    return P.bar_scan(stored_bars(spark, sf), "6mo").drop("exchange")
 
 
 @query
 def last_bar(spark, sf):
-    return P.last_bar(M.daily_bars(spark, sf))
+    return P.last_bar(stored_bars(spark, sf))
 
 
 @query
@@ -109,17 +136,17 @@ def latest_quote(spark, sf):
 
 @query
 def quote_or_close(spark, sf):
-    return P.quote_or_close(all_symbols(spark, sf), M.quotes(spark, sf), M.daily_bars(spark, sf))
+    return P.quote_or_close(all_symbols(spark, sf), M.quotes(spark, sf), stored_bars(spark, sf))
 
 
 @query
 def price_query(spark, sf):
-    return ST.price_query(M.daily_bars(spark, sf), "aapl", "1997-01-01", "1999-12-31", 100)
+    return ST.price_query(stored_bars(spark, sf), "aapl", "1997-01-01", "1999-12-31", 100)
 
 
 @query
 def gap_history(spark, sf):
-    gaps, _ = AR.arbitrage_gap(M.daily_bars(spark, sf), M.fx_rates(spark, sf))
+    gaps, _ = AR.arbitrage_gap(stored_bars(spark, sf), M.fx_rates(spark, sf))
     return ST.gap_history(gaps, "teva", 5.0)
 
 
@@ -136,7 +163,7 @@ def sentiment_history(spark, sf):
 
 @query
 def volume_top_decile(spark, sf):
-    return rounded(ST.volume_top_decile(M.daily_bars(spark, sf)), 6, "threshold")
+    return rounded(ST.volume_top_decile(stored_bars(spark, sf)), 6, "threshold")
 
 
 @query
@@ -145,7 +172,7 @@ def table_counts(spark, sf):
         return df.agg(F.count(F.lit(1)).alias("row_count")).withColumn("table_name", F.lit(name))
 
     return (
-        counted("bars", M.daily_bars(spark, sf))
+        counted("bars", stored_bars(spark, sf))
         .unionByName(counted("user_alerts", M.user_alerts(spark, sf)))
         .unionByName(counted("insider_raw", M.insider_raw(spark, sf)))
         .unionByName(counted("articles", M.articles(spark, sf)))
@@ -160,7 +187,7 @@ def fresh_lookup(spark, sf):
 @query
 def bar_upsert(spark, sf):
     """Daily bars as stored; the batch holds revised and new bars, several per key."""
-    stored = M.daily_bars(spark, sf)
+    stored = stored_bars(spark, sf)
     order = F.pmod("o_orderkey", F.lit(2))
     batch = M.landed(spark, sf, "orders").select(
         M.symbol("o_custkey").alias("ticker"),
@@ -179,48 +206,48 @@ def bar_upsert(spark, sf):
 
 @query
 def sma(spark, sf):
-    return rounded(I.sma(M.daily_bars(spark, sf), 20, name="sma_20"), 3, "sma_20")
+    return rounded(I.sma(stored_bars(spark, sf), 20, name="sma_20"), 3, "sma_20")
 
 
 @query
 def ema(spark, sf):
-    return rounded(I.ema(M.daily_bars(spark, sf), 20, name="ema_20"), 3, "ema_20")
+    return rounded(I.ema(stored_bars(spark, sf), 20, name="ema_20"), 3, "ema_20")
 
 
 @query
 def rsi(spark, sf):
-    return rounded(I.rsi(M.daily_bars(spark, sf)), 6, "rsi")
+    return rounded(I.rsi(stored_bars(spark, sf)), 6, "rsi")
 
 
 @query
 def rsi_bands(spark, sf):
-    return rounded(SG.rsi_bands(I.rsi(M.daily_bars(spark, sf))), 6, "rsi")
+    return rounded(SG.rsi_bands(I.rsi(stored_bars(spark, sf))), 6, "rsi")
 
 
 @query
 def macd(spark, sf):
-    return rounded(I.macd(M.daily_bars(spark, sf)), 3, "macd_line", "macd_signal", "macd_histogram")
+    return rounded(I.macd(stored_bars(spark, sf)), 3, "macd_line", "macd_signal", "macd_histogram")
 
 
 @query
 def volume_spike(spark, sf):
-    return I.volume_spike(M.daily_bars(spark, sf))
+    return I.volume_spike(stored_bars(spark, sf))
 
 
 @query
 def moving_averages(spark, sf):
-    return rounded(I.moving_averages(M.daily_bars(spark, sf)), 3, *I.ma_columns())
+    return rounded(I.moving_averages(stored_bars(spark, sf)), 3, *I.ma_columns())
 
 
 @query
 def rolling_range(spark, sf):
-    return L.rolling_range(M.daily_bars(spark, sf))
+    return L.rolling_range(stored_bars(spark, sf))
 
 
 @query
 def chart_series(spark, sf):
     """Bars, selected averages, RSI, direction flag and the level lines of the newest range."""
-    bars = M.daily_bars(spark, sf)
+    bars = stored_bars(spark, sf)
     levels = L.fibonacci_levels(bars).select(*KEYS, *[L.column_name(n) for n, _ in C.RETRACEMENTS[1:-1]])
     series = I.indicator_series(bars, (50, 200)).select(
         *KEYS, "ts", "open", "high", "low", "close", "volume", "sma_50", "sma_200", "ema_50",
@@ -237,7 +264,7 @@ _MAS = I.ma_columns()
 
 @query
 def signal_snapshot(spark, sf):
-    out = SG.signal_snapshot(M.daily_bars(spark, sf)).select(
+    out = SG.signal_snapshot(stored_bars(spark, sf)).select(
         *KEYS, "ts", "price", "rsi", "rsi_signal", "macd_line", "macd_signal", "macd_histogram",
         "macd_bullish", "volume_spike", *_MAS,
     )
@@ -246,34 +273,34 @@ def signal_snapshot(spark, sf):
 
 @query
 def live_override(spark, sf):
-    signals = SG.signal_snapshot(M.daily_bars(spark, sf)).select("ticker", "price", "rsi", "close")
+    signals = SG.signal_snapshot(stored_bars(spark, sf)).select("ticker", "price", "rsi", "close")
     return rounded(P.live_override(signals, M.quotes(spark, sf)), 6, "rsi")
 
 
 @query
 def momentum_score(spark, sf):
-    signals = SG.signal_snapshot(M.daily_bars(spark, sf))
+    signals = SG.signal_snapshot(stored_bars(spark, sf))
     return SG.with_momentum(signals).select("ticker", "momentum", "momentum_label", *SG.PART_NAMES)
 
 
 @query
 def ma_relation(spark, sf):
-    return rounded(SG.ma_relation(SG.signal_snapshot(M.daily_bars(spark, sf))), 3, "value")
+    return rounded(SG.ma_relation(SG.signal_snapshot(stored_bars(spark, sf))), 3, "value")
 
 
 @query
 def watch_rules(spark, sf):
-    return rounded(SG.watch_rules(SG.signal_snapshot(M.daily_bars(spark, sf))), 6, "value")
+    return rounded(SG.watch_rules(SG.signal_snapshot(stored_bars(spark, sf))), 6, "value")
 
 
 @query
 def multi_timeframe(spark, sf):
-    return rounded(SG.multi_timeframe(M.daily_bars(spark, sf)), 6, "rsi")
+    return rounded(SG.multi_timeframe(stored_bars(spark, sf)), 6, "rsi")
 
 
 @query
 def resample_bars(spark, sf):
-    bars = M.daily_bars(spark, sf)
+    bars = stored_bars(spark, sf)
     return RS.resample(bars, "1wk").unionByName(RS.resample(bars, "1mo"))
 
 
@@ -284,18 +311,18 @@ def tick_bars(spark, sf):
 
 @query
 def bar_change(spark, sf):
-    bars = M.daily_bars(spark, sf).select(*KEYS, "ts", "open", "close")
+    bars = stored_bars(spark, sf).select(*KEYS, "ts", "open", "close")
     return rounded(P.bar_change(bars), 6, "pct")
 
 
 @query
 def day_change(spark, sf):
-    return rounded(P.day_change(M.daily_bars(spark, sf), M.quotes(spark, sf)), 6, "pct")
+    return rounded(P.day_change(stored_bars(spark, sf), M.quotes(spark, sf)), 6, "pct")
 
 
 @query
 def key_metrics(spark, sf):
-    out = P.key_metrics(P.bar_scan(M.daily_bars(spark, sf), "1y"))
+    out = P.key_metrics(P.bar_scan(stored_bars(spark, sf), "1y"))
     return rounded(out, 6, "change", "change_pct")
 
 
@@ -309,12 +336,12 @@ def listing_attrs(spark, sf):
 
 @query
 def range_52w(spark, sf):
-    return L.price_range(M.daily_bars(spark, sf)).drop("trend")
+    return L.price_range(stored_bars(spark, sf)).drop("trend")
 
 
 @query
 def trend(spark, sf):
-    return L.price_range(M.daily_bars(spark, sf)).select(*KEYS, "current_price", "trend")
+    return L.price_range(stored_bars(spark, sf)).select(*KEYS, "current_price", "trend")
 
 
 _LEVELS = [L.column_name(n) for n, _ in C.RETRACEMENTS]
@@ -323,20 +350,20 @@ _EXTENSIONS = [L.column_name(n, "ext") for n, _ in C.EXTENSIONS]
 
 @query
 def fibonacci_levels(spark, sf):
-    out = L.fibonacci_levels(M.daily_bars(spark, sf))
+    out = L.fibonacci_levels(stored_bars(spark, sf))
     return rounded(out, 6, "position_pct").drop("nearest_support", "nearest_resistance")
 
 
 @query
 def support_resistance(spark, sf):
-    return L.fibonacci_levels(M.daily_bars(spark, sf)).select(
+    return L.fibonacci_levels(stored_bars(spark, sf)).select(
         *KEYS, "current_price", "nearest_support", "nearest_resistance"
     )
 
 
 @query
 def fib_markers(spark, sf):
-    return L.fibonacci_rows(M.daily_bars(spark, sf))
+    return L.fibonacci_rows(stored_bars(spark, sf))
 
 
 # ---- listings and gaps ----
@@ -354,7 +381,7 @@ def competitors(spark, sf):
 
 @query
 def arbitrage_gap(spark, sf):
-    gaps, _ = AR.arbitrage_gap(M.daily_bars(spark, sf), M.fx_rates(spark, sf))
+    gaps, _ = AR.arbitrage_gap(stored_bars(spark, sf), M.fx_rates(spark, sf))
     return gaps
 
 
@@ -535,7 +562,7 @@ def insider_insert_new(spark, sf):
 
 
 def _prices(spark: SparkSession, sf: str) -> DataFrame:
-    return P.last_two_closes(M.daily_bars(spark, sf)).select("ticker", F.col("last_close").alias("price"))
+    return P.last_two_closes(stored_bars(spark, sf)).select("ticker", F.col("last_close").alias("price"))
 
 
 @query
@@ -616,7 +643,7 @@ def time_to_open(spark, sf):
 
 @query
 def market_snapshot(spark, sf):
-    out = R.market_snapshot(M.quotes(spark, sf), M.daily_bars(spark, sf))
+    out = R.market_snapshot(M.quotes(spark, sf), stored_bars(spark, sf))
     return rounded(out, 6, "pct")
 
 
@@ -627,17 +654,17 @@ def market_groups(spark, sf):
 
 @query
 def sector_rotation(spark, sf):
-    return R.sector_rotation(M.quotes(spark, sf), M.daily_bars(spark, sf))
+    return R.sector_rotation(M.quotes(spark, sf), stored_bars(spark, sf))
 
 
 @query
 def sector_breadth(spark, sf):
-    return R.sector_breadth(M.quotes(spark, sf), M.daily_bars(spark, sf))
+    return R.sector_breadth(M.quotes(spark, sf), stored_bars(spark, sf))
 
 
 @query
 def vix_mood(spark, sf):
-    return R.vix_mood(M.daily_bars(spark, sf))
+    return R.vix_mood(stored_bars(spark, sf))
 
 
 @query
@@ -726,7 +753,7 @@ def stream_signals(spark, sf):
     """Daily bars of the event stream, merged into a bar table; newest signals of each batch."""
     folder = f"{shared_folder(spark)}/signals-{uuid.uuid4().hex}"
     table, out = f"{folder}/table", f"{folder}/signals"
-    sinks.write_bars(M.daily_bars(spark, sf), table)
+    sinks.write_bars(stored_bars(spark, sf), table)
     ticks = _event_stream(spark, sf)
     bars = jobs.daily_bars(ticks.select("ticker", "ts", *[F.col("price").alias(n) for n in
                            ("open", "high", "low", "close")], F.col("size").alias("volume")))

@@ -33,19 +33,39 @@ def exchange_of(ticker: Column) -> Column:
     return F.when(F.endswith(F.upper(ticker), F.lit(".TA")), "TASE").otherwise("NYSE")
 
 
+def trades(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines as trades at their unit price.
+
+    ``seq`` orders them; it packs order, line, amount in cents and quantity into one
+    number, because lines of an order may repeat and a number, unlike a struct, can be the
+    buffer of a hash aggregation.
+    """
+    whole = lambda column, digits: column.cast(f"decimal({digits},0)")
+    line = whole(F.col("l_orderkey") * 8 + F.col("l_linenumber"), 20)
+    cents = whole(F.round(F.col("l_extendedprice") * 100), 10)
+    seq = (line * whole(F.lit(10**9), 10) + cents) * whole(F.lit(100), 3) + whole(
+        F.col("l_quantity"), 2
+    )
+    return landed(spark, folder, "lineitem").select(
+        symbol("l_partkey").alias("ticker"),
+        F.col("l_shipdate").alias("ts"),
+        seq.alias("seq"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        F.col("l_quantity").alias("size"),
+    )
+
+
 def daily_bars(spark: SparkSession, folder: str) -> DataFrame:
-    """One bar per ticker and ship date; a trade is an order line at its unit price."""
-    price = F.col("l_extendedprice") / F.col("l_quantity")
-    order = F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+    """One bar per ticker and day; map tasks already fold their trades to one row each."""
     return (
-        landed(spark, folder, "lineitem")
-        .groupBy(symbol("l_partkey").alias("ticker"), F.col("l_shipdate").alias("ts"))
+        trades(spark, folder)
+        .groupBy("ticker", "ts")
         .agg(
-            F.min_by(price, order).alias("open"),
-            F.max(price).alias("high"),
-            F.min(price).alias("low"),
-            F.max_by(price, order).alias("close"),
-            F.sum("l_quantity").cast("bigint").alias("volume"),
+            F.min_by("price", "seq").alias("open"),
+            F.max("price").alias("high"),
+            F.min("price").alias("low"),
+            F.max_by("price", "seq").alias("close"),
+            F.sum("size").cast("bigint").alias("volume"),
         )
         .select(
             "ticker",

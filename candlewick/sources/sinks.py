@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.sources.schemas import BARS, MARKET_TABLES
@@ -50,40 +50,56 @@ def to_table_schema(rows: DataFrame, table: str, *keep: str) -> DataFrame:
     )
 
 
-def write_bars(bars: DataFrame, path: str, mode: str = "append") -> None:
-    """Bars by bar size and month, sorted by ticker and time for row-group skipping."""
-    month = F.date_format("ts", "yyyy-MM")
+LAYOUT = ["timeframe", "part"]
+
+
+def part_of(ts: str = "ts", timeframe: str = "timeframe") -> Column:
+    """Folder of a bar within its bar size: a month of intraday bars, a year of others."""
+    intraday = F.col(timeframe).isin("1m", "5m")
+    return F.when(intraday, F.date_format(ts, "yyyy-MM")).otherwise(F.date_format(ts, "yyyy"))
+
+
+def write_series(bars: DataFrame, path: str, mode: str = "append") -> None:
+    """Bars as they are, by bar size and period, sorted for row-group skipping.
+
+    Range partitioning cuts by rows, so a ticker or period that holds most
+    bars is spread over many tasks.
+    """
+    order = [*LAYOUT, "ticker", "ts"]
     (
-        to_table_schema(bars, "bars")
-        .withColumn("month", month)
-        .repartitionByRange("timeframe", "month", "ticker", "ts")
-        .sortWithinPartitions("timeframe", "month", "ticker", "ts")
+        bars.withColumn("part", part_of())
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("timeframe", "month")
+        .partitionBy(*LAYOUT)
         .parquet(path)
     )
 
 
-def read_bars(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(f"{BARS}, month STRING").parquet(path)
+def write_bars(bars: DataFrame, path: str, mode: str = "append") -> None:
+    """Bars in the types of the bar table."""
+    write_series(to_table_schema(bars, "bars"), path, mode)
+
+
+def read_bars(spark: SparkSession, path: str, columns: str = BARS) -> DataFrame:
+    return spark.read.schema(f"{columns}, part STRING").parquet(path).drop("part")
 
 
 def upsert_bars(spark: SparkSession, batch: DataFrame, path: str, version: str, order: str) -> None:
-    """Merge a batch into the months it touches and replace just those partitions.
+    """Merge a batch into the folders it touches and replace just those.
 
     The merged rows go to a staging folder next to the table first, because a
     plan cannot read partitions it overwrites. One writer at a time; ``version``
     names the staging folder, so that a repeated run rewrites the same one.
     """
-    batch = to_table_schema(batch, "bars", order).withColumn(
-        "month", F.date_format("ts", "yyyy-MM")
-    )
-    touched = batch.select("timeframe", "month").distinct()
-    stored = read_bars(spark, path).join(touched, ["timeframe", "month"], "left_semi")
+    batch = to_table_schema(batch, "bars", order)
+    touched = batch.select("timeframe", part_of().alias("part")).distinct()
+    stored = read_bars(spark, path).withColumn("part", part_of())
+    stored = stored.join(touched, LAYOUT, "left_semi").drop("part")
     staging = f"{path.rstrip('/')}_staging/{version}"
     merge_bars(stored, batch, order).write.mode("overwrite").parquet(staging)
-    write_bars(spark.read.parquet(staging), path, "overwrite")
+    write_bars(spark.read.schema(BARS).parquet(staging), path, "overwrite")
 
 
 def append_rows(rows: DataFrame, table: str, path: str) -> None:
