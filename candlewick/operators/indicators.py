@@ -200,19 +200,3 @@ def indicator_series(
     out = with_indicators(blocks, periods, size=max(size, *periods))
     return out.where(~F.col("halo")).drop("block", "j", "halo")
 
-
-def ema_by_group(bars: DataFrame, period: int) -> DataFrame:
-    """The same average with one pandas call per series, for series a worker can hold.
-
-    Opt-in: faster on short series, but a whole series passes through one worker.
-    """
-    S.span("ema", "close", period)
-
-    def average(rows):
-        rows = rows.sort_values("ts")
-        rows["ema"] = rows["close"].ewm(span=period, adjust=False, min_periods=period).mean()
-        return rows
-
-    series = _bars(bars, "close")
-    schema = series.schema.add("ema", "double")
-    return series.groupBy(*S.KEYS).applyInPandas(average, schema)

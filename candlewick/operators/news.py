@@ -94,7 +94,11 @@ def tier_fallback(articles: DataFrame) -> DataFrame:
 
 
 def title_dedup(articles: DataFrame) -> DataFrame:
-    """First article of every title per ticker; empty titles are dropped."""
+    """First article of every title per ticker; empty titles are dropped.
+
+    All columns travel with the title, so select (or score) first and leave
+    long texts behind.
+    """
     return _first_per(articles.where(F.col("title") != ""), ["ticker", "title"], F.col("pos"))
 
 
@@ -212,6 +216,18 @@ def top_headlines(articles: DataFrame, k: int = C.TOP_HEADLINES) -> DataFrame:
     )
 
 
+def report_articles(articles: DataFrame) -> DataFrame:
+    """De-duplicated articles with what headline lists show; snippets are already cut to size."""
+    shown = F.substring("snippet", 1, C.HEADLINE_SNIPPET_CHARS)
+    return with_published(
+        title_dedup(
+            articles.select(
+                "ticker", "title", "pos", shown.alias("snippet"), "url", "source", "published_raw"
+            )
+        )
+    )
+
+
 def first_headlines(articles: DataFrame, k: int = C.TOP_HEADLINES) -> DataFrame:
     """First ``k`` titles per ticker in arrival order."""
     rank = F.row_number().over(W.partitionBy("ticker").orderBy("pos"))
@@ -248,7 +264,10 @@ def sentiment_report(
     Articles are first folded per ticker and host, then per ticker, so that
     distinct hosts need no set per group. Tickers without articles score 0.
     """
-    scored = with_score(title_dedup(tier_fallback(articles)), positive, negative)
+    scored = title_dedup(
+        with_score(tier_fallback(articles), positive, negative)
+        .select("ticker", "title", "pos", "url", "score")
+    )
     count_if = lambda c: F.sum(c.cast("bigint"))
     per_host = scored.groupBy("ticker", text.host(F.col("url")).alias("_host")).agg(
         F.sum("score").alias("_score"), F.count(F.lit(1)).alias("_n"),
@@ -287,7 +306,10 @@ def sentiment_records(
     negative: Sequence[str] = C.NEGATIVE_WORDS,
 ) -> DataFrame:
     """One stored record per ticker and publication hour."""
-    scored = with_score(title_dedup(articles), positive, negative)
+    scored = title_dedup(
+        with_score(articles, positive, negative)
+        .select("ticker", "title", "pos", "published_at", "score")
+    )
     return scored.where(F.col("published_at").isNotNull()).groupBy(
         "ticker", F.date_trunc("hour", "published_at").alias("ts")
     ).agg(

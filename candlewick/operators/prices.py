@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from candlewick import constants as C
+from candlewick.operators.resample import tick_order
 from candlewick.operators.series import KEYS
 
 FLAT_BAND = 0.005
@@ -44,12 +45,15 @@ def last_bars(bars: DataFrame, n: int = 10) -> DataFrame:
 
 def latest_quote(quotes: DataFrame) -> DataFrame:
     """Newest quote with a price per ticker."""
-    row = F.max_by(
-        F.struct("ts", "last_price", "prev_close"), F.struct("ts", "event_id")
-    ).alias("_row")
     return (
         quotes.where(F.col("last_price").isNotNull())
-        .groupBy("ticker").agg(row).select("ticker", "_row.*")
+        .withColumn("_order", tick_order())
+        .groupBy("ticker")
+        .agg(
+            F.max("ts").alias("ts"),
+            F.max_by("last_price", "_order").alias("last_price"),
+            F.max_by("prev_close", "_order").alias("prev_close"),
+        )
     )
 
 
@@ -141,12 +145,12 @@ def key_metrics(bars: DataFrame) -> DataFrame:
 def fresh_lookup(values: DataFrame, key: str, as_of: Column, ttl: int) -> DataFrame:
     """Newest value per key, if it is at most ``ttl`` seconds old."""
     fields = [c for c in values.columns if c != key]
-    order = F.struct("ts", *[c for c in ("event_id",) if c in fields])
     age = F.unix_seconds(as_of) - F.unix_seconds("ts")
+    # Rows too old to count are left out by the scan; the newest of the rest is the newest of all.
+    recent = values.where((F.col("ts") <= as_of) & (age <= ttl))
     return (
-        values.where(F.col("ts") <= as_of)
-        .groupBy(key).agg(F.max_by(F.struct(*fields), order).alias("_row"))
-        .select(key, "_row.*").where(age <= ttl)
+        recent.withColumn("_order", tick_order()).groupBy(key)
+        .agg(*[F.max_by(c, "_order").alias(c) for c in fields])
     )
 
 

@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNITS = {"1m": "minute", "1d": "day", "1wk": "week", "1mo": "month"}
 
 
+def tick_order(ts: str = "ts", event_id: str = "event_id") -> Column:
+    """Time, then event id, as one number.
+
+    A number can be the buffer of a hash aggregation; a struct would force sorting.
+    """
+    micros = F.unix_micros(ts).cast("decimal(18,0)")
+    return micros * F.lit(Decimal(10) ** 19) + F.col(event_id).cast("decimal(19,0)")
+
+
 def bars_from_ticks(ticks: DataFrame, timeframe: str = "1m") -> DataFrame:
     """OHLCV bars; ticks of one instant are ordered by event id."""
-    order = F.struct("ts", "event_id")
     return (
-        ticks.groupBy("ticker", F.date_trunc(UNITS[timeframe], "ts").alias("bar_ts"))
+        ticks.withColumn("_order", tick_order())
+        .groupBy("ticker", F.date_trunc(UNITS[timeframe], "ts").alias("bar_ts"))
         .agg(
-            F.min_by("price", order).alias("open"),
+            F.min_by("price", "_order").alias("open"),
             F.max("price").alias("high"),
             F.min("price").alias("low"),
-            F.max_by("price", order).alias("close"),
+            F.max_by("price", "_order").alias("close"),
             F.sum("size").alias("volume"),
         )
         .select(

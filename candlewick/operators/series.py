@@ -36,6 +36,13 @@ NEGLIGIBLE_IN_RATIO = 1e-300
 _MAX_GROWTH = 1e280
 
 
+_SO_FAR = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+
+
+def _over(keys: Sequence[str]) -> str:
+    return f"PARTITION BY {', '.join(keys)}, block ORDER BY rn"
+
+
 def block_window(keys: Sequence[str] = KEYS):
     return W.partitionBy(*keys, "block").orderBy("rn")
 
@@ -122,25 +129,21 @@ def with_averages(
     for value, period in averages.values():
         if period < 1:
             raise ValueError(f"period must be >= 1, got {period} for {value}")
-    window = block_window(keys)
-    running = window.rowsBetween(W.unboundedPreceding, 0)
+    window = _over(keys)
     values = sorted({value for value, _ in averages.values()})
-    out = blocks.withColumns(
-        {f"_sum_{v}": F.sum(v).over(running) for v in values}
-        | {f"_count_{v}": F.count(v).over(running) for v in values}
-    )
+    running = [
+        f"{fn}({v}) OVER ({window} {_SO_FAR}) AS _{fn}_{v}" for v in values for fn in ("sum", "count")
+    ]
 
-    def inside(column: str, period: int) -> Column:
-        earlier = F.coalesce(F.lag(column, period).over(window), F.lit(0))
-        return F.col(column) - earlier
+    def inside(column: str, period: int) -> str:
+        return f"({column} - coalesce(lag({column}, {period}) OVER ({window}), 0))"
 
-    means = {
-        name: F.when(
-            inside(f"_count_{value}", period) == period, inside(f"_sum_{value}", period) / period
-        )
+    means = [
+        f"CASE WHEN {inside(f'_count_{value}', period)} = {period}"
+        f" THEN {inside(f'_sum_{value}', period)} / {period} END AS {name}"
         for name, (value, period) in averages.items()
-    }
-    return out.withColumns(means).drop(*[f"_{k}_{v}" for k in ("sum", "count") for v in values])
+    ]
+    return blocks.selectExpr("*", *running).selectExpr(*blocks.columns, *means)
 
 
 @dataclass(frozen=True)
@@ -187,11 +190,10 @@ def block_size(decays: Sequence[Decay], size: int = BLOCK_ROWS) -> int:
     return min(size, int(math.log(_MAX_GROWTH) / -math.log(min(betas))))
 
 
-def _share(decay: Decay) -> Column:
+def _share(decay: Decay) -> str:
     """Weighted input of one row; repeated and not yet started rows add nothing."""
-    weight = F.when(F.col("rn") == decay.start, F.lit(1.0)).otherwise(F.lit(decay.alpha))
-    usable = ~F.col("halo") & (F.col("rn") >= decay.start)
-    return F.when(usable, weight * F.col(decay.value)).otherwise(F.lit(0.0))
+    weight = f"if(rn = {decay.start}, 1D, {decay.alpha!r}D)"
+    return f"if(NOT halo AND rn >= {decay.start}, {weight} * {decay.value}, 0D)"
 
 
 def decayed_averages(
@@ -209,49 +211,41 @@ def decayed_averages(
     gathers a series. ``size=None`` is for :func:`whole_series`: nothing is carried.
     """
     moving = [d for d in decays if d.beta > 0]
-    running = block_window(keys).rowsBetween(W.unboundedPreceding, 0)
-    j = F.col("j").cast("double")
-    local = {
-        f"_local_{d.name}": F.sum(_share(d) * F.pow(F.lit(d.beta), -j)).over(running)
-        * F.pow(F.lit(d.beta), j)
+    local = [
+        f"sum({_share(d)} * pow({d.beta!r}D, -j)) OVER ({_over(keys)} {_SO_FAR})"
+        f" * pow({d.beta!r}D, j) AS _local_{d.name}"
         for d in moving
-    }
-    out = blocks.withColumns(local) if local else blocks
+    ]
+    out = blocks.selectExpr("*", *local)
     if size is not None and moving:
         out = out.join(_carries(blocks, moving, keys, size), [*keys, "block"], "left")
 
-    def average(d: Decay) -> Column:
+    def average(d: Decay) -> str:
         if d.beta <= 0:
-            value = F.col(d.value)
+            value = d.value
         elif size is None:
-            value = F.col(f"_local_{d.name}")
+            value = f"_local_{d.name}"
         else:
-            carried = F.coalesce(F.col(f"_carry_{d.name}"), F.lit(0.0))
-            value = F.col(f"_local_{d.name}") + F.pow(F.lit(d.beta), j + 1) * carried
-        return F.when(F.col("rn") - d.start + 1 >= d.period, value)
+            value = f"_local_{d.name} + pow({d.beta!r}D, j + 1) * coalesce(_carry_{d.name}, 0D)"
+        return f"CASE WHEN rn - {d.start} + 1 >= {d.period} THEN {value} END AS {d.name}"
 
-    helpers = [f"_{kind}_{d.name}" for kind in ("local", "carry") for d in moving]
-    return out.withColumns({d.name: average(d) for d in decays}).drop(*helpers)
+    return out.selectExpr(*blocks.columns, *[average(d) for d in decays])
 
 
 def _carries(
     blocks: DataFrame, decays: Sequence[Decay], keys: Sequence[str], size: int
 ) -> DataFrame:
-    last = F.lit(float(size - 1)) - F.col("j")
     ends = blocks.groupBy(*keys, "block").agg(
-        *[F.sum(_share(d) * F.pow(F.lit(d.beta), last)).alias(f"_end_{d.name}") for d in decays]
-    )
-    reach = max(d.reach(size) for d in decays)
-    steps = ends.withColumn("_step", F.explode(F.sequence(F.lit(1), F.lit(reach))))
-    before = F.col("_step").cast("double") - 1
-    return steps.groupBy(*keys, (F.col("block") + F.col("_step")).alias("block")).agg(
         *[
-            F.sum(
-                F.when(
-                    F.col("_step") <= d.reach(size),
-                    F.col(f"_end_{d.name}") * F.pow(F.lit(d.beta**size), before),
-                )
-            ).alias(f"_carry_{d.name}")
+            F.expr(f"sum({_share(d)} * pow({d.beta!r}D, {size - 1} - j)) AS _end_{d.name}")
             for d in decays
         ]
     )
+    reach = max(d.reach(size) for d in decays)
+    steps = ends.withColumn("_step", F.explode(F.sequence(F.lit(1), F.lit(reach))))
+    sums = [
+        f"sum(CASE WHEN _step <= {d.reach(size)}"
+        f" THEN _end_{d.name} * pow({d.beta**size!r}D, _step - 1) END) AS _carry_{d.name}"
+        for d in decays
+    ]
+    return steps.groupBy(*keys, F.expr("block + _step AS block")).agg(*[F.expr(e) for e in sums])

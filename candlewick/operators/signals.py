@@ -11,8 +11,10 @@ from candlewick.functions import scores
 from candlewick.operators import indicators as I
 from candlewick.operators import levels as L
 from candlewick.operators import series as S
-from candlewick.operators.prices import bar_scan
+from candlewick.operators.prices import bar_scan, newest
+from candlewick.operators.resample import resample
 
+NUMBERS = ("open", "high", "low", "close", "volume")
 PART_NAMES = ("rsi_points", "sma200_points", "macd_points", "volume_points", "change_points")
 
 
@@ -22,8 +24,7 @@ def signal_frame(bars: DataFrame) -> DataFrame:
     ``bars`` must come from a lookback scan: its series are short, so the one
     shuffle by series serves the averages, the range and the choice of the last bar.
     """
-    numbers = ("open", "high", "low", "close", "volume")
-    bars = bars.select(*S.KEYS, "ts", *[F.col(c).cast("double").alias(c) for c in numbers])
+    bars = bars.select(*S.KEYS, "ts", *[F.col(c).cast("double").alias(c) for c in NUMBERS])
     window = S.block_window()
     everything = W.partitionBy(*S.KEYS, "block")
     in_range = F.when(F.col("rn") >= F.col("length") - C.RANGE_BARS, F.col("close"))
@@ -127,16 +128,43 @@ def watch_rules(signals: DataFrame) -> DataFrame:
     )
 
 
+def timeframe_scan(bars: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Daily, weekly and monthly bars of the daily series, each over its own lookback."""
+    daily = bars.where(F.col("timeframe") == "1d").select(*S.KEYS, "ts", *NUMBERS)
+    end = newest(daily) if as_of is None else as_of
+    scans = [
+        bar_scan(daily if t == "1d" else resample(daily, t), period, t, end)
+        for t, period in C.LOOKBACK.items()
+    ]
+    return scans[0].unionByName(scans[1]).unionByName(scans[2])
+
+
 def multi_timeframe(bars: DataFrame, as_of: Column | None = None) -> DataFrame:
     """RSI and MACD direction on daily, weekly and monthly bars."""
-    from candlewick.operators.prices import newest
-    from candlewick.operators.resample import resample
+    return signal_frame(timeframe_scan(bars, as_of)).select(
+        *S.KEYS, "rsi", "rsi_signal", "macd_bullish"
+    )
 
-    daily = bars.where(F.col("timeframe") == "1d")
-    end = newest(daily) if as_of is None else as_of
-    frames = []
-    for timeframe in C.LOOKBACK:
-        source = daily if timeframe == "1d" else resample(daily, timeframe)
-        signals = signal_frame(bar_scan(source, C.LOOKBACK[timeframe], timeframe, end))
-        frames.append(signals.select("ticker", "timeframe", "rsi", "rsi_signal", "macd_bullish"))
-    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+def with_timeframes(bars: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Daily signals with RSI and MACD direction of the coarser bars alongside.
+
+    All bar sizes share one pass; a ticker has at most three rows to fold.
+    """
+    signals = signal_frame(timeframe_scan(bars, as_of))
+    daily = F.struct(*[c for c in signals.columns if c != "ticker"])
+    coarse = [
+        F.first(F.when(F.col("timeframe") == t, F.col(c)), ignorenulls=True).alias(f"{name}_{c}")
+        for t, name in (("1wk", "weekly"), ("1mo", "monthly"))
+        for c in ("rsi", "rsi_signal", "macd_bullish")
+    ]
+    return (
+        signals.groupBy("ticker")
+        .agg(
+            F.first(F.when(F.col("timeframe") == "1d", daily), ignorenulls=True).alias("_daily"),
+            *coarse,
+        )
+        .where(F.col("_daily").isNotNull())
+        .select("ticker", "_daily.*", *[f"{n}_{c}" for n in ("weekly", "monthly")
+                                        for c in ("rsi", "rsi_signal", "macd_bullish")])
+    )

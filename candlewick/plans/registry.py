@@ -76,16 +76,16 @@ SERIES = (
     "ticker STRING, exchange STRING, ts TIMESTAMP, timeframe STRING, open DOUBLE, high DOUBLE, "
     "low DOUBLE, close DOUBLE, volume BIGINT"
 )
-_stored: dict[tuple[str, str], str] = {}
+_stored: dict[tuple, str] = {}
 
 
 def stored_bars(spark: SparkSession, sf: str) -> DataFrame:
-    """The bar table of a folder, written once per application.
+    """The bar table of a folder, written once per application and state of its trades.
 
     Bars are a stored table: trades are folded into bars once, and every query
     then reads the few columns and partitions it needs, as often as it has to.
     """
-    key = (spark.sparkContext.applicationId, sf)
+    key = (spark.sparkContext.applicationId, sf, *M.state_of(spark, sf, "lineitem"))
     if key not in _stored:
         path = f"{shared_folder(spark)}/bars-{uuid.uuid4().hex}"
         sinks.write_series(M.daily_bars(spark, sf), path)
@@ -410,27 +410,29 @@ def tier_fallback(spark, sf):
 
 @query
 def title_dedup(spark, sf):
-    return N.title_dedup(M.articles(spark, sf)).select("ticker", "title", "pos", "source")
+    return N.title_dedup(M.articles(spark, sf).select("ticker", "title", "pos", "source"))
 
 
 @query
 def url_dedup(spark, sf):
     """Documents of one source and language share a URL here, so that URLs repeat."""
     shared = F.concat(F.lit("http://"), "source", F.lit("/"), F.floor(F.col("pos") / 100))
-    results = M.articles(spark, sf).withColumn("url", shared)
-    return N.url_dedup(results).select("ticker", "url", "pos", "rank")
+    results = M.articles(spark, sf).select("ticker", "pos", shared.alias("url"))
+    return N.url_dedup(results)
 
 
 def _ranked(spark: SparkSession, sf: str) -> DataFrame:
     rank = F.when(F.col("tier") == 0, 0).otherwise(1)
     # A handful of source names, so that the cap per source is reached.
     source = F.concat(F.lit("s"), F.pmod("pos", F.lit(4)).cast("string"))
-    return M.articles(spark, sf).withColumn("feed_rank", rank).withColumn("source", source)
+    return M.articles(spark, sf).select(
+        "ticker", "title", "pos", rank.alias("feed_rank"), source.alias("source")
+    )
 
 
 @query
 def feed_merge(spark, sf):
-    return N.feed_merge(_ranked(spark, sf)).select("ticker", "title", "source", "feed_rank", "pos")
+    return N.feed_merge(_ranked(spark, sf))
 
 
 @query
@@ -446,7 +448,7 @@ def headline_score(spark, sf):
 
 
 def _articles(spark: SparkSession, sf: str) -> DataFrame:
-    return N.with_published(N.title_dedup(M.articles(spark, sf)))
+    return N.report_articles(M.articles(spark, sf))
 
 
 @query
@@ -463,7 +465,7 @@ def top_headlines(spark, sf):
 
 @query
 def first_headlines(spark, sf):
-    return N.first_headlines(N.title_dedup(M.articles(spark, sf)))
+    return N.first_headlines(N.title_dedup(M.articles(spark, sf).select("ticker", "title", "pos")))
 
 
 @query
@@ -488,7 +490,9 @@ def sentiment_report(spark, sf):
 
 @query
 def sentiment_sources(spark, sf):
-    return N.sentiment_sources(N.title_dedup(M.articles(spark, sf)))
+    return N.sentiment_sources(
+        N.title_dedup(M.articles(spark, sf).select("ticker", "title", "pos", "url"))
+    )
 
 
 @query

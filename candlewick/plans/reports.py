@@ -15,7 +15,6 @@ from candlewick.operators import fundamentals as FU
 from candlewick.operators import news as N
 from candlewick.operators import prices as P
 from candlewick.operators import signals as SG
-from candlewick.operators.resample import resample
 from candlewick.sources import dims
 
 
@@ -108,7 +107,7 @@ def watch_signals(market: Market, tickers: Sequence[str], as_of: Column | None =
     signals = SG.with_momentum(P.live_override(signals, _only(market.quotes, watch)))
     pct = P.percent_change(F.col("close"), F.col("open"))
     return (
-        F.broadcast(watch).join(signals, "ticker", "left")
+        watch.join(signals, "ticker", "left")
         .withColumn("pct", F.when(F.col("close").isNotNull(), pct))
         .withColumn("direction", F.when(F.col("pct").isNotNull(), P.direction(F.col("pct"))))
     )
@@ -281,8 +280,8 @@ def preopen_report(
         _entry("change", pos, ticker, F.col("direction"), F.col("pct")),
         _entry("rsi", pos, ticker, F.col("rsi_signal"), F.col("rsi")),
     )
-    news = N.title_dedup(N.tier_fallback(_only(market.articles, watch)))
-    fresh = N.fresh_news(N.with_published(news), news_as_of)
+    news = N.report_articles(N.tier_fallback(_only(market.articles, watch)))
+    fresh = N.fresh_news(news, news_as_of)
     top = N.top_headlines(fresh, 1).select("ticker", "title", "source")
     headline = _per_ticker(
         F.broadcast(watch).join(top, "ticker"),
@@ -353,29 +352,14 @@ def analyze(
     Each part arrives as one row per ticker, so the joins are between small
     tables and the size of a join never depends on how much history a ticker has.
     """
-    bars = market.bars
-    daily = bars.where(F.col("timeframe") == "1d")
-    end = P.newest(daily) if as_of is None else as_of
-    signals = SG.with_levels(
-        SG.with_momentum(P.live_override(SG.signal_snapshot(bars, as_of=end), market.quotes))
-    )
+    signals = P.live_override(SG.with_timeframes(market.bars, as_of), market.quotes)
     usable_quote = F.col("prev_close") > 0
     day_pct = F.when(
         usable_quote, P.percent_change(F.col("price"), F.col("prev_close"))
     ).when(
         F.col("close_before").isNotNull(), P.percent_change(F.col("close"), F.col("close_before"))
     )
-    out = signals.withColumn("day_pct", day_pct)
-    for timeframe, name in (("1wk", "weekly"), ("1mo", "monthly")):
-        coarse = SG.signal_frame(
-            P.bar_scan(resample(daily, timeframe), C.LOOKBACK[timeframe], timeframe, end)
-        ).select(
-            "ticker",
-            F.col("rsi").alias(f"{name}_rsi"),
-            F.col("rsi_signal").alias(f"{name}_rsi_signal"),
-            F.col("macd_bullish").alias(f"{name}_macd_bullish"),
-        )
-        out = out.join(coarse, "ticker", "left")
+    out = SG.with_levels(SG.with_momentum(signals)).withColumn("day_pct", day_pct)
     facts = FU.newest_per_ticker(market.facts, "fact_id")
     profile, _ = FU.company_profile(facts)
     profile = profile.select("ticker", "name", "sector", "exchange", "market_cap", "pe_trailing")
@@ -390,7 +374,7 @@ def analyze(
     sentiment = N.sentiment_report(
         out.select("ticker"), market.articles, words.positive, words.negative
     ).select("ticker", F.col("score").alias("sentiment"), "headline_count", "band")
-    news = N.fresh_news(N.with_published(N.title_dedup(N.tier_fallback(market.articles))), news_as_of)
+    news = N.fresh_news(N.report_articles(N.tier_fallback(market.articles)), news_as_of)
     top = N.top_headlines(news, 1).select("ticker", F.col("title").alias("top_headline"))
     for part in (profile, earnings, filings, sentiment, top):
         out = out.join(part, "ticker", "left")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candlewick.operators.resample import bars_from_ticks
 from candlewick.sources.schemas import LANDED
 
 SYMBOLS = (
@@ -24,9 +25,17 @@ def landed(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(LANDED[name]).parquet(f"{folder}/{name}.parquet")
 
 
+def state_of(spark: SparkSession, folder: str, name: str) -> tuple:
+    """Number, size and last change of a landed table's files; their content is not read."""
+    files = spark.read.format("binaryFile").load(f"{folder}/{name}.parquet")
+    return tuple(
+        files.agg(F.count("path"), F.sum("length"), F.max("modificationTime")).first()
+    )
+
+
 def symbol(key: str) -> Column:
-    names = F.array(*[F.lit(s) for s in SYMBOLS])
-    return F.element_at(names, (F.pmod(F.col(key), F.lit(len(SYMBOLS))) + 1).cast("int"))
+    names = ", ".join(f"'{s}'" for s in SYMBOLS)
+    return F.expr(f"element_at(array({names}), int(pmod({key}, {len(SYMBOLS)}) + 1))")
 
 
 def exchange_of(ticker: Column) -> Column:
@@ -88,8 +97,6 @@ def ticks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def minute_bars(spark: SparkSession, folder: str) -> DataFrame:
-    from candlewick.operators.resample import bars_from_ticks
-
     return bars_from_ticks(ticks(spark, folder).withColumn("size", F.col("k").cast("bigint")))
 
 

@@ -11,6 +11,7 @@ from candlewick.functions import market_time
 from candlewick.operators import alerts as AL
 from candlewick.operators import signals as SG
 from candlewick.operators.prices import bar_scan
+from candlewick.operators.resample import tick_order
 from candlewick.sources.sinks import read_bars, upsert_bars
 
 LATENESS = "10 minutes"
@@ -18,15 +19,15 @@ LATENESS = "10 minutes"
 
 def minute_bars(ticks: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """1-minute bars of a tick stream; a bar is final ``lateness`` after its minute."""
-    order = F.struct("ts", "event_id")
     return (
         ticks.withWatermark("ts", lateness)
+        .withColumn("_order", tick_order())
         .groupBy("ticker", F.window("ts", "1 minute").alias("_minute"))
         .agg(
-            F.min_by("price", order).alias("open"),
+            F.min_by("price", "_order").alias("open"),
             F.max("price").alias("high"),
             F.min("price").alias("low"),
-            F.max_by("price", order).alias("close"),
+            F.max_by("price", "_order").alias("close"),
             F.sum("size").alias("volume"),
         )
         .select(
