@@ -736,3 +736,12 @@ oracle("stream_bars", f"""SELECT ticker, bar_ts AS ts, timeframe, {_OHLCV} FROM
 oracle("stream_alerts", f"""SELECT DISTINCT a.id, a.chat_id, a.ticker, a.alert_type, a.threshold FROM user_alerts a
  JOIN ticks t ON t.ticker = a.ticker JOIN clock c ON c.event_id = t.event_id WHERE is_active AND {_NYSE.replace('ny', 'c.ny')}
  AND ((alert_type = 'PRICE_ABOVE' AND price >= threshold) OR (alert_type = 'PRICE_BELOW' AND price <= threshold))""")
+
+# A day is final once the newest event is a day past its end; the stored bars end years earlier.
+cte("look_stream", """SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts) - 1 AS rn FROM (
+ SELECT ticker, date_trunc('day', ts)::TIMESTAMP AS ts, '1d' AS timeframe, arg_min(price, ts) AS open, max(price) AS high,
+ min(price) AS low, arg_max(price, ts) AS close, CAST(sum(k) AS BIGINT) AS volume FROM ticks GROUP BY ALL)
+ WHERE ts + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 DAY""", True)
+_recursion("ind_stream", "look_stream")
+oracle("stream_signals", """SELECT ticker, ts, round(close, 6) AS price, round(rsi, 6) AS rsi, rsi_signal
+ FROM ind_stream WHERE is_last""")

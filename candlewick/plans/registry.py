@@ -764,4 +764,4 @@ def stream_signals(spark, sf):
     writer = jobs.signal_writer(bars, table, out, f"{folder}/checkpoint")
     writer.trigger(availableNow=True).start().awaitTermination()
     signals = spark.read.option("recursiveFileLookup", "true").parquet(out)
-    return rounded(signals.select("ticker", "ts", "price", "rsi", "rsi_signal"), 6, "rsi")
+    return rounded(signals.select("ticker", "ts", "price", "rsi", "rsi_signal"), 6, "price", "rsi")
