@@ -87,11 +87,12 @@ def revenue_text(value: Column) -> Column:
 
 
 def number_text(value: Column, suffix: str = "", digits: int = 2) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f{suffix.replace('%', '%%')}", value), F.lit("N/A"))
+    form = f"%.{digits}f{suffix.replace('%', '%%')}"
+    return F.when(value.isNull(), "N/A").otherwise(F.format_string(form, value))
 
 
 def percent_text(value: Column) -> Column:
-    return F.coalesce(F.format_string("%.2f%%", value * 100), F.lit("N/A"))
+    return F.when(value.isNull(), "N/A").otherwise(F.format_string("%.2f%%", value * 100))
 
 
 def shortened(text: Column, size: int = 400) -> Column:

@@ -643,8 +643,8 @@ _BEST = "SELECT watch_ticker, pct FROM watched WHERE pct <> 0 ORDER BY pct DESC,
 _WORST = "SELECT watch_ticker, pct FROM watched WHERE pct <> 0 ORDER BY pct, pos LIMIT 1"
 _STRONGEST = """SELECT watch_ticker AS ticker, momentum, momentum_label FROM watched WHERE price IS NOT NULL
  ORDER BY momentum DESC, pos LIMIT 1"""
-oracle("best_worst", f"""SELECT b.watch_ticker AS best, round(b.pct, 6) AS best_pct, w.watch_ticker AS worst,
- round(w.pct, 6) AS worst_pct FROM ({_BEST}) b, ({_WORST}) w""")
+oracle("best_worst", f"""SELECT (SELECT watch_ticker FROM ({_BEST})) AS best, round((SELECT pct FROM ({_BEST})), 6) AS best_pct,
+ (SELECT watch_ticker FROM ({_WORST})) AS worst, round((SELECT pct FROM ({_WORST})), 6) AS worst_pct""")
 oracle("best_momentum", _STRONGEST)
 _OVER, _UNDER = "count(*) FILTER (rsi > 70)", "count(*) FILTER (rsi < 30 AND rsi <> 0)"
 oracle("rsi_summary", f"""SELECT {_OVER} AS overbought, {_UNDER} AS oversold, count(*) - {_OVER} - {_UNDER} AS neutral
