@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from candlewick import constants as C
 from candlewick.functions.scores import at_level, price_position
@@ -66,13 +67,27 @@ def split_ranges(ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
 def rolling_range(
     bars: DataFrame, window: int = C.RANGE_BARS, size: int = S.BLOCK_ROWS
 ) -> DataFrame:
-    """Range over the last ``window`` closes at every bar of the full history."""
+    """Range over the last ``window`` closes at every bar of the full history.
+
+    Cut every ``window`` bars, a frame is the end of one chunk and the start of
+    the next, so two running extremes give it at a cost that does not grow with the window.
+    """
     series = bars.select(*S.KEYS, "ts", F.col("close").cast("double").alias("close"))
     blocks = S.split_blocks(S.number_series(series), window - 1, size=max(size, window))
-    frame = S.block_window().rowsBetween(1 - window, 0)
+    chunk = W.partitionBy(*S.KEYS, "block", "_chunk")
+    forward = chunk.orderBy("rn").rowsBetween(W.unboundedPreceding, 0)
+    backward = chunk.orderBy(F.desc("rn")).rowsBetween(W.unboundedPreceding, 0)
+    ends = lambda name: F.lag(name, window - 1).over(S.block_window())
     return (
-        blocks.withColumn("range_high", F.max("close").over(frame))
-        .withColumn("range_low", F.min("close").over(frame))
+        blocks.withColumn("_chunk", F.floor(F.col("rn") / window))
+        .withColumns({
+            "_high_to": F.max("close").over(forward), "_low_to": F.min("close").over(forward),
+        })
+        .withColumns({
+            "_high_from": F.max("close").over(backward), "_low_from": F.min("close").over(backward),
+        })
+        .withColumn("range_high", F.greatest("_high_to", ends("_high_from")))
+        .withColumn("range_low", F.least("_low_to", ends("_low_from")))
         .where(~F.col("halo"))
         .select(*S.KEYS, "ts", "close", "range_high", "range_low")
     )

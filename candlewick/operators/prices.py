@@ -25,9 +25,10 @@ def bar_scan(
     if period not in C.PERIODS:
         raise ValueError(f"period must be one of {sorted(C.PERIODS)}, got {period}")
     bars = bars.where(F.col("timeframe") == timeframe)
-    end = newest(bars) if as_of is None else as_of
-    since = end - F.expr(f"INTERVAL {C.PERIODS[period]}")
-    return bars.where((F.col("ts") > since) & (F.col("ts") <= end))
+    lookback = F.expr(f"INTERVAL {C.PERIODS[period]}")
+    if as_of is None:
+        return bars.where(F.col("ts") > newest(bars) - lookback)
+    return bars.where((F.col("ts") > as_of - lookback) & (F.col("ts") <= as_of))
 
 
 def last_bar(bars: DataFrame) -> DataFrame:
