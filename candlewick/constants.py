@@ -120,6 +120,10 @@ EARNINGS_WORDS = (
     "earnings", "beats", "misses", "results", "revenue", "eps", "quarterly", "profit",
 )
 HIGH_IMPACT_WORDS = ("earnings", "acquisition", "merger", "fda", "deal", "buyout")
+SEARCH_QUERIES = {
+    "en": ("{} stock news", "{} earnings analysis"),
+    "he": ("{} מניה", "אנליזה {}"),
+}
 FRESH_SECONDS = 172_800
 TOP_HEADLINES = 5
 FEED_ITEMS = 8

@@ -69,10 +69,11 @@ def paired_prices(bars: DataFrame, fx_rates: DataFrame) -> DataFrame:
 
 
 def arbitrage_gap(bars: DataFrame, fx_rates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Gap rows, and pairs that have no gap because a price is 0."""
+    """Gap rows, and pairs that have no gap because a price or the rate is 0."""
     paired = paired_prices(bars, fx_rates)
-    bad = (F.col("price_us_usd") == 0) | (F.col("price_tase_ils") == 0)
-    rejected = paired.where(bad).withColumn("reason", F.lit("price is zero"))
+    zero = lambda name: F.col(name) == 0
+    bad = zero("price_us_usd") | zero("price_tase_ils") | zero("usd_ils_rate")
+    rejected = paired.where(bad).withColumn("reason", F.lit("price or rate is zero"))
     return gap_rows(paired.where(~bad)), rejected
 
 

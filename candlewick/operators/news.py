@@ -67,6 +67,19 @@ def search_results(responses: DataFrame) -> DataFrame:
     )
 
 
+def search_queries(
+    tickers: DataFrame, language: str = "both", site: str | None = None
+) -> DataFrame:
+    """Search texts per ticker, two for each language, optionally limited to a site."""
+    languages = ("en", "he") if language == "both" else (language,)
+    prefix = f"site:{site} " if site else ""
+    texts = [
+        F.concat(F.lit(prefix), F.replace(F.lit(form), F.lit("{}"), F.col("ticker")))
+        for code in languages for form in C.SEARCH_QUERIES[code]
+    ]
+    return tickers.select("ticker", F.posexplode(F.array(*texts)).alias("pos", "query"))
+
+
 def page_extract(
     pages: DataFrame, sites: Sequence[str] = C.FINANCIAL_SITES, size: int = C.PAGE_CHARS
 ) -> DataFrame:

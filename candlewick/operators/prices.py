@@ -25,10 +25,13 @@ def bar_scan(
     if period not in C.PERIODS:
         raise ValueError(f"period must be one of {sorted(C.PERIODS)}, got {period}")
     bars = bars.where(F.col("timeframe") == timeframe)
-    lookback = F.expr(f"INTERVAL {C.PERIODS[period]}")
-    if as_of is None:
-        return bars.where(F.col("ts") > newest(bars) - lookback)
-    return bars.where((F.col("ts") > as_of - lookback) & (F.col("ts") <= as_of))
+    since = (newest(bars) if as_of is None else as_of) - F.expr(f"INTERVAL {C.PERIODS[period]}")
+    if as_of is not None:
+        bars = bars.where(F.col("ts") <= as_of)
+    if "part" in bars.columns:
+        form = "yyyy-MM" if timeframe in ("1m", "5m") else "yyyy"
+        bars = bars.where(F.col("part") >= F.date_format(since, form)).drop("part")
+    return bars.where(F.col("ts") > since)
 
 
 def last_bar(bars: DataFrame) -> DataFrame:
@@ -138,7 +141,7 @@ def key_metrics(bars: DataFrame) -> DataFrame:
         *KEYS,
         F.col("last_close").alias("last_price"),
         change.alias("change"),
-        (change / F.col("close_before") * 100).alias("change_pct"),
+        (F.try_divide(change, F.col("close_before")) * 100).alias("change_pct"),
         "period_high", "period_low", "avg_volume", "data_points",
     )
 

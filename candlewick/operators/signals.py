@@ -130,12 +130,18 @@ def watch_rules(signals: DataFrame) -> DataFrame:
 
 def timeframe_scan(bars: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Daily, weekly and monthly bars of the daily series, each over its own lookback."""
-    daily = bars.where(F.col("timeframe") == "1d").select(*S.KEYS, "ts", *NUMBERS)
+    part = [c for c in ("part",) if c in bars.columns]
+    daily = bars.where(F.col("timeframe") == "1d").select(*S.KEYS, "ts", *NUMBERS, *part)
     end = newest(daily) if as_of is None else as_of
-    scans = [
-        bar_scan(daily if t == "1d" else resample(daily, t), period, t, end)
-        for t, period in C.LOOKBACK.items()
-    ]
+
+    def scan(timeframe: str, period: str) -> DataFrame:
+        recent = bar_scan(daily, period, "1d", end)
+        if timeframe == "1d":
+            return recent
+        # A week or month that starts within the lookback has all its days there.
+        return bar_scan(resample(recent, timeframe), period, timeframe, end)
+
+    scans = [scan(t, period) for t, period in C.LOOKBACK.items()]
     return scans[0].unionByName(scans[1]).unionByName(scans[2])
 
 

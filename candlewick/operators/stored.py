@@ -23,10 +23,16 @@ def price_query(
     if limit > MAX_PRICE_ROWS:
         raise ValueError(f"limit must be at most {MAX_PRICE_ROWS}, got {limit}")
     rows = bars.where(F.col("ticker") == ticker.upper())
+    has_part = "part" in bars.columns
     if from_date:
-        rows = rows.where(F.col("ts") >= F.lit(from_date).cast("timestamp"))
+        start = F.lit(from_date).cast("timestamp")
+        rows = rows.where(F.col("ts") >= start)
+        rows = rows.where(F.col("part") >= F.date_format(start, "yyyy")) if has_part else rows
     if to_date:
-        rows = rows.where(F.col("ts") <= F.lit(to_date).cast("timestamp"))
+        end = F.lit(to_date).cast("timestamp")
+        rows = rows.where(F.col("ts") <= end)
+        # Years sort before their months, so this keeps all folders of the last year.
+        rows = rows.where(F.col("part") <= F.date_format(end, "yyyy-99")) if has_part else rows
     return _newest(rows, limit, "timeframe").select(
         "ts", "open", "high", "low", "close", "volume"
     )
@@ -59,6 +65,11 @@ def sentiment_history(records: DataFrame, ticker: str, limit: int = 30) -> DataF
     return _newest(rows, limit).select("ts", "score", "headline_count")
 
 
+def json_rows(rows: DataFrame) -> DataFrame:
+    """Each row as one JSON text, for callers that exchange JSON."""
+    return rows.select(F.to_json(F.struct("*")).alias("json"))
+
+
 def volume_top_decile(bars: DataFrame, share: float = 0.9, limit: int = 20) -> DataFrame:
     """Newest bars at or above the volume percentile of their ticker, for every ticker."""
     level = exact_percentile(bars, ["ticker"], "volume", share)

@@ -537,6 +537,9 @@ oracle("rss_articles", f"""SELECT feed_id, pos, title, url,
 oracle("search_results", """SELECT ticker, pos AS query_id, 0 AS pos, title, url,
  CASE WHEN articles.pos % 5 <> 0 THEN snippet ELSE '' END AS snippet, source FROM articles""")
 _ALLOWED = " OR ".join(f"contains(lower(host), {_str(s)})" for s in ALLOWED_SITES)
+oracle("search_queries", " UNION ALL ".join(
+    f"SELECT ticker, {i} AS pos, replace({_str(form)}, '{{}}', ticker) AS query FROM symbols"
+    for i, form in enumerate(f for forms in C.SEARCH_QUERIES.values() for f in forms)))
 oracle("page_extract", f"""SELECT page_id, url, host, ({_ALLOWED}) AS is_allowed,
  CASE WHEN {_ALLOWED} THEN substr(html, 1, {C.PAGE_CHARS}) END AS content,
  CASE WHEN NOT ({_ALLOWED}) THEN 'host not allowed: ' || host END AS error
@@ -738,10 +741,11 @@ oracle("stream_alerts", f"""SELECT DISTINCT a.id, a.chat_id, a.ticker, a.alert_t
  AND ((alert_type = 'PRICE_ABOVE' AND price >= threshold) OR (alert_type = 'PRICE_BELOW' AND price <= threshold))""")
 
 # A day is final once the newest event is a day past its end; the stored bars end years earlier.
+cte("open_ticks", f"SELECT t.* FROM ticks t JOIN clock c USING (event_id) WHERE {_NYSE} OR {_TASE}")
 cte("look_stream", """SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts) - 1 AS rn FROM (
  SELECT ticker, date_trunc('day', ts)::TIMESTAMP AS ts, '1d' AS timeframe, arg_min(price, ts) AS open, max(price) AS high,
- min(price) AS low, arg_max(price, ts) AS close, CAST(sum(k) AS BIGINT) AS volume FROM ticks GROUP BY ALL)
- WHERE ts + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 DAY""", True)
+ min(price) AS low, arg_max(price, ts) AS close, CAST(sum(k) AS BIGINT) AS volume FROM open_ticks GROUP BY ALL)
+ WHERE ts + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) FROM open_ticks) - INTERVAL 1 DAY""", True)
 _recursion("ind_stream", "look_stream")
 oracle("stream_signals", """SELECT ticker, ts, round(close, 6) AS price, round(rsi, 6) AS rsi, rsi_signal
  FROM ind_stream WHERE is_last""")

@@ -79,7 +79,7 @@ SERIES = (
 _stored: dict[tuple, str] = {}
 
 
-def stored_bars(spark: SparkSession, sf: str) -> DataFrame:
+def stored_bars(spark: SparkSession, sf: str, with_part: bool = False) -> DataFrame:
     """The bar table of a folder, written once per application and state of its trades.
 
     Bars are a stored table: trades are folded into bars once, and every query
@@ -90,12 +90,17 @@ def stored_bars(spark: SparkSession, sf: str) -> DataFrame:
         path = f"{shared_folder(spark)}/bars-{uuid.uuid4().hex}"
         sinks.write_series(M.daily_bars(spark, sf), path)
         _stored[key] = path
-    return sinks.read_bars(spark, _stored[key], SERIES)
+    return sinks.read_bars(spark, _stored[key], SERIES, with_part)
+
+
+def scan_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """The bar table with its folder column, for queries over a known period."""
+    return stored_bars(spark, sf, with_part=True)
 
 
 def market(spark: SparkSession, sf: str) -> R.Market:
     return R.Market(
-        bars=stored_bars(spark, sf), quotes=M.quotes(spark, sf), articles=M.articles(spark, sf),
+        bars=scan_bars(spark, sf), quotes=M.quotes(spark, sf), articles=M.articles(spark, sf),
         facts=M.company_facts(spark, sf), statements=M.income_statements(spark, sf),
         calendar=M.earnings_calendar(spark, sf), filings=M.insider_raw(spark, sf),
     )
@@ -116,7 +121,7 @@ def daily_bars(spark, sf):
 
 @query
 def bar_scan(spark, sf):
-    return P.bar_scan(stored_bars(spark, sf), "6mo").drop("exchange")
+    return P.bar_scan(scan_bars(spark, sf), "6mo").drop("exchange")
 
 
 @query
@@ -141,7 +146,7 @@ def quote_or_close(spark, sf):
 
 @query
 def price_query(spark, sf):
-    return ST.price_query(stored_bars(spark, sf), "aapl", "1997-01-01", "1999-12-31", 100)
+    return ST.price_query(scan_bars(spark, sf), "aapl", "1997-01-01", "1999-12-31", 100)
 
 
 @query
@@ -264,7 +269,7 @@ _MAS = I.ma_columns()
 
 @query
 def signal_snapshot(spark, sf):
-    out = SG.signal_snapshot(stored_bars(spark, sf)).select(
+    out = SG.signal_snapshot(scan_bars(spark, sf)).select(
         *KEYS, "ts", "price", "rsi", "rsi_signal", "macd_line", "macd_signal", "macd_histogram",
         "macd_bullish", "volume_spike", *_MAS,
     )
@@ -273,29 +278,29 @@ def signal_snapshot(spark, sf):
 
 @query
 def live_override(spark, sf):
-    signals = SG.signal_snapshot(stored_bars(spark, sf)).select("ticker", "price", "rsi", "close")
+    signals = SG.signal_snapshot(scan_bars(spark, sf)).select("ticker", "price", "rsi", "close")
     return rounded(P.live_override(signals, M.quotes(spark, sf)), 6, "rsi")
 
 
 @query
 def momentum_score(spark, sf):
-    signals = SG.signal_snapshot(stored_bars(spark, sf))
+    signals = SG.signal_snapshot(scan_bars(spark, sf))
     return SG.with_momentum(signals).select("ticker", "momentum", "momentum_label", *SG.PART_NAMES)
 
 
 @query
 def ma_relation(spark, sf):
-    return rounded(SG.ma_relation(SG.signal_snapshot(stored_bars(spark, sf))), 3, "value")
+    return rounded(SG.ma_relation(SG.signal_snapshot(scan_bars(spark, sf))), 3, "value")
 
 
 @query
 def watch_rules(spark, sf):
-    return rounded(SG.watch_rules(SG.signal_snapshot(stored_bars(spark, sf))), 6, "value")
+    return rounded(SG.watch_rules(SG.signal_snapshot(scan_bars(spark, sf))), 6, "value")
 
 
 @query
 def multi_timeframe(spark, sf):
-    return rounded(SG.multi_timeframe(stored_bars(spark, sf)), 6, "rsi")
+    return rounded(SG.multi_timeframe(scan_bars(spark, sf)), 6, "rsi")
 
 
 @query
@@ -322,7 +327,7 @@ def day_change(spark, sf):
 
 @query
 def key_metrics(spark, sf):
-    out = P.key_metrics(P.bar_scan(stored_bars(spark, sf), "1y"))
+    out = P.key_metrics(P.bar_scan(scan_bars(spark, sf), "1y"))
     return rounded(out, 6, "change", "change_pct")
 
 
@@ -398,6 +403,11 @@ def search_results(spark, sf):
     return N.search_results(M.search_responses(spark, sf))
 
 
+@query
+def search_queries(spark, sf):
+    return N.search_queries(all_symbols(spark, sf))
+
+
 @query
 def page_extract(spark, sf):
     return N.page_extract(M.landed(spark, sf, "pages"), ALLOWED_SITES)
@@ -724,7 +734,7 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     )
     return events.select(
         "event_id", M.symbol("user_id").alias("ticker"), "ts", (F.col("value") * 100).alias("price"),
-        F.get_json_object("props", "$.k").cast("bigint").alias("size"),
+        F.get_json_object("props", "$.k").try_cast("bigint").alias("size"),
     )
 
 
@@ -754,11 +764,11 @@ def stream_fresh(spark, sf):
 
 @query
 def stream_signals(spark, sf):
-    """Daily bars of the event stream, merged into a bar table; newest signals of each batch."""
+    """Daily bars of the events of open sessions, merged into a bar table; newest signals of each batch."""
     folder = f"{shared_folder(spark)}/signals-{uuid.uuid4().hex}"
     table, out = f"{folder}/table", f"{folder}/signals"
     sinks.write_bars(stored_bars(spark, sf), table)
-    ticks = _event_stream(spark, sf)
+    ticks = jobs.while_open(_event_stream(spark, sf))
     bars = jobs.daily_bars(ticks.select("ticker", "ts", *[F.col("price").alias(n) for n in
                            ("open", "high", "low", "close")], F.col("size").alias("volume")))
     writer = jobs.signal_writer(bars, table, out, f"{folder}/checkpoint")

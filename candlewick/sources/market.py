@@ -92,7 +92,7 @@ def ticks(spark: SparkSession, folder: str) -> DataFrame:
         symbol("user_id").alias("ticker"),
         "ts",
         (F.col("value") * 100).alias("price"),
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
+        F.get_json_object("props", "$.k").try_cast("int").alias("k"),
     )
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.sources.schemas import BARS, MARKET_TABLES
+from candlewick.operators.fundamentals import new_filings
+from candlewick.sources.schemas import BARS, INSIDER_TRANSACTIONS, MARKET_TABLES
 
 BAR_KEY = ["ticker", "ts", "timeframe"]
 
@@ -82,8 +83,12 @@ def write_bars(bars: DataFrame, path: str, mode: str = "append") -> None:
     write_series(to_table_schema(bars, "bars"), path, mode)
 
 
-def read_bars(spark: SparkSession, path: str, columns: str = BARS) -> DataFrame:
-    return spark.read.schema(f"{columns}, part STRING").parquet(path).drop("part")
+def read_bars(
+    spark: SparkSession, path: str, columns: str = BARS, with_part: bool = False
+) -> DataFrame:
+    """The bar table; scans that know their period use ``part`` to skip folders."""
+    bars = spark.read.schema(f"{columns}, part STRING").parquet(path)
+    return bars if with_part else bars.drop("part")
 
 
 def upsert_bars(spark: SparkSession, batch: DataFrame, path: str, version: str, order: str) -> None:
@@ -102,5 +107,15 @@ def upsert_bars(spark: SparkSession, batch: DataFrame, path: str, version: str,
     write_bars(spark.read.schema(BARS).parquet(staging), path, "overwrite")
 
 
+def insert_filings(filings: DataFrame, path: str) -> int:
+    """Appends filings that are not stored yet and returns how many there were."""
+    spark = filings.sparkSession
+    stored = spark.read.schema(INSIDER_TRANSACTIONS).parquet(path)
+    counted = Observation()
+    new = new_filings(stored, filings).observe(counted, F.count(F.lit(1)).alias("inserted"))
+    append_rows(new, "insider_transactions", path)
+    return counted.get["inserted"]
+
+
 def append_rows(rows: DataFrame, table: str, path: str) -> None:
     to_table_schema(rows, table).write.mode("append").parquet(path)

@@ -4,6 +4,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from candlewick.operators import prices as P
+from candlewick.operators import stored as ST
 from candlewick.operators.resample import bars_from_ticks
 from candlewick.plans import reports as R
 from candlewick.sources import sinks
@@ -50,6 +52,36 @@ def test_appended_rows_take_the_stored_types(spark, tmp_path):
     assert got.first().gap_direction == "TASE_PREMIUM"
 
 
+def test_scans_skip_folders_outside_their_period(spark, make_bars, tmp_path):
+    path = str(tmp_path / "bars")
+    sinks.write_bars(make_bars({"A": range(1, 2000)}), path)
+    bars = sinks.read_bars(spark, path, with_part=True)
+    df = P.bar_scan(bars, "6mo")
+    # 22 December 2004 to 21 June 2005.
+    assert df.count() == 10 + 151 + 21 and "part" not in df.columns
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "(part#" in plan.split("PartitionFilters")[1] and "Subquery" in plan
+    assert ST.price_query(bars, "a", "2001-02-01", "2001-02-10").count() == 10
+
+
+def test_insert_counts_only_new_filings(spark, tmp_path):
+    path = str(tmp_path / "filings")
+    rows = [("A", "I", None, dt.datetime(2024, 1, d), "BUY", d, 1.0, float(d), None, d) for d in (1, 2, 2)]
+    schema = ("ticker STRING, insider_name STRING, insider_title STRING, transaction_date TIMESTAMP, transaction_type STRING, "
+              "shares BIGINT, price_per_share DOUBLE, total_value DOUBLE, filing_url STRING, filing_id INT")
+    filings = spark.createDataFrame(rows, schema)
+    sinks.append_rows(filings.limit(0), "insider_transactions", path)
+    assert sinks.insert_filings(filings, path) == 2
+    assert sinks.insert_filings(filings, path) == 0
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_json_rows(spark):
+    df = spark.createDataFrame([(1, "x")], "a INT, b STRING")
+    assert ST.json_rows(df).first().json == '{"a":1,"b":"x"}'
+
+
 def watch_rows(spark, rows):
     return spark.createDataFrame(rows, "pos INT, ticker STRING, pct DOUBLE, rsi DOUBLE, price DOUBLE, momentum INT, momentum_label STRING")
 
