@@ -101,7 +101,11 @@ def page_extract(
 
 
 def tier_fallback(articles: DataFrame) -> DataFrame:
-    """Articles of the best source tier that has any, per ticker."""
+    """Articles of the best source tier that has any, per ticker.
+
+    The join with one row per ticker may shuffle the articles, so cut or score
+    long texts first; adaptive execution splits a ticker that holds most of them.
+    """
     best = articles.groupBy("ticker").agg(F.min("tier").alias("_best"))
     return articles.join(best, "ticker").where(F.col("tier") == F.col("_best")).drop("_best")
 
@@ -196,15 +200,17 @@ def with_published(articles: DataFrame) -> DataFrame:
     return articles.withColumn("published_at", text.rfc_2822_time(F.col("published_raw")))
 
 
+def _is_fresh(as_of: Column, seconds: int) -> Column:
+    """Undated articles count as published at the epoch."""
+    age = F.unix_seconds(as_of) - F.coalesce(F.unix_seconds("published_at"), F.lit(0))
+    return age <= seconds
+
+
 def fresh_news(
     articles: DataFrame, as_of: Column, seconds: int = C.FRESH_SECONDS
 ) -> DataFrame:
-    """Articles at most ``seconds`` old; all articles of a ticker that has no fresh one.
-
-    Undated articles count as published at the epoch.
-    """
-    age = F.unix_seconds(as_of) - F.coalesce(F.unix_seconds("published_at"), F.lit(0))
-    marked = articles.withColumn("is_fresh", age <= seconds)
+    """Articles at most ``seconds`` old; all articles of a ticker that has no fresh one."""
+    marked = articles.withColumn("is_fresh", _is_fresh(as_of, seconds))
     any_fresh = marked.groupBy("ticker").agg(F.max("is_fresh").alias("_any_fresh"))
     return (
         marked.join(any_fresh, "ticker")
@@ -217,12 +223,24 @@ def _newest_first() -> list[Column]:
     return [F.desc(when), F.asc("pos")]
 
 
-def top_headlines(articles: DataFrame, k: int = C.TOP_HEADLINES) -> DataFrame:
-    """Newest ``k`` articles per ticker, at most one of each source."""
+def top_headlines(
+    articles: DataFrame, k: int = C.TOP_HEADLINES, as_of: Column | None = None
+) -> DataFrame:
+    """Newest ``k`` articles per ticker, at most one of each source.
+
+    With ``as_of`` only fresh ones, unless a ticker has none. Fresh articles are
+    the newest ones, so that rule gives the same rows on the at most ``k`` per ticker that
+    are left, and needs no join with all articles as :func:`fresh_news` does.
+    """
     when = F.coalesce(F.unix_micros("published_at"), F.lit(0))
     one = _first_per(articles, ["ticker", "source"], F.struct(-when, F.col("pos")))
     rank = F.row_number().over(W.partitionBy("ticker").orderBy(*_newest_first()))
-    return one.withColumn("rank", rank).where(F.col("rank") <= k).select(
+    top = one.withColumn("rank", rank).where(F.col("rank") <= k)
+    if as_of is not None:
+        fresh = _is_fresh(as_of, C.FRESH_SECONDS)
+        any_fresh = F.max(fresh).over(W.partitionBy("ticker"))
+        top = top.withColumn("_keep", fresh | ~any_fresh).where("_keep")
+    return top.select(
         "ticker", "rank", "title",
         F.substring("snippet", 1, C.HEADLINE_SNIPPET_CHARS).alias("snippet"),
         "url", "source", "published_at",
@@ -230,15 +248,17 @@ def top_headlines(articles: DataFrame, k: int = C.TOP_HEADLINES) -> DataFrame:
 
 
 def report_articles(articles: DataFrame) -> DataFrame:
-    """De-duplicated articles with what headline lists show; snippets are already cut to size."""
+    """De-duplicated articles with what headline lists show; snippets are already cut to size.
+
+    Where articles have a ``tier``, only the best one of a ticker counts.
+    """
     shown = F.substring("snippet", 1, C.HEADLINE_SNIPPET_CHARS)
-    return with_published(
-        title_dedup(
-            articles.select(
-                "ticker", "title", "pos", shown.alias("snippet"), "url", "source", "published_raw"
-            )
-        )
+    tier = [c for c in ("tier",) if c in articles.columns]
+    rows = articles.select(
+        "ticker", "title", "pos", shown.alias("snippet"), "url", "source", "published_raw", *tier
     )
+    rows = tier_fallback(rows).drop("tier") if tier else rows
+    return with_published(title_dedup(rows))
 
 
 def first_headlines(articles: DataFrame, k: int = C.TOP_HEADLINES) -> DataFrame:
@@ -277,10 +297,10 @@ def sentiment_report(
     Articles are first folded per ticker and host, then per ticker, so that
     distinct hosts need no set per group. Tickers without articles score 0.
     """
-    scored = title_dedup(
-        with_score(tier_fallback(articles), positive, negative)
-        .select("ticker", "title", "pos", "url", "score")
+    scored = with_score(articles, positive, negative).select(
+        "ticker", "tier", "title", "pos", "url", "score"
     )
+    scored = title_dedup(tier_fallback(scored).drop("tier"))
     count_if = lambda c: F.sum(c.cast("bigint"))
     per_host = scored.groupBy("ticker", text.host(F.col("url")).alias("_host")).agg(
         F.sum("score").alias("_score"), F.count(F.lit(1)).alias("_n"),

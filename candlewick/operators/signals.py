@@ -56,6 +56,8 @@ def signal_snapshot(
     bars: DataFrame, timeframe: str = "1d", period: str | None = None, as_of: Column | None = None
 ) -> DataFrame:
     """:func:`signal_frame` over the usual lookback of a bar size."""
+    if timeframe not in C.LOOKBACK:
+        raise ValueError(f"signals need one of {sorted(C.LOOKBACK)}, got {timeframe}")
     scan = bar_scan(bars, period or C.LOOKBACK[timeframe], timeframe, as_of)
     return signal_frame(scan)
 

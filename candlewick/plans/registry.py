@@ -458,7 +458,7 @@ def headline_score(spark, sf):
 
 
 def _articles(spark: SparkSession, sf: str) -> DataFrame:
-    return N.report_articles(M.articles(spark, sf))
+    return N.report_articles(M.articles(spark, sf).drop("tier"))
 
 
 @query
@@ -470,7 +470,7 @@ def fresh_news(spark, sf):
 
 @query
 def top_headlines(spark, sf):
-    return N.top_headlines(N.fresh_news(_articles(spark, sf), at(NEWS_AS_OF)))
+    return N.top_headlines(_articles(spark, sf), as_of=at(NEWS_AS_OF))
 
 
 @query
@@ -480,7 +480,7 @@ def first_headlines(spark, sf):
 
 @query
 def earnings_headlines(spark, sf):
-    top = N.top_headlines(N.fresh_news(_articles(spark, sf), at(NEWS_AS_OF)))
+    top = N.top_headlines(_articles(spark, sf), as_of=at(NEWS_AS_OF))
     return N.earnings_headlines(top, EARNINGS_WORDS).select("ticker", "rank", "place", "title")
 
 

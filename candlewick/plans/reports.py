@@ -280,9 +280,8 @@ def preopen_report(
         _entry("change", pos, ticker, F.col("direction"), F.col("pct")),
         _entry("rsi", pos, ticker, F.col("rsi_signal"), F.col("rsi")),
     )
-    news = N.report_articles(N.tier_fallback(_only(market.articles, watch)))
-    fresh = N.fresh_news(news, news_as_of)
-    top = N.top_headlines(fresh, 1).select("ticker", "title", "source")
+    news = N.report_articles(_only(market.articles, watch))
+    top = N.top_headlines(news, 1, news_as_of).select("ticker", "title", "source")
     headline = _per_ticker(
         F.broadcast(watch).join(top, "ticker"),
         _entry("headline", pos, ticker, F.concat_ws(" | ", "title", "source"), F.lit(None)),
@@ -374,8 +373,9 @@ def analyze(
     sentiment = N.sentiment_report(
         out.select("ticker"), market.articles, words.positive, words.negative
     ).select("ticker", F.col("score").alias("sentiment"), "headline_count", "band")
-    news = N.fresh_news(N.report_articles(N.tier_fallback(market.articles)), news_as_of)
-    top = N.top_headlines(news, 1).select("ticker", F.col("title").alias("top_headline"))
+    top = N.top_headlines(N.report_articles(market.articles), 1, news_as_of).select(
+        "ticker", F.col("title").alias("top_headline")
+    )
     for part in (profile, earnings, filings, sentiment, top):
         out = out.join(part, "ticker", "left")
     return out.drop("close_before_5")

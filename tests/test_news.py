@@ -138,3 +138,19 @@ def test_display_texts(spark):
         text.percent_text(F.col("y")), text.number_text(F.col("p"), "x", 1), text.number_text(F.col("n")), text.percent_text(F.col("n"))).first()
     assert list(one) == ["2.31%", "29.5x", "N/A", "N/A"]
     assert spark.range(1).select(F.length(text.shortened(F.repeat(F.lit("x"), F.lit(401))))).first()[0] == 403
+
+
+def test_freshness_after_the_top_k_equals_freshness_before(spark):
+    import random
+
+    rng = random.Random(11)
+    rows = [(t, i, f"t{i}", "", "u", f"s{rng.randint(0, 7)}",
+             None if rng.random() < 0.2 else f"2024-01-{rng.randint(1, 6 if t != 'C' else 2):02d} {rng.randint(0, 23):02d}:00:00")
+            for t in "ABC" for i in range(40)]
+    df = spark.createDataFrame(rows, "ticker STRING, pos INT, title STRING, snippet STRING, url STRING, source STRING, t STRING").withColumn(
+        "published_at", F.col("t").cast("timestamp")).drop("t")
+    now = F.lit("2024-01-07 00:00:00").cast("timestamp")
+    for k in (1, 3, 5, 8):
+        after = N.top_headlines(df, k, now)
+        before = N.top_headlines(N.fresh_news(df, now).drop("is_fresh"), k)
+        assert sorted(map(tuple, after.collect()), key=str) == sorted(map(tuple, before.collect()), key=str)
