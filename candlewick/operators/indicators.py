@@ -13,7 +13,7 @@ from candlewick.operators import series as S
 RSI_LABELS = ("OVERSOLD", "OVERBOUGHT", "NEUTRAL")
 
 
-def _bars(bars: DataFrame, *columns: str) -> DataFrame:
+def bar_columns(bars: DataFrame, *columns: str) -> DataFrame:
     """Key, time and the given columns as doubles; a NaN counts as missing."""
     number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c)
     return bars.select(*S.KEYS, "ts", *[number(c) for c in columns])
@@ -31,7 +31,7 @@ def sma(
     bars: DataFrame, period: int, value: str = "close", name: str = "sma", size: int = S.BLOCK_ROWS
 ) -> DataFrame:
     """Simple moving average; NULL until ``period`` bars exist."""
-    blocks = _blocks(_bars(bars, value), max(period, 1) - 1, max(size, period))
+    blocks = _blocks(bar_columns(bars, value), max(period, 1) - 1, max(size, period))
     return _finish(S.with_averages(blocks, {name: (value, period)}), value, name)
 
 
@@ -41,7 +41,7 @@ def ema(
     """Exponential moving average seeded with the first bar; NULL for ``period - 1`` bars."""
     decay = S.span(name, value, period)
     size = S.block_size([decay], size)
-    blocks = _blocks(_bars(bars, value), 0, size)
+    blocks = _blocks(bar_columns(bars, value), 0, size)
     return _finish(S.decayed_averages(blocks, [decay], size=size), value, name)
 
 
@@ -95,7 +95,7 @@ def rsi(bars: DataFrame, period: int = C.RSI_PERIOD, size: int = S.BLOCK_ROWS) -
     """Relative strength index with Wilder smoothing."""
     decays = _rsi_decays(period)
     size = S.block_size(decays, size)
-    blocks = _gains(_blocks(_bars(bars, "close"), 1, size))
+    blocks = _gains(_blocks(bar_columns(bars, "close"), 1, size))
     out = S.decayed_averages(blocks, decays, size=size)
     return _finish(out.withColumn("rsi", _rsi_value()), "close", "rsi")
 
@@ -120,7 +120,7 @@ def macd(
     """MACD line, signal line and histogram."""
     decays = [S.span("_fast", "close", fast), S.span("_slow", "close", slow)]
     size = S.block_size([*decays, S.span("macd_signal", "close", signal)], size)
-    blocks = _blocks(_bars(bars, "close"), 0, size)
+    blocks = _blocks(bar_columns(bars, "close"), 0, size)
     out = _with_macd(S.decayed_averages(blocks, decays, size=size), fast, slow, signal, size)
     return _finish(out, "close", "macd_line", "macd_signal", "macd_histogram")
 
@@ -141,7 +141,7 @@ def volume_spike(
     size: int = S.BLOCK_ROWS,
 ) -> DataFrame:
     """Bars whose volume reaches ``multiplier`` times its moving average."""
-    blocks = _blocks(_bars(bars, "volume"), period - 1, max(size, period))
+    blocks = _blocks(bar_columns(bars, "volume"), period - 1, max(size, period))
     return _finish(_with_spike(blocks, "is_spike", period, multiplier), "volume", "is_spike")
 
 
@@ -167,7 +167,7 @@ def moving_averages(
     """All simple and exponential averages in one pass over the blocks."""
     decays = _ema_decays(periods)
     size = S.block_size(decays, max(size, *periods))
-    blocks = _blocks(_bars(bars, "close"), max(periods) - 1, size)
+    blocks = _blocks(bar_columns(bars, "close"), max(periods) - 1, size)
     out = S.decayed_averages(_with_smas(blocks, periods), decays, size=size)
     return _finish(out, "close", *ma_columns(periods))
 
@@ -195,7 +195,7 @@ def indicator_series(
     bars: DataFrame, periods: Sequence[int] = C.MA_PERIODS, size: int = S.BLOCK_ROWS
 ) -> DataFrame:
     """Every indicator on every bar of the full history."""
-    bars = _bars(bars, "open", "high", "low", "close", "volume")
+    bars = bar_columns(bars, "open", "high", "low", "close", "volume")
     blocks = _blocks(bars, max(*periods, C.VOLUME_MA_PERIOD, 2) - 1, max(size, *periods))
     out = with_indicators(blocks, periods, size=max(size, *periods))
     return out.where(~F.col("halo")).drop("block", "j", "halo")

@@ -24,7 +24,7 @@ def signal_frame(bars: DataFrame) -> DataFrame:
     ``bars`` must come from a lookback scan: its series are short, so the one
     shuffle by series serves the averages, the range and the choice of the last bar.
     """
-    bars = bars.select(*S.KEYS, "ts", *[F.col(c).cast("double").alias(c) for c in NUMBERS])
+    bars = I.bar_columns(bars, *NUMBERS)
     window = S.block_window()
     everything = W.partitionBy(*S.KEYS, "block")
     in_range = F.when(F.col("rn") >= F.col("length") - C.RANGE_BARS, F.col("close"))

@@ -8,8 +8,27 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def session(app: str = "candlewick", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings every query here relies on."""
+PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def shuffle_partitions(shuffled_bytes: int) -> int:
+    """Shuffle partitions for a volume, so that one fits a task's memory.
+
+    Adaptive execution merges small partitions but does not split the rest of a
+    shuffle, so the number has to follow the largest shuffle.
+    """
+    return max(200, -(-shuffled_bytes // PARTITION_BYTES))
+
+
+def session(
+    app: str = "candlewick", master: str | None = None, shuffled_bytes: int | None = None,
+    **conf: str,
+) -> SparkSession:
+    """A session with the settings every query here relies on.
+
+    ``shuffled_bytes`` is the size of the largest shuffle expected; for a run
+    over 100 TB of bars that is about the size of the columns it reads.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -22,6 +41,8 @@ def session(app: str = "candlewick", master: str | None = None, **conf: str) ->
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
+    if shuffled_bytes is not None:
+        defaults["spark.sql.shuffle.partitions"] = str(shuffle_partitions(shuffled_bytes))
     for key, value in defaults.items():
         builder = builder.config(key, value)
     return use_utc(builder.getOrCreate())

@@ -11,6 +11,23 @@ from candlewick.sources.schemas import BARS, INSIDER_TRANSACTIONS, MARKET_TABLES
 BAR_KEY = ["ticker", "ts", "timeframe"]
 
 
+def split_bars(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bars that keep the table's contract, and rejected ones with the reason.
+
+    Recursive averages weigh bars by position, so a bar without a close has no place in a series.
+    """
+    missing = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+    reason = (
+        F.when(F.col("ticker").isNull() | F.col("ts").isNull() | F.col("timeframe").isNull(),
+               "no key")
+        .when(missing("close"), "no close")
+        .when(missing("open") | missing("high") | missing("low") | F.col("volume").isNull(),
+              "incomplete")
+    )
+    marked = bars.withColumn("reason", reason)
+    return marked.where("reason IS NULL").drop("reason"), marked.where("reason IS NOT NULL")
+
+
 def merge_bars(stored: DataFrame, batch: DataFrame, order: str | None = None) -> DataFrame:
     """Bars after an upsert: a known bar takes close and volume from the batch,
     an unknown one is added whole. Of several rows for one bar the last by ``order`` counts.
@@ -100,7 +117,7 @@ def upsert_bars(spark: SparkSession, batch: DataFrame, path: str, version: str,
     """
     batch = to_table_schema(batch, "bars", order)
     touched = batch.select("timeframe", part_of().alias("part")).distinct()
-    stored = read_bars(spark, path).withColumn("part", part_of())
+    stored = read_bars(spark, path, with_part=True)
     stored = stored.join(touched, LAYOUT, "left_semi").drop("part")
     staging = f"{path.rstrip('/')}_staging/{version}"
     merge_bars(stored, batch, order).write.mode("overwrite").parquet(staging)

@@ -95,7 +95,7 @@ def signal_writer(bars: DataFrame, table: str, signals: str, checkpoint: str) ->
         batch = batch.withColumn("_arrival", F.unix_micros("ts"))
         upsert_bars(spark, batch, table, str(version), "_arrival")
         tickers = batch.select("ticker").distinct()
-        stored = read_bars(spark, table).join(tickers, "ticker", "left_semi")
+        stored = read_bars(spark, table, with_part=True).join(tickers, "ticker", "left_semi")
         SG.signal_frame(bar_scan(stored, C.LOOKBACK["1d"], "1d")).write.mode("overwrite").parquet(
             f"{signals}/batch={version}"
         )

@@ -8,6 +8,7 @@ from candlewick.operators import prices as P
 from candlewick.operators import stored as ST
 from candlewick.operators.resample import bars_from_ticks
 from candlewick.plans import reports as R
+from candlewick.session import shuffle_partitions
 from candlewick.sources import sinks
 from candlewick.streaming import jobs
 
@@ -82,6 +83,18 @@ def test_insert_counts_only_new_filings(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
+def test_bars_without_a_close_are_rejected(spark, make_bars):
+    bars = make_bars({"A": [1.0, float("nan"), 3.0]})
+    bars = bars.withColumn("open", F.when(F.col("close") == 3, None).otherwise(F.lit(1.0)))
+    good, bad = sinks.split_bars(bars.withColumn("high", F.lit(1.0)).withColumn("low", F.lit(1.0)))
+    assert [r.close for r in good.collect()] == [1.0]
+    assert sorted(r.reason for r in bad.collect()) == ["incomplete", "no close"]
+
+
+def test_shuffle_partitions_follow_the_volume():
+    assert shuffle_partitions(10**9) == 200 and shuffle_partitions(10**13) == 74506
+
+
 def test_json_rows(spark):
     df = spark.createDataFrame([(1, "x")], "a INT, b STRING")
     assert ST.json_rows(df).first().json == '{"a":1,"b":"x"}'
