@@ -254,8 +254,10 @@ def report_articles(articles: DataFrame) -> DataFrame:
     """
     shown = F.substring("snippet", 1, C.HEADLINE_SNIPPET_CHARS)
     tier = [c for c in ("tier",) if c in articles.columns]
+    score = [c for c in ("score",) if c in articles.columns]
     rows = articles.select(
-        "ticker", "title", "pos", shown.alias("snippet"), "url", "source", "published_raw", *tier
+        "ticker", "title", "pos", shown.alias("snippet"), "url", "source", "published_raw",
+        *tier, *score,
     )
     rows = tier_fallback(rows).drop("tier") if tier else rows
     return with_published(title_dedup(rows))
@@ -286,30 +288,25 @@ def sentiment_sources(scored: DataFrame) -> DataFrame:
     return scored.groupBy("ticker", site.alias("host")).agg(F.count(F.lit(1)).alias("articles"))
 
 
-def sentiment_report(
-    tickers: DataFrame,
-    articles: DataFrame,
-    positive: Sequence[str] = C.POSITIVE_WORDS,
-    negative: Sequence[str] = C.NEGATIVE_WORDS,
-) -> DataFrame:
-    """Mean score and counts per ticker over its de-duplicated best-tier articles.
+def sentiment_totals(scored: DataFrame) -> DataFrame:
+    """Sums and counts per ticker over scored articles.
 
     Articles are first folded per ticker and host, then per ticker, so that
-    distinct hosts need no set per group. Tickers without articles score 0.
+    distinct hosts need no set per group.
     """
-    scored = with_score(articles, positive, negative).select(
-        "ticker", "tier", "title", "pos", "url", "score"
-    )
-    scored = title_dedup(tier_fallback(scored).drop("tier"))
     count_if = lambda c: F.sum(c.cast("bigint"))
     per_host = scored.groupBy("ticker", text.host(F.col("url")).alias("_host")).agg(
         F.sum("score").alias("_score"), F.count(F.lit(1)).alias("_n"),
         count_if(F.col("score") > 0).alias("_pos"), count_if(F.col("score") < 0).alias("_neg"),
     )
-    totals = per_host.groupBy("ticker").agg(
+    return per_host.groupBy("ticker").agg(
         F.sum("_score").alias("_score"), F.sum("_n").alias("_n"), F.sum("_pos").alias("_pos"),
         F.sum("_neg").alias("_neg"), F.count("_host").alias("_hosts"),
     )
+
+
+def with_sentiment(rows: DataFrame, totals: DataFrame) -> DataFrame:
+    """Report columns next to one row per ticker; a ticker without articles scores 0."""
     or_zero = lambda name: F.coalesce(F.col(name), F.lit(0))
     n, pos, neg = or_zero("_n"), or_zero("_pos"), or_zero("_neg")
     summary = F.when(
@@ -321,9 +318,9 @@ def sentiment_report(
         ),
     ).otherwise("No news found.")
     return (
-        tickers.select("ticker").join(totals, "ticker", "left")
+        rows.join(totals, "ticker", "left")
         .select(
-            "ticker",
+            *rows.columns,
             F.coalesce(F.round(F.col("_score") / F.col("_n"), 4), F.lit(0.0)).alias("score"),
             n.alias("headline_count"), pos.alias("positive_count"), neg.alias("negative_count"),
             (n - pos - neg).alias("neutral_count"), or_zero("_hosts").alias("source_count"),
@@ -333,6 +330,20 @@ def sentiment_report(
     )
 
 
+def sentiment_report(
+    tickers: DataFrame,
+    articles: DataFrame,
+    positive: Sequence[str] = C.POSITIVE_WORDS,
+    negative: Sequence[str] = C.NEGATIVE_WORDS,
+) -> DataFrame:
+    """Mean score and counts per ticker over its de-duplicated best-tier articles."""
+    scored = with_score(articles, positive, negative).select(
+        "ticker", "tier", "title", "pos", "url", "score"
+    )
+    scored = title_dedup(tier_fallback(scored).drop("tier"))
+    return with_sentiment(tickers.select("ticker"), sentiment_totals(scored))
+
+
 def sentiment_records(
     articles: DataFrame,
     positive: Sequence[str] = C.POSITIVE_WORDS,

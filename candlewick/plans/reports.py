@@ -370,15 +370,18 @@ def analyze(
         F.count_if(F.col("transaction_type") == "BUY").alias("insider_buys"),
         F.count_if(F.col("transaction_type") == "SELL").alias("insider_sells"),
     )
-    sentiment = N.sentiment_report(
-        out.select("ticker"), market.articles, words.positive, words.negative
-    ).select("ticker", F.col("score").alias("sentiment"), "headline_count", "band")
-    top = N.top_headlines(N.report_articles(market.articles), 1, news_as_of).select(
+    # Both news parts read the same shuffled articles, so texts are scanned once.
+    news = N.report_articles(N.with_score(market.articles, words.positive, words.negative))
+    top = N.top_headlines(news, 1, news_as_of).select(
         "ticker", F.col("title").alias("top_headline")
     )
-    for part in (profile, earnings, filings, sentiment, top):
+    for part in (profile, earnings, filings, top):
         out = out.join(part, "ticker", "left")
-    return out.drop("close_before_5")
+    out = N.with_sentiment(out, N.sentiment_totals(news)).withColumnRenamed("score", "sentiment")
+    return out.drop(
+        "close_before_5", "positive_count", "negative_count", "neutral_count", "source_count",
+        "summary",
+    )
 
 
 def market_status_rows(times: DataFrame, ts: str = "ts") -> DataFrame:
