@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from candlewick.llm.common import documents
 from candlewick.llm.line_dedup import line_dedup
+from candlewick.llm.mixing import mix
+from candlewick.llm.quality import quality
+from candlewick.llm.sharding import shard
 
 
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,6 +19,23 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(documents(spark, folder)).select("row.doc_id", "row.source", "copy", "row.text")
+
+
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality(documents(spark, folder)).drop("over_at", "body")
+
+
+def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return shard(documents(spark, folder), carry=False).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
+    "op7_mix_sources": op7_mix_sources,
+    "op8_quality_rules": op8_quality_rules,
+    "op10_sharding": op10_sharding,
 }
