@@ -11,9 +11,19 @@ from candlewick.llm.common import documents
 from candlewick.llm.line_dedup import line_dedup
 from candlewick.llm.mixing import mix
 from candlewick.llm.quality import quality
+from candlewick.llm.secrets import STRONG, secrets, span_text
 from candlewick.llm.sharding import shard
 
 
+def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    base = F.filter("spans", lambda s: s["kind"].isin(*STRONG))
+    return secrets(documents(spark, folder)).select(
+        "doc_id",
+        *[F.size(F.expr(f"filter(spans, s -> s.kind = '{kind}')")).cast("long").alias(f"n_{kind}")
+          for kind in STRONG],
+        F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup(documents(spark, folder)).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -34,6 +44,7 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secrets": op2_secrets,
     "op4_line_dedup": op4_line_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op8_quality_rules": op8_quality_rules,
