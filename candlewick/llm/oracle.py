@@ -26,6 +26,33 @@ FROM marked GROUP BY doc_id
 
 _BLANK_CLASS = r"[\x20\x09-\x0D]"
 
+_OP5 = f"""
+WITH RECURSIVE base AS (
+    SELECT doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '{_BLANK_CLASS}+'),
+                               lambda x: x <> '') AS w FROM documents),
+sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w]
+           ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i:i + 1])) END AS s FROM base),
+sized AS (SELECT doc_id, len(s) AS n FROM sets),
+shingle AS (SELECT doc_id, unnest(s) AS g FROM sets),
+held AS (SELECT g FROM shingle GROUP BY g HAVING count(*) > 1),
+pair AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+    FROM shingle a JOIN shingle b ON a.g = b.g AND a.doc_id < b.doc_id
+    WHERE a.g IN (SELECT g FROM held) GROUP BY a.doc_id, b.doc_id),
+link AS (
+    SELECT a, b FROM pair JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b
+    WHERE 100 * k >= 80 * (x.n + y.n - k)),
+both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (
+    SELECT a AS doc_id, b AS other FROM both_ways
+    UNION SELECT r.doc_id, e.b FROM reach r JOIN both_ways e ON e.a = r.other),
+least AS (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id)
+SELECT s.doc_id, s.n AS n_shingles, least(s.doc_id, coalesce(l.m, s.doc_id)) AS component_id,
+       s.doc_id <= coalesce(l.m, s.doc_id) AS kept
+FROM sized s LEFT JOIN least l USING (doc_id)
+"""
+
 _OP7 = """
 WITH sized AS (
     SELECT source, sum(coalesce(strlen(text), 0) + 1)::DOUBLE AS size FROM documents GROUP BY source),
@@ -95,6 +122,7 @@ FROM measured
 
 ORACLE: dict[str, str] = {
     "op4_line_dedup": _OP4,
+    "op5_near_duplicates": _OP5,
     "op7_mix_sources": _OP7,
     "op8_quality_rules": _OP8,
 }

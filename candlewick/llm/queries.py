@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from candlewick.llm.common import documents
 from candlewick.llm.line_dedup import line_dedup
 from candlewick.llm.mixing import mix
+from candlewick.llm.near_dedup import near_duplicates
 from candlewick.llm.quality import quality
 from candlewick.llm.secrets import STRONG, secrets, span_text
 from candlewick.llm.sharding import shard
@@ -29,6 +30,10 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(documents(spark, folder), size=2)
+
+
 def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mix(documents(spark, folder)).select("row.doc_id", "row.source", "copy", "row.text")
 
@@ -46,6 +51,7 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op4_line_dedup": op4_line_dedup,
+    "op5_near_duplicates": op5_near_duplicates,
     "op7_mix_sources": op7_mix_sources,
     "op8_quality_rules": op8_quality_rules,
     "op10_sharding": op10_sharding,
