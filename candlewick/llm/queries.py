@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candlewick.llm.bloom_lm import score
 from candlewick.llm.common import documents
+from candlewick.llm.decontaminate import leaks
 from candlewick.llm.line_dedup import line_dedup
 from candlewick.llm.mixing import mix
 from candlewick.llm.near_dedup import near_duplicates
@@ -16,6 +18,10 @@ from candlewick.llm.secrets import STRONG, secrets, span_text
 from candlewick.llm.sharding import shard
 
 
+def op1_bloom_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return score(documents(spark, folder))
+
+
 def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*STRONG))
     return secrets(documents(spark, folder)).select(
@@ -25,6 +31,10 @@ def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet")).drop("version")
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup(documents(spark, folder)).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -49,7 +59,9 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bloom_lm": op1_bloom_lm,
     "op2_secrets": op2_secrets,
+    "op3_decontamination": op3_decontamination,
     "op4_line_dedup": op4_line_dedup,
     "op5_near_duplicates": op5_near_duplicates,
     "op7_mix_sources": op7_mix_sources,
