@@ -57,13 +57,16 @@ class ItemIndex:
         self.rare = 1 + np.log(max(1, len(words)))
         self.weight = {s: 1 + np.log(len(words) / n) for s, n in held.items()}
         self.filter = {}
-        self.known = {}
         for k in {min(SIZE, int(n)) for n in self.length}:
             own = np.array(sorted({s for shingles, n in zip(self.shingles, self.length) if min(SIZE, n) == k
                                    for s in shingles}), np.uint64)
             table = np.zeros(1 << _FILTER_BITS, bool)
             table[own & np.uint64(len(table) - 1)] = True
-            self.filter[k], self.known[k] = table, own
+            self.filter[k] = table
+        self.lengths: dict[int, set[int]] = {}
+        for own, n in zip(self.shingles, self.length):
+            for s in own:
+                self.lengths.setdefault(s, set()).add(int(n))
         self.lookup = {int(n): self._multi_index(np.nonzero(self.length == n)[0]) for n in np.unique(self.length)}
 
     def _multi_index(self, items: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -103,23 +106,21 @@ class ItemIndex:
         words, best = normal_words(text), {}
         if not len(words):
             return best
-        marks = {}
-        for k in self.known:
-            row = shingle_row(words, k)
+        rows, marks = {}, {}
+        for k in self.filter:
+            row = rows[k] = shingle_row(words, k)
             hit = np.nonzero(self.filter[k][row & np.uint64((1 << _FILTER_BITS) - 1)])[0]
-            hit = hit[np.isin(row[hit], self.known[k])]
-            if len(hit):
-                marks[k] = (row, hit)
+            for at in hit:
+                for length in self.lengths.get(int(row[at]), ()):
+                    marks.setdefault(length, []).append(at)
         if not marks:
             return best
         running = running_bits(words)
-        for length in self.lookup:
+        for length, hit in marks.items():
             k = min(SIZE, length)
-            if k not in marks:
-                continue
-            row, hit = marks[k]
+            row, hit = rows[k], np.array(hit)
             size = min(length, len(words))
-            # A window without any shingle of the benchmark has similarity 0 with every item.
+            # A window without any shingle of an item of this length has similarity 0 with all of them.
             last = len(words) - size
             low, high = np.clip(hit - (size - k), 0, last), np.clip(hit, 0, last)
             cover = np.zeros(last + 2, np.int64)
@@ -148,7 +149,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFram
     than the item is one window. Windows and items are compared by SimHash of
     their words; blocks of the fingerprint give all items within 15 of 64 bits, and a pair counts
     when the weighted Jaccard similarity of the five-word shingles is at least ``least``.
-    Windows that hold no shingle of any item have similarity 0 and are not fingerprinted.
+    Windows that hold no shingle of any item of their length have similarity 0 and are not fingerprinted.
 
     ``version`` is ``xxhash64`` of the text (null as empty), to tell rows of one id apart.
     Null and empty texts or items match nothing; null ids are reported as null;
