@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,9 +22,9 @@ BACKOFF = 2000.0
 #: Largest model that is broadcast; a larger one is looked up by shuffling the lookups.
 BROADCAST_BYTES = 384 * 1024 * 1024
 #: Characters of text per segment of the model.
-SEGMENT_CHARS = 16_000_000
+SEGMENT_CHARS = 4_000_000
 #: Tokens handled at once in a task.
-CHUNK = 1_000_000
+CHUNK = 250_000
 
 END = np.uint64(xxhash.xxh64_intdigest(b""))  # no word is empty
 BEGIN = np.uint64(0xA0761D6478BD642F)
@@ -43,6 +43,11 @@ def bigram_keys(history: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mix64(history * _PRIME + token)
 
 
+def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
+    """Segments follow each other as keys do."""
+    return (((keys >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)).astype(np.int32)
+
+
 def level(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / np.log(BASE) + 1e-9).astype(np.int64)
 
@@ -79,7 +84,7 @@ def probe_levels(keys: np.ndarray, filters: np.ndarray, starts: np.ndarray, bits
 
     ``filters`` holds the filters of all segments, ``starts`` (bytes) and ``bits`` say where each is.
     """
-    segment = (keys % np.uint64(len(bits))).astype(np.int64)
+    segment = segment_of(keys, len(bits))
     base, size = starts[segment].astype(np.uint64), bits[segment]
     out = np.zeros(len(keys), np.int64)
     live = np.arange(len(keys))
@@ -97,20 +102,17 @@ def probe_levels(keys: np.ndarray, filters: np.ndarray, starts: np.ndarray, bits
 class Lookup:
     """A model, or some segments of it, as arrays."""
 
-    def __init__(self, rows: list, segments: int) -> None:
-        keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows] or [np.zeros(0, np.uint64)])
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.counts = np.concatenate(
-            [np.frombuffer(r["counts"], np.int64) for r in rows] or [np.zeros(0, np.int64)])[order]
+    def __init__(self, rows: Iterable, segments: int) -> None:
+        """``rows`` of the model, sorted by segment, so that keys are sorted as they come."""
         self.starts, self.bits = np.zeros(segments, np.int64), np.full(segments, 8, np.int64)
-        parts, at = [np.zeros(1, np.uint8)], 1  # segments without a bigram look at an empty byte
-        for r in rows:
-            own = np.frombuffer(r["filter"], np.uint8)
-            self.starts[r["segment"]], self.bits[r["segment"]] = at, 8 * len(own)
-            parts.append(own)
-            at += len(own)
-        self.filters = np.concatenate(parts)
+        keys, counts, parts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(1, np.uint8)], 1
+        for r in rows:  # segments without a bigram look at the empty byte in front
+            keys.append(np.frombuffer(r["keys"], np.uint64))
+            counts.append(np.frombuffer(r["counts"], np.int64))
+            parts.append(np.frombuffer(r["filter"], np.uint8))
+            self.starts[r["segment"]], self.bits[r["segment"]] = at, 8 * len(parts[-1])
+            at += len(parts[-1])
+        self.keys, self.counts, self.filters = np.concatenate(keys), np.concatenate(counts), np.concatenate(parts)
 
     def unigrams(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -141,7 +143,7 @@ def train(docs: DataFrame, segments: int) -> DataFrame:
             for order, all_keys in ((1, token), (2, bigram_keys(history, token))):
                 keys, counts = np.unique(all_keys, return_counts=True)
                 parts.append(pd.DataFrame({
-                    "segment": (keys % np.uint64(segments)).astype(np.int32), "gram": np.int8(order),
+                    "segment": segment_of(keys, segments), "gram": np.int8(order),
                     "key": keys.view(np.int64), "n": counts.astype(np.int64)}))
             return pd.concat(parts)
 
@@ -149,7 +151,7 @@ def train(docs: DataFrame, segments: int) -> DataFrame:
             for text in batch["text"]:
                 held.append(tokens(text))
                 size += len(held[-1])
-                if size >= 4 * CHUNK:
+                if size >= 6 * CHUNK:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -240,7 +242,7 @@ def _score_shuffled(docs: DataFrame, model: DataFrame, total: int, types: int, s
                 parts.append(pd.DataFrame({
                     "row": row, "place": np.tile(np.arange(pairs), 3),
                     "role": np.repeat(np.arange(3, dtype=np.int8), pairs), "n": np.tile(n, 3),
-                    "key": keys.view(np.int64), "segment": (keys % np.uint64(segments)).astype(np.int32)}))
+                    "key": keys.view(np.int64), "segment": segment_of(keys, segments)}))
                 if len(parts) == 256:
                     yield pd.concat(parts)
                     parts = []
@@ -298,7 +300,9 @@ def score(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     keys, filters, total = [n or 0 for n in sizes.agg(F.sum("k"), F.sum("f"), F.sum("tokens")).first()]
     types = keys // 8
     if 2 * keys + filters <= broadcast_bytes:
-        lookup = spark.sparkContext.broadcast(Lookup(model.collect(), segments))
+        # Part by part, so the driver holds the model once.
+        lookup = spark.sparkContext.broadcast(
+            Lookup(model.orderBy("segment").toLocalIterator(), segments))
         return _score_here(texts, lookup, total, types)
     return _score_shuffled(texts, model, total, types, segments)
 
