@@ -113,12 +113,14 @@ class Lookup:
             self.starts[r["segment"]], self.bits[r["segment"]] = at, 8 * len(parts[-1])
             at += len(parts[-1])
         self.keys, self.counts, self.filters = np.concatenate(keys), np.concatenate(counts), np.concatenate(parts)
+        if not len(self.counts) or self.counts.max() < 2**32:
+            self.counts = self.counts.astype(np.uint32)
 
     def unigrams(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.zeros(len(keys), np.int64)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.counts[at], 0)
+        return np.where(self.keys[at] == keys, self.counts[at].astype(np.int64), 0)
 
     def bigrams(self, keys: np.ndarray) -> np.ndarray:
         return level_count(probe_levels(keys, self.filters, self.starts, self.bits))
@@ -134,28 +136,28 @@ def train(docs: DataFrame, segments: int) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> Iterator[pd.DataFrame]:
             token = np.concatenate(held)
             # Every text ends with END, so the token after one begins a text.
             history = histories(token)
             history[history == END] = BEGIN
-            parts = []
-            for order, all_keys in ((1, token), (2, bigram_keys(history, token))):
-                keys, counts = np.unique(all_keys, return_counts=True)
-                parts.append(pd.DataFrame({
-                    "segment": segment_of(keys, segments), "gram": np.int8(order),
-                    "key": keys.view(np.int64), "n": counts.astype(np.int64)}))
-            return pd.concat(parts)
+            for order in (1, 2):
+                keys, counts = np.unique(token if order == 1 else bigram_keys(history, token), return_counts=True)
+                for at in range(0, len(keys), CHUNK):
+                    own = keys[at : at + CHUNK]
+                    yield pd.DataFrame({
+                        "segment": segment_of(own, segments), "gram": np.int8(order),
+                        "key": own.view(np.int64), "n": counts[at : at + CHUNK].astype(np.int64)})
 
         for batch in batches:
             for text in batch["text"]:
                 held.append(tokens(text))
                 size += len(held[-1])
-                if size >= 6 * CHUNK:
-                    yield flush()
+                if size >= 4 * CHUNK:
+                    yield from flush()
                     held, size = [], 0
         if held:
-            yield flush()
+            yield from flush()
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         out = {"segment": [int(group["segment"].iloc[0])]}
