@@ -16,6 +16,7 @@ from candlewick.llm.near_dedup import near_duplicates
 from candlewick.llm.quality import quality
 from candlewick.llm.secrets import STRONG, secrets, span_text
 from candlewick.llm.sharding import shard
+from candlewick.llm.toxicity import toxicity
 
 
 def op1_bloom_lm(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,6 +53,10 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality(documents(spark, folder)).drop("over_at", "body")
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard(documents(spark, folder), carry=False).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -66,5 +71,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_duplicates": op5_near_duplicates,
     "op7_mix_sources": op7_mix_sources,
     "op8_quality_rules": op8_quality_rules,
+    "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
 }
