@@ -43,6 +43,7 @@ def _lines(body: Column) -> Column:
 def quality(
     docs: DataFrame, host_col: str = "source", min_words: int = 10, max_repeat_percent: int = 20,
     min_docs: int = 20, max_share: float = 0.05, min_left: float = 0.3,
+    carry: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs`` with its measures and the verdict.
 
@@ -57,14 +58,16 @@ def quality(
     Copies of one whole text count as one document of the host: they are the
     business of a later step. A null text is empty and fails by its words; a
     null host is a host. Rows of the same id and text get the same result each.
-    An empty table gives an empty table. Other columns are ignored.
+    An empty table gives an empty table. Other columns are ignored, or come along under
+    ``row`` with ``carry``.
 
     Line hashes are combined per (host, line, text) and then counted, so a line
     or a host of a third of all rows never meets in one task; lines over the
     limit are few (at most ``1 / max_share`` times the lines of a document, per host).
     """
+    row = ["row"] if carry else []
     base = docs.select(
-        "doc_id", F.col(host_col).alias("host"), F.coalesce("text", F.lit("")).alias("body"),
+        *([F.struct("*").alias("row")] if carry else []), "doc_id", F.col(host_col).alias("host"), F.coalesce("text", F.lit("")).alias("body"),
     ).withColumn("version", F.xxhash64("body"))
     line = (
         base.select("doc_id", "host", "version", F.posexplode(F.split("body", "\n", -1)).alias("pos", "line"))
@@ -95,10 +98,10 @@ def quality(
         .agg(F.sum("chars").alias("gone_chars"), F.collect_list("pos").alias("gone"))
     )
     measured = (
-        base.select("doc_id", "version", "body", words(F.col("body")).alias("w"),
+        base.select(*row, "doc_id", "version", "body", words(F.col("body")).alias("w"),
                     _lines(F.col("body")).alias("full"))
         .select(
-            "doc_id", "version", "body",
+            *row, "doc_id", "version", "body",
             F.size("w").cast("long").alias("n_words"),
             F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
             F.regexp_count("body", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -112,9 +115,33 @@ def quality(
         removed, measured["doc_id"].eqNullSafe(removed["d"]) & (measured["version"] == removed["v"]), "left")
     over_chars = F.coalesce("gone_chars", F.lit(0))
     return joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        *row, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         over_chars.cast("long").alias("over_chars"), F.col("gone").alias("over_at"),
         (~F.col("base_failed")
          & (F.col("word_chars") - over_chars >= F.lit(min_left) * F.col("word_chars"))).alias("kept"),
         "body",
     )
+
+
+def reject(docs: DataFrame) -> DataFrame:
+    """The documents that pass, with the lines over their limit taken out; the columns of ``docs``.
+
+    ``n_chars``, where there is such a column, follows the text. A text that
+    loses no line stays as it is.
+    """
+    checked = quality(docs, carry=True).where("kept")
+    text = F.expr("""
+        transform(array(split(body, '\\n', -1)), s ->
+            array_join(transform(array_except(sequence(0, size(s) - 1), over_at), i -> s[i]), '\\n'))[0]
+    """)
+    changed = F.col("over_at").isNotNull()
+    out = checked.withColumn("cut", F.when(changed, text))
+    columns = []
+    for name in docs.columns:
+        own = F.col("row").getField(name)
+        if name == "text":
+            own = F.when(changed, F.col("cut")).otherwise(own)
+        elif name == "n_chars":
+            own = F.when(changed, F.length("cut").cast("long")).otherwise(own)
+        columns.append(own.alias(name))
+    return out.select(*columns)
