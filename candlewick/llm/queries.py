@@ -13,6 +13,7 @@ from candlewick.llm.decontaminate import leaks
 from candlewick.llm.line_dedup import line_dedup
 from candlewick.llm.mixing import mix
 from candlewick.llm.near_dedup import near_duplicates
+from candlewick.llm.pii import KINDS, pii
 from candlewick.llm.quality import quality
 from candlewick.llm.secrets import STRONG, secrets, span_text
 from candlewick.llm.sharding import shard
@@ -45,6 +46,17 @@ def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(documents(spark, folder), size=2)
 
 
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii(documents(spark, folder)).withColumn("span", F.expr(
+        "transform(kinds, (k, i) -> struct(k AS kind, concat_ws(':', k, starts[i], ends[i]) AS text))"))
+    base = F.filter("span", lambda s: s["kind"].isin(*KINDS))
+    return found.select(
+        "doc_id",
+        *[F.size(F.expr(f"filter(kinds, k -> k = '{kind}')")).cast("long").alias(f"n_{kind}") for kind in KINDS],
+        F.sha2(F.array_join(F.transform(base, lambda s: s["text"]), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("span", lambda s: s["text"]), ",").alias("spans"))
+
+
 def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mix(documents(spark, folder)).select("row.doc_id", "row.source", "copy", "row.text")
 
@@ -69,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_line_dedup": op4_line_dedup,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_pii": op6_pii,
     "op7_mix_sources": op7_mix_sources,
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
