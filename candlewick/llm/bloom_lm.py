@@ -15,8 +15,8 @@ from candlewick.llm.shingles import mix64, word_hashes
 
 #: Base of the quantisation: a count is kept as ``1 + floor(log(count) / log(BASE))``.
 BASE = 1.5
-#: Hash functions: an absent count is taken for 1 in one of 256 lookups.
-PROBES = 8
+#: Hash functions: an absent count is taken for 1 in one of 64 lookups.
+PROBES = 6
 #: Weight of the unigram distribution after each history, in counts.
 BACKOFF = 2000.0
 #: Largest model that is broadcast; a larger one is looked up by shuffling the lookups.
@@ -24,7 +24,7 @@ BROADCAST_BYTES = 384 * 1024 * 1024
 #: Characters of text per segment of the model.
 SEGMENT_CHARS = 4_000_000
 #: Tokens handled at once in a task.
-CHUNK = 250_000
+CHUNK = 100_000
 
 END = np.uint64(xxhash.xxh64_intdigest(b""))  # no word is empty
 BEGIN = np.uint64(0xA0761D6478BD642F)
@@ -153,7 +153,7 @@ def train(docs: DataFrame, segments: int) -> DataFrame:
             for text in batch["text"]:
                 held.append(tokens(text))
                 size += len(held[-1])
-                if size >= 4 * CHUNK:
+                if size >= 10 * CHUNK:
                     yield from flush()
                     held, size = [], 0
         if held:
