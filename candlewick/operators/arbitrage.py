@@ -69,12 +69,12 @@ def paired_prices(bars: DataFrame, fx_rates: DataFrame) -> DataFrame:
 
 
 def arbitrage_gap(bars: DataFrame, fx_rates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Gap rows, and pairs that have no gap because a price or the rate is 0."""
+    """Gap rows, and pairs that have no gap because a price or the rate is missing or 0."""
     paired = paired_prices(bars, fx_rates)
-    zero = lambda name: F.col(name) == 0
-    bad = zero("price_us_usd") | zero("price_tase_ils") | zero("usd_ils_rate")
-    rejected = paired.where(bad).withColumn("reason", F.lit("price or rate is zero"))
-    return gap_rows(paired.where(~bad)), rejected
+    used = lambda name: F.col(name) != 0
+    good = F.coalesce(used("price_us_usd") & used("price_tase_ils") & used("usd_ils_rate"), F.lit(False))
+    rejected = paired.where(~good).withColumn("reason", F.lit("price or rate is missing or zero"))
+    return gap_rows(paired.where(good)), rejected
 
 
 def competitors_of(tickers: DataFrame) -> DataFrame:

@@ -27,7 +27,9 @@ def _double(name: str) -> Column:
 
 
 def _long(name: str) -> Column:
-    return _fact(name).try_cast("bigint")
+    """Whole numbers as they are; numbers with a fraction or an exponent lose what follows the point."""
+    fact = _fact(name)
+    return F.coalesce(fact.try_cast("bigint"), fact.try_cast("double").try_cast("bigint"))
 
 
 def company_profile(facts: DataFrame) -> tuple[DataFrame, DataFrame]:

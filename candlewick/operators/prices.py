@@ -35,10 +35,9 @@ def bar_scan(
 
 
 def last_bar(bars: DataFrame) -> DataFrame:
-    """Newest bar of every series."""
+    """Newest bar of every series; one aggregate per column, which keeps the aggregation hash-based."""
     fields = [c for c in bars.columns if c not in KEYS]
-    row = F.max_by(F.struct(*fields), "ts").alias("_row")
-    return bars.groupBy(*KEYS).agg(row).select(*KEYS, "_row.*")
+    return bars.groupBy(*KEYS).agg(*[F.max_by(c, "ts").alias(c) for c in fields]).select(*KEYS, *fields)
 
 
 def last_bars(bars: DataFrame, n: int = 10) -> DataFrame:
@@ -61,9 +60,10 @@ def latest_quote(quotes: DataFrame) -> DataFrame:
     )
 
 
-def last_two_closes(bars: DataFrame) -> DataFrame:
-    """Newest close and the one before it, over bars that have a close."""
-    closes = last_bars(bars.where(F.col("close").isNotNull()).select(*KEYS, "ts", "close"), 2)
+def last_two_closes(bars: DataFrame, timeframe: str = "1d") -> DataFrame:
+    """Newest close and the one before it, over bars of one size that have a close."""
+    bars = bars.where((F.col("timeframe") == timeframe) & F.col("close").isNotNull())
+    closes = last_bars(bars.select(*KEYS, "ts", "close"), 2)
     pick = lambda n: F.max(F.when(F.col("recency") == n, F.col("close")))
     return closes.groupBy("ticker").agg(
         pick(1).alias("last_close"), pick(2).alias("close_before")

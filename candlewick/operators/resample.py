@@ -38,14 +38,15 @@ def bars_from_ticks(ticks: DataFrame, timeframe: str = "1m") -> DataFrame:
     )
 
 
-def resample(bars: DataFrame, timeframe: str) -> DataFrame:
-    """First open, highest high, lowest low, last close and total volume per period.
+def resample(bars: DataFrame, timeframe: str, source: str = "1d") -> DataFrame:
+    """First open, highest high, lowest low, last close and total volume per period, from bars of one size.
 
     Bars of one period share a timestamp-ordered key, so partial aggregation
     keeps at most one row per series and period from each map task.
     """
     return (
-        bars.groupBy("ticker", F.date_trunc(UNITS[timeframe], "ts").alias("period_ts"))
+        bars.where(F.col("timeframe") == source)
+        .groupBy("ticker", F.date_trunc(UNITS[timeframe], "ts").alias("period_ts"))
         .agg(
             F.min_by("open", "ts").alias("open"),
             F.max("high").alias("high"),

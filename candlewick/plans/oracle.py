@@ -736,6 +736,8 @@ oracle("analyze", f"""SELECT s.ticker, s.timeframe, s.ts, s.open, s.high, s.low,
 # A minute is final once the newest event is ten minutes past its end.
 oracle("stream_bars", f"""SELECT ticker, bar_ts AS ts, timeframe, {_OHLCV} FROM minute_bars
  WHERE bar_ts + INTERVAL 1 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 10 MINUTE""")
+oracle("stream_fresh", f"""SELECT DISTINCT ticker, time_bucket(INTERVAL {C.TTL_SECONDS["quote"]} SECOND, ts) AS period_ts
+ FROM ticks""")
 oracle("stream_alerts", f"""SELECT DISTINCT a.id, a.chat_id, a.ticker, a.alert_type, a.threshold FROM user_alerts a
  JOIN ticks t ON t.ticker = a.ticker JOIN clock c ON c.event_id = t.event_id WHERE is_active AND {_NYSE.replace('ny', 'c.ny')}
  AND ((alert_type = 'PRICE_ABOVE' AND price >= threshold) OR (alert_type = 'PRICE_BELOW' AND price <= threshold))""")

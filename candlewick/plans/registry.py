@@ -729,9 +729,8 @@ def preopen_report(spark, sf):
 
 
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    events = (
-        spark.readStream.schema(LANDED["events"]).option("pathGlobFilter", "events.parquet").parquet(sf)
-    )
+    # A glob, so that the table may be one file as well as a folder of files.
+    events = spark.readStream.schema(LANDED["events"]).parquet(f"{sf}/event[s].parquet")
     return events.select(
         "event_id", M.symbol("user_id").alias("ticker"), "ts", (F.col("value") * 100).alias("price"),
         F.get_json_object("props", "$.k").try_cast("bigint").alias("size"),
@@ -759,7 +758,8 @@ def stream_alerts(spark, sf):
 @query
 def stream_fresh(spark, sf):
     ticks = _event_stream(spark, sf).select("ticker", "ts", "price")
-    return _streamed(spark, jobs.fresh_stream(ticks, "ticker", C.TTL_SECONDS["quote"]), "fresh")
+    fresh = jobs.fresh_stream(ticks, "ticker", C.TTL_SECONDS["quote"])
+    return _streamed(spark, fresh, "fresh").select("ticker", "period_ts")
 
 
 @query

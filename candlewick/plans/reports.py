@@ -303,7 +303,7 @@ def preopen_report(
 
 
 def vix_mood(bars: DataFrame) -> DataFrame:
-    last = P.last_bar(bars.where(F.col("ticker") == "^VIX").select("ticker", "timeframe", "ts", "close"))
+    last = P.last_bar(bars.where((F.col("ticker") == "^VIX") & (F.col("timeframe") == "1d")).select("ticker", "timeframe", "ts", "close"))
     vix = F.col("close").cast("double")
     return last.select("ticker", "timeframe", "ts", vix.alias("vix"), scores.vix_label(vix).alias("mood"))
 

@@ -78,9 +78,18 @@ def alert_stream(prices: DataFrame, alerts: DataFrame) -> DataFrame:
     )
 
 
-def fresh_stream(values: DataFrame, key: str, ttl: int) -> DataFrame:
-    """First value of a key per ``ttl`` seconds; repeats within that time are dropped."""
-    return values.withWatermark("ts", f"{ttl} seconds").dropDuplicatesWithinWatermark([key])
+def fresh_stream(values: DataFrame, key: str, ttl: int, late: str = "1 hour") -> DataFrame:
+    """The first value of a key to arrive in each period of ``ttl`` seconds, with the period's start.
+
+    Periods are those of event time, so which (key, period) come out does not
+    depend on how the input is cut into batches, as long as rows arrive at most ``late``.
+    Among rows of one period in one batch any may be the first. State of a period ends
+    once the watermark has passed it.
+    """
+    # A stream may carry one event time: the period takes that part from ``ts``.
+    period = values.withWatermark("ts", late).withColumn("_period", F.window("ts", f"{ttl} seconds")).withColumn(
+        "ts", F.timestamp_micros(F.unix_micros("ts")))
+    return period.dropDuplicates([key, "_period"]).withColumn("period_ts", F.col("_period.start")).drop("_period")
 
 
 def signal_writer(bars: DataFrame, table: str, signals: str, checkpoint: str) -> DataStreamWriter:
