@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -237,10 +238,14 @@ def train(rows: list[tuple[str | None, int]], seed: int = 3) -> Model:
     total = [sum(1 for _, label in rows if label == k) for k in (0, 1)]
     if not all(total):
         return Model(np.zeros(ALPHABET**ORDER), -1.0, 0.0, -40.0)
-    pairs: list[set] = [set(), set()]
+    held, seen_pairs = [Counter(), Counter()], [set(), set()]
     for text, label in rows:
-        pairs[label] |= _pairs(text)
-    held = [Counter(word for _, word in own) for own in pairs]
+        for pair in _pairs(text):
+            mark = zlib.crc32(pair[0]) << 32 | zlib.crc32(pair[1])  # a number takes less room than two strings
+            if mark not in seen_pairs[label]:
+                seen_pairs[label].add(mark)
+                held[label][pair[1]] += 1
+    del seen_pairs
     ranked = insults(held[1], held[0])[:1500]
     positive = [word for word, _ in ranked]
     if not positive:
