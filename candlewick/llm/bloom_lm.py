@@ -22,7 +22,7 @@ BACKOFF = 2000.0
 #: Largest model that is broadcast; a larger one is looked up by shuffling the lookups.
 BROADCAST_BYTES = 384 * 1024 * 1024
 #: Characters of text per segment of the model.
-SEGMENT_CHARS = 4_000_000
+SEGMENT_CHARS = 2_000_000
 #: Tokens handled at once in a task.
 CHUNK = 100_000
 
@@ -153,7 +153,7 @@ def train(docs: DataFrame, segments: int) -> DataFrame:
             for text in batch["text"]:
                 held.append(tokens(text))
                 size += len(held[-1])
-                if size >= 10 * CHUNK:
+                if size >= 5 * CHUNK:
                     yield from flush()
                     held, size = [], 0
         if held:
