@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from candlewick.llm.common import stored
+
 #: Finest division of the rows into parts; parts are unions of these slots.
 SLOTS = 4096
+#: Copies of a row that are made at once where one row is very frequent.
+BLOCK = 1000
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, drawn: int) -> int:
@@ -83,10 +87,15 @@ def shard(
     order. ``slot`` counts from 0 in each shard without a gap.
 
     ``size`` is the UTF-8 bytes of the text plus 8; a null text counts as
-    empty. Hashes take id, text checksum and size, so repeated rows are
-    interchangeable and any recomputation gives the same table. Null ids are
+    empty. Hashes take id, text checksum, size, all columns and the number of the row
+    among its repeats (1 to their count), so repeats are dealt like other rows, and
+    any recomputation gives the same table. Null ids are
     fine; an empty table gives an empty table; columns keep their names inside ``row``.
 
+    Repeats are numbered in one group of at most ``rows_per_part`` rows; a row that is
+    repeated more often is counted instead, and its copies are made from the count in
+    blocks of 1,000, dealt to all tasks.
+
     No shard is sorted in one task: it is cut by ranges of the second hash, whose
     counts give the offsets.
     """
@@ -97,10 +106,30 @@ def shard(
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
     ]
     identity = ["doc_id", "text_crc32", "size"]
+    # Hashes skip nulls and take no maps, hence the flags and the JSON.
+    plain = [F.to_json(F.struct(c), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}) if "<" in kind else F.col(c)
+             for c, kind in ((f"`{name}`", kind) for name, kind in docs.dtypes)]
+    narrow.append(F.xxhash64(*plain, *[c.isNull() for c in plain]).alias("same"))
+    key = ["text_crc32", "size", "same"]
+    numbered_by = [*identity, "same", "nr"]
+    # At most one row in rows_per_part.
+    hot = stored(docs.select(*narrow).groupBy(*key).count().where(F.col("count") > rows_per_part).select(*key), "repeated")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def numbered(columns: list) -> DataFrame:
+        rows = docs.select(*columns)
+        few = rows.join(hot, key, "left_anti").select(
+            *rows.columns, F.row_number().over(W.partitionBy(*key).orderBy("doc_id")).cast("long").alias("nr"))
+        # With a number of partitions, so that adaptive execution does not merge the small blocks.
+        many = rows.join(hot, key, "left_semi").groupBy(*rows.columns).count().withColumn(
+            "block", F.explode(F.sequence(F.lit(0), F.floor((F.col("count") - 1) / BLOCK)))
+        ).repartition(tasks, *key, "block").select(*rows.columns, F.explode(F.sequence(
+            F.col("block") * BLOCK + 1, F.least("count", (F.col("block") + 1) * BLOCK))).alias("nr"))
+        return few.unionByName(many)
 
     def dealt(columns: list) -> DataFrame:
-        return docs.select(*columns).select(
-            "*", F.xxhash64(F.lit(seed), *identity).alias("h1"), F.xxhash64(F.lit(seed + 1), *identity).alias("h2"),
+        return numbered(columns).select(
+            "*", F.xxhash64(F.lit(seed), *numbered_by).alias("h1"), F.xxhash64(F.lit(seed + 1), *numbered_by).alias("h2"),
         ).withColumn("hash_slot", F.pmod("h1", F.lit(SLOTS)).cast("int"))
 
     counts = {r["hash_slot"]: r["count"] for r in dealt(narrow).groupBy("hash_slot").count().collect()}
@@ -118,7 +147,7 @@ def shard(
 
     def assigned(columns: list) -> DataFrame:
         ranked = dealt(columns).withColumn("part", F.pmod("hash_slot", F.lit(parts)).cast("int")).withColumn(
-            "rank", F.row_number().over(W.partitionBy("part").orderBy("h1", *identity)) - 1)
+            "rank", F.row_number().over(W.partitionBy("part").orderBy("h1", *numbered_by)) - 1)
         # At most 4096 rows of one number per shard.
         return ranked.join(F.broadcast(matrix), "part").withColumn(
             "shard", F.size(F.filter("ends", lambda end: end <= F.col("rank")))
@@ -129,7 +158,7 @@ def shard(
     size = assigned(narrow).groupBy("shard", "range").count()
     before = W.partitionBy("shard").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     offsets = size.select("shard", "range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    ordered = W.partitionBy("shard", "range").orderBy(F.shiftrightunsigned("h2", 11), "h2", *identity)
+    ordered = W.partitionBy("shard", "range").orderBy(F.shiftrightunsigned("h2", 11), "h2", *numbered_by)
     wide = [F.struct("*").alias("row"), *narrow] if carry else narrow
     return assigned(wide).withColumn("in_range", F.row_number().over(ordered) - 1).join(
         F.broadcast(offsets), ["shard", "range"],  # shards x 4096 rows at most

@@ -267,6 +267,27 @@ def test_shards_are_exact_gapless_and_spread(make):
     assert abs(np.corrcoef([r["doc_id"] for r in rows], [r["shard"] for r in rows])[0, 1]) < 0.06
 
 
+@pytest.mark.parametrize("rows_per_part", [100, 5000])  # copies made from their count, and numbered
+def test_copies_are_spread_over_shards(make, rows_per_part):
+    docs = make([(7, "the same row")] * 2400 + [(i // 2, f"text {i // 2}") for i in range(4800)])
+    made = shard(docs, 24, rows_per_part=rows_per_part)
+    rows = made.select("doc_id", "text_crc32", "shard", "slot").collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, shard(
+        docs.repartition(3), 24, rows_per_part=rows_per_part, carry=False).select("doc_id", "text_crc32", "shard", "slot").collect()))
+    assert made.where("row.doc_id = 7 and row.text = 'the same row'").count() == 2400
+    hot = collections.Counter(r["text_crc32"] for r in rows).most_common(1)[0][0]
+    assert all(60 < n < 145 for n in collections.Counter(r["shard"] for r in rows if r["text_crc32"] == hot).values())
+    slots = collections.defaultdict(list)
+    for r in rows:
+        slots[r["shard"]].append(r["slot"])
+    assert len(slots) == 24 and all(sorted(s) == list(range(300)) for s in slots.values())
+    pairs = collections.defaultdict(list)
+    for r in rows:
+        if r["text_crc32"] != hot:
+            pairs[r["doc_id"]].append(r["shard"])
+    assert sum(len(set(p)) == 1 for p in pairs.values()) / len(pairs) < 0.08
+
+
 def test_toxicity_learns_gapped_insults(make, spark):
     rng = random.Random(9)
     insult = ["blortag", "snivver", "grumpox"]
