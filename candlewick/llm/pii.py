@@ -17,8 +17,10 @@ KINDS = ["email", "ip", "card", "phone"]
 FIELD = ["crf_email", "crf_phone", "crf_card"]
 LABELS = ["O", "crf_email", "crf_phone", "crf_card"]
 HASHES = 1 << 12
-#: Words around a word with a digit or @ that the field sees, and the longest sequence decoded at once.
-REACH, LONGEST = 2, 64
+#: Words around a word with a digit or @ that the field sees.
+REACH = 2
+#: Words of a piece whose best paths are found side by side with other pieces, and words labelled at once.
+PIECE, AT_ONCE = 64, 50_000
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -175,6 +177,42 @@ class ChainField:
             out.append(path[::-1])
         return out
 
+    def chain(self, score: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The best labels (Viterbi) of sequences that follow each other, from scores (word, label).
+
+        ``first`` marks where sequences begin. All pieces of 64 words are gone through at
+        once, for each label before them; then their best sums are joined from piece to
+        piece, so the labels are those of the whole sequences, whatever their length.
+        """
+        words, count = score.shape
+        pieces = -(-words // PIECE)
+        score = np.pad(score, ((0, pieces * PIECE - words), (0, 0))).reshape(pieces, PIECE, count).transpose(1, 2, 0).copy()
+        inside = ~np.pad(first, (0, pieces * PIECE - words), constant_values=True).reshape(pieces, PIECE).T
+        # By label before the piece, label of the word, piece.
+        best = np.repeat(np.where(np.eye(count, dtype=bool), 0.0, -np.inf)[:, :, None], pieces, axis=2)
+        back = np.zeros((PIECE, count, count, pieces), np.int8)
+        for t in range(PIECE):
+            top = best[:, 0, None] + self.move[0][:, None] * inside[t]
+            for a in range(1, count):
+                other = best[:, a, None] + self.move[a][:, None] * inside[t]
+                back[t][other > top] = a
+                top = np.maximum(top, other)
+            best = top + score[t]
+        total, enter = np.zeros(count), np.zeros((pieces, count), np.int8)
+        for i in range(pieces):
+            step = total[:, None] + best[:, :, i]
+            enter[i], total = step.argmax(axis=0), step.max(axis=0)
+        last, before = np.zeros(pieces, np.int8), np.zeros(pieces, np.int8)
+        own = int(total.argmax())
+        for i in range(pieces - 1, -1, -1):
+            last[i], own = own, enter[i, own]
+            before[i] = own
+        out, every = np.zeros((pieces, PIECE), np.int8), np.arange(pieces)
+        for t in range(PIECE - 1, -1, -1):
+            out[:, t] = last
+            last = back[t, before, last, every]
+        return out.reshape(-1)[:words]
+
 
 def train_field(table: list[tuple[list[str], list[str]]], rounds: int = 120, penalty: float = 0.02) -> ChainField:
     """Conditional likelihood by gradient ascent (Adam); expectations by forward and backward sums."""
@@ -222,7 +260,7 @@ def train_field(table: list[tuple[list[str], list[str]]], rounds: int = 120, pen
 
 
 def _sequences(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Runs of words near a word with a digit or @, cut at 64 words."""
+    """Runs of words near a word with a digit or @."""
     words = [m.span() for m in _WORD.finditer(text)]
     near = np.zeros(len(words) + 1, np.int64)
     starts = np.array([a for a, _ in words])
@@ -232,7 +270,7 @@ def _sequences(text: str) -> Iterator[list[tuple[int, int]]]:
     keep = np.cumsum(near)[:-1] > 0
     run: list[tuple[int, int]] = []
     for span, own in zip(words, keep):
-        if run and (not own or len(run) == LONGEST):
+        if run and not own:
             yield run
             run = []
         if own:
@@ -251,14 +289,23 @@ def _valid(kind: str, found: str) -> bool:
 
 
 def field_spans(texts: list[str], field: ChainField) -> list[list[tuple[int, int, int]]]:
-    """Per text ``start, place of the kind, end`` of what the field labels, in batches of like length."""
+    """Per text ``start, place of the kind, end`` of what the field labels; many runs are labelled at once."""
     where = [(i, run) for i, text in enumerate(texts) if _TRIGGER.search(text) for run in _sequences(text)]
-    where.sort(key=lambda item: len(item[1]))
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for low in range(0, len(where), 512):
-        part = where[low : low + 512]
-        paths = field.decode([_observations([texts[i][a:b] for a, b in run]) for i, run in part])
-        for (i, run), path in zip(part, paths):
+    low = 0
+    while low < len(where):
+        part, size = [], 0
+        while low < len(where) and size < AT_ONCE:
+            part.append(where[low])
+            size += len(where[low][1])
+            low += 1
+        ids = np.array([o for i, run in part for o in _observations([texts[i][a:b] for a, b in run])])
+        begins = np.cumsum([0] + [len(run) for _, run in part])
+        first = np.zeros(size, bool)
+        first[begins[:-1]] = True
+        labels = field.chain(field.emit[ids].sum(axis=1), first).tolist()
+        for (i, run), begin in zip(part, begins.tolist()):
+            path = labels[begin : begin + len(run)]
             at = 0
             while at < len(path):
                 stop = at + 1
@@ -282,7 +329,7 @@ def pii(docs: DataFrame) -> DataFrame:
     per kind. The field, trained on a small labelled table, adds spans of its
     own kinds where they overlap no base span: addresses and numbers in
     forms that the patterns do not know. It labels the words within two words of
-    one with a digit or @, in pieces of 64; other words carry no such data.
+    one with a digit or @, in runs of any length; other words carry no such data.
 
     A null or empty text has no spans; null ids and repeated rows are
     searched like others; an empty table gives an empty table; other columns are ignored.

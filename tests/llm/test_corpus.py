@@ -236,6 +236,36 @@ def test_field_labels_held_out_sentences_and_adds_spans(make):
     assert "crf_phone" in row["kinds"] and "email" in row["kinds"]
 
 
+def test_field_labels_long_runs_as_a_whole():
+    field = pii.train_field(pii.labelled_table())
+    rng = random.Random(12)
+    score, length = rng_scores(rng, 700), [1, 63, 64, 65, 200, 307]
+    first = np.isin(np.arange(700), np.cumsum([0] + length[:-1]))
+    want, at = [], 0
+    for n in length:  # word by word
+        best, back = score[at], []
+        for t in range(at + 1, at + n):
+            step = best[:, None] + field.move
+            back.append(step.argmax(axis=0))
+            best = step.max(axis=0) + score[t]
+        path = [best.argmax()]
+        for b in reversed(back):
+            path.append(b[path[-1]])
+        want += path[::-1]
+        at += n
+    assert field.chain(score, first).tolist() == want
+    for entity in ("(212) 555-0199", "jane42 (at) host (dot) org", "4111 2222 3333 4445"):
+        for before in range(54, 70):
+            text = " ".join(["12", "v1.2.3"] * 40)
+            text = " ".join(text.split()[:before] + [entity] + text.split()[:40])
+            found = [text[a:b] for a, _, b in pii.field_spans([text], field)[0]]
+            assert found == [entity], (before, found)
+
+
+def rng_scores(rng, n):
+    return np.array([[rng.gauss(0, 3) for _ in pii.LABELS] for _ in range(n)])
+
+
 def test_mix_rates_and_determinism(make):
     rng = random.Random(7)
     docs = make([(i, prose(rng, 10), "big" if i % 4 else "small") for i in range(2000)])
