@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -17,10 +18,10 @@ KINDS = ["email", "ip", "card", "phone"]
 FIELD = ["crf_email", "crf_phone", "crf_card"]
 LABELS = ["O", "crf_email", "crf_phone", "crf_card"]
 HASHES = 1 << 12
-#: Words around a word with a digit or @ that the field sees.
-REACH = 2
 #: Words of a piece whose best paths are found side by side with other pieces, and words labelled at once.
 PIECE, AT_ONCE = 64, 50_000
+#: Words and pairs whose scores a task remembers.
+REMEMBERED = 100_000
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -29,7 +30,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORD = re.compile(r"[^ \t-\r]+")
-_TRIGGER = re.compile(r"[0-9@]")
+_MARK = re.compile(r"[(\[{<] ?(at|dot) ?[)\]}>]", re.IGNORECASE)
+_LONG_RUN = re.compile(r"(.)\1{4,}", re.DOTALL)
+_SHAPES = str.maketrans({c: "d" if c.isdigit() else "X" if c.isupper() else "x" for c in string.ascii_letters + string.digits})
+_CUES = frozenset(["at", "dot", "phone", "call", "tel", "card", "account", "email", "mail", "contact"])
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -82,6 +86,37 @@ def shape(word: str) -> str:
     return "".join(out)
 
 
+def _marks(text: str) -> str:
+    """Which of "at" and "dot" stand in brackets in ``text``."""
+    if "(" not in text and "[" not in text and "{" not in text and "<" not in text:
+        return ""
+    return ",".join(sorted({m.lower() for m in _MARK.findall(text)}))
+
+
+def _quick_shape(word: str) -> str:
+    """``shape``, faster for ASCII words."""
+    if len(word) > 40 or not word.isascii():
+        return shape(word)
+    return _LONG_RUN.sub(r"\1\1\1\1", word.translate(_SHAPES))
+
+
+def _own_names(word: str, own: str) -> list[str]:
+    """Features of a word of shape ``own`` by itself."""
+    digits = sum(c.isdigit() for c in word)
+    low = word.lower().strip(".,;:()[]<>")
+    return ["b", f"s={own}", f"m={_marks(word)}", f"d={min(digits, 20)}", f"@={'@' in word}", f"t={digits > 0}{'.' in word}{'-' in word}{'(' in word}{'[' in word}",
+            f"w={low if low in _CUES else ''}"]
+
+
+def _lead_name(word: str) -> str:
+    """The feature that ``word`` gives to a word with digits behind it."""
+    return f"pw={word.lower().strip('.,;:()[]<>') if word[:1].isalpha() and len(word) < 9 else ''}"
+
+
+def _ids(names: list[str]) -> list[int]:
+    return [zlib.crc32(n.encode("utf-8", "replace")) % HASHES for n in names]
+
+
 def _observations(words: list[str]) -> list[list[int]]:
     """Hashed features of each word: its shape, size, signs and neighbours."""
     shapes = [shape(w) for w in words]
@@ -89,16 +124,77 @@ def _observations(words: list[str]) -> list[list[int]]:
     for i, (word, own) in enumerate(zip(words, shapes)):
         before = shapes[i - 1] if i else "^"
         after = shapes[i + 1] if i + 1 < len(words) else "$"
-        digits = sum(c.isdigit() for c in word)
-        low = word.lower().strip(".,;:()[]<>")
-        names = ["b", f"s={own}", f"p={before[:4]}", f"n={after[:4]}", f"ps={before[-3:]}|{own[:3]}", f"ns={own[-3:]}|{after[:3]}",
-                 f"d={min(digits, 20)}", f"@={'@' in word}", f"t={digits > 0}{'.' in word}{'-' in word}{'(' in word}",
-                 f"w={low if low in ('at', 'dot', 'phone', 'call', 'tel', 'card', 'account', 'email', 'mail', 'contact') else ''}",
-                 f"pw={words[i - 1].lower().strip('.,;:()[]<>') if i and words[i - 1][:1].isalpha() and len(words[i - 1]) < 9 and digits else ''}"]
-        found.append([zlib.crc32(n.encode()) % HASHES for n in names])
+        digits = any(c.isdigit() for c in word)
+        found.append(_ids(_own_names(word, own) + [
+            f"p={before[:4]}", f"n={after[:4]}", f"ps={before[-3:]}|{own[:3]}", f"ns={own[-3:]}|{after[:3]}",
+            _lead_name(words[i - 1]) if i and digits else "pw="]))
     return found
 
 
+class WordScores:
+    """The scores of ``_observations`` for many words at once.
+
+    What a word has by itself and adds to its neighbours is summed once per class of
+    words with the same features, what two neighbours add together once per pair of shape ends.
+    """
+
+    def __init__(self, emit: np.ndarray) -> None:
+        self.emit = emit
+        self.clear()
+
+    def clear(self) -> None:
+        self.words: dict[str, int] = {}
+        self.classes: dict[tuple, int] = {}
+        self.ends: dict[str, int] = {}
+        self.pairs: dict[int, np.ndarray] = {}
+        self.leads: dict[str, np.ndarray] = {}
+        #: By class: sums as the word itself, the word before, the word behind; digits, first and last of the shape.
+        self.sums: list[list[np.ndarray]] = []
+        self.kinds: list[tuple[bool, int, int]] = []
+        for outside in "^$":  # before the first and behind the last word
+            self.learn(outside)
+
+    def sum(self, *names: str) -> np.ndarray:
+        return self.emit[_ids(list(names))].sum(axis=0)
+
+    def learn(self, word: str) -> int:
+        own, low = _quick_shape(word), word.lower().strip(".,;:()[]<>")
+        digits = 0 if word.isalpha() else sum(map(str.isdigit, word))
+        key = (own, digits, low if low in _CUES else "", _marks(word), len(word) > 40 and tuple(c in word for c in "@.-(["))
+        place = self.classes.setdefault(key, len(self.sums))
+        if place == len(self.sums):
+            self.sums.append([self.sum(*_own_names(word, own)), self.sum(f"p={own[:4]}"), self.sum(f"n={own[:4]}")])
+            self.kinds.append((digits > 0, *(self.ends.setdefault(e, len(self.ends)) for e in (own[:3], own[-3:]))))
+        return place
+
+    def lead(self, word: str) -> np.ndarray:
+        if word not in self.leads:
+            self.leads[word] = self.sum(_lead_name(word))
+        return self.leads[word]
+
+    def scores(self, words: list[str], first: np.ndarray) -> np.ndarray:
+        if len(self.words) + len(self.leads) + len(self.pairs) > REMEMBERED:
+            self.clear()
+        for word in set(words).difference(self.words):
+            self.words[word] = self.learn(word)
+        own = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        before = np.where(first, 0, np.roll(own, 1))
+        after = np.where(np.roll(first, -1), 1, np.roll(own, -1))
+        sums, (digits, head, tail) = np.array(self.sums), np.array(self.kinds, np.int64).T
+        pair, at = np.unique(np.concatenate([tail[before] << 32 | head[own], tail[own] << 32 | head[after]]), return_inverse=True)
+        names = list(self.ends)
+        for key in pair.tolist():
+            if key not in self.pairs:
+                both = f"{names[key >> 32]}|{names[key & 0xFFFFFFFF]}"
+                self.pairs[key] = np.array([self.sum(f"ps={both}"), self.sum(f"ns={both}")])
+        joint = np.array([self.pairs[key] for key in pair.tolist()])
+        out = (sums[own, 0] + sums[before, 1] + sums[after, 2] + joint[at[: len(own)], 0] + joint[at[len(own) :], 1]
+               + self.lead(""))
+        for i in np.flatnonzero((digits[own] > 0) & ~first).tolist():
+            out[i] += self.lead(words[i - 1]) - self.lead("")
+        return out
+
+
 def labelled_table(rows: int = 240, seed: int = 5) -> list[tuple[list[str], list[str]]]:
     """The small labelled table: words and labels of sentences made from a few patterns."""
     rng = random.Random(seed)
@@ -259,53 +355,38 @@ def train_field(table: list[tuple[list[str], list[str]]], rounds: int = 120, pen
     return field
 
 
-def _sequences(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Runs of words near a word with a digit or @."""
-    words = [m.span() for m in _WORD.finditer(text)]
-    near = np.zeros(len(words) + 1, np.int64)
-    starts = np.array([a for a, _ in words])
-    hit = np.unique(np.searchsorted(starts, [m.start() for m in _TRIGGER.finditer(text)], side="right") - 1)
-    np.add.at(near, np.maximum(hit - REACH, 0), 1)
-    np.add.at(near, np.minimum(hit + REACH + 1, len(words)), -1)
-    keep = np.cumsum(near)[:-1] > 0
-    run: list[tuple[int, int]] = []
-    for span, own in zip(words, keep):
-        if run and not own:
-            yield run
-            run = []
-        if own:
-            run.append(span)
-    if run:
-        yield run
-
-
 def _valid(kind: str, found: str) -> bool:
     digits = sum(c.isdigit() for c in found)
     if kind == "crf_email":
-        return "@" in found or "at" in found.lower()
+        # Prose is full of "at"; without a digit only one in brackets is a mark.
+        return "@" in found or "at" in _marks(found) or (digits > 0 and "at" in found.lower())
     if any(c.isalpha() for c in found):
         return False
     return 7 <= digits <= 15 if kind == "crf_phone" else 13 <= digits <= 19
 
 
-def field_spans(texts: list[str], field: ChainField) -> list[list[tuple[int, int, int]]]:
-    """Per text ``start, place of the kind, end`` of what the field labels; many runs are labelled at once."""
-    where = [(i, run) for i, text in enumerate(texts) if _TRIGGER.search(text) for run in _sequences(text)]
+def field_spans(texts: list[str], field: ChainField, known: WordScores | None = None) -> list[list[tuple[int, int, int]]]:
+    """Per text ``start, place of the kind, end`` of what the field labels; all words of many texts are labelled at once."""
+    known = known or WordScores(field.emit)
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     low = 0
-    while low < len(where):
-        part, size = [], 0
-        while low < len(where) and size < AT_ONCE:
-            part.append(where[low])
-            size += len(where[low][1])
+    while low < len(texts):
+        words, begins = [], [0]
+        start = low
+        while low < len(texts) and len(words) < AT_ONCE:
+            words += _WORD.findall(texts[low])
+            begins.append(len(words))
             low += 1
-        ids = np.array([o for i, run in part for o in _observations([texts[i][a:b] for a, b in run])])
-        begins = np.cumsum([0] + [len(run) for _, run in part])
-        first = np.zeros(size, bool)
-        first[begins[:-1]] = True
-        labels = field.chain(field.emit[ids].sum(axis=1), first).tolist()
-        for (i, run), begin in zip(part, begins.tolist()):
-            path = labels[begin : begin + len(run)]
+        if not words:
+            continue
+        first = np.zeros(len(words) + 1, bool)
+        first[begins] = True
+        labels = field.chain(known.scores(words, first[:-1]), first[:-1])
+        hits = np.concatenate([[0], np.cumsum(labels > 0)])
+        for i, begin, end in zip(range(start, low), begins, begins[1:]):
+            if hits[end] == hits[begin]:
+                continue
+            run, path = [m.span() for m in _WORD.finditer(texts[i])], labels[begin:end].tolist()
             at = 0
             while at < len(path):
                 stop = at + 1
@@ -328,8 +409,7 @@ def pii(docs: DataFrame) -> DataFrame:
     Base kinds come from patterns with checks, leftmost and without overlap
     per kind. The field, trained on a small labelled table, adds spans of its
     own kinds where they overlap no base span: addresses and numbers in
-    forms that the patterns do not know. It labels the words within two words of
-    one with a digit or @, in runs of any length; other words carry no such data.
+    forms that the patterns do not know. It labels all words of each text as one sequence.
 
     A null or empty text has no spans; null ids and repeated rows are
     searched like others; an empty table gives an empty table; other columns are ignored.
@@ -338,12 +418,13 @@ def pii(docs: DataFrame) -> DataFrame:
     names = KINDS + FIELD
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordScores(field.value.emit)
         for batch in batches:
             for low in range(0, len(batch), 1000):
                 part = batch.iloc[low : low + 1000]
                 texts = [t or "" for t in part["text"]]
                 rows = []
-                for text, more in zip(texts, field_spans(texts, field.value)):
+                for text, more in zip(texts, field_spans(texts, field.value, known)):
                     base = base_spans(text)
                     ends = [0, *np.maximum.accumulate([e for _, _, e in base]).tolist()] if base else [0]
                     starts = np.array([s for s, _, _ in base])

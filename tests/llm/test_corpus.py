@@ -262,6 +262,22 @@ def test_field_labels_long_runs_as_a_whole():
             assert found == [entity], (before, found)
 
 
+def test_field_sees_words_without_digit_or_at_sign(make):
+    field = pii.train_field(pii.labelled_table())
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice(["^", "$", "at", "12", "Abc,", "x.y", "(at)", "555-01", "é", "call"]) for _ in range(n)) for n in (1, 2, 9, 80)]
+    words = [t.split() for t in texts]
+    first = np.isin(np.arange(92), np.cumsum([0] + [len(w) for w in words[:-1]]))
+    want = np.concatenate([field.emit[np.array(pii._observations(w))].sum(axis=1) for w in words])
+    assert np.allclose(pii.WordScores(field.emit).scores(sum(words, []), first), want)
+    entities = ["janed[at]hostly[dot]com", "janed (at) hostly (dot) org", "janed [at] hostly [dot] net", "janed(at)hostly.com",
+                "jane42 (at) hostly (dot) org"]
+    out = pii.pii(make([(i, f"karan mintep {e} ladol sagul") for i, e in enumerate(entities)])).collect()
+    for r in out:
+        at = 13
+        assert (r["kinds"], r["starts"], r["ends"]) == (["crf_email"], [at], [at + len(entities[r["doc_id"]])])
+
+
 def rng_scores(rng, n):
     return np.array([[rng.gauss(0, 3) for _ in pii.LABELS] for _ in range(n)])
 
