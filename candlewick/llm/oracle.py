@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from candlewick.llm.oracle_merkle import merkle_sql
+
 #: The six ASCII blanks, for ``trim``.
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -125,4 +127,5 @@ ORACLE: dict[str, str] = {
     "op5_near_duplicates": _OP5,
     "op7_mix_sources": _OP7,
     "op8_quality_rules": _OP8,
+    "op12_merkle_manifest": merkle_sql(),
 }

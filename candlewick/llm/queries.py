@@ -11,6 +11,7 @@ from candlewick.llm.bloom_lm import score
 from candlewick.llm.common import documents
 from candlewick.llm.decontaminate import leaks
 from candlewick.llm.line_dedup import line_dedup
+from candlewick.llm.merkle import manifest
 from candlewick.llm.mixing import mix
 from candlewick.llm.near_dedup import near_duplicates
 from candlewick.llm.pii import KINDS, pii
@@ -75,6 +76,10 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest(documents(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bloom_lm": op1_bloom_lm,
     "op2_secrets": op2_secrets,
@@ -86,4 +91,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
