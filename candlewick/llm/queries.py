@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candlewick.llm.alignment import align
 from candlewick.llm.bloom_lm import score
 from candlewick.llm.common import documents
 from candlewick.llm.decontaminate import leaks
@@ -80,6 +81,10 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return manifest(documents(spark, folder))
 
 
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return align(documents(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bloom_lm": op1_bloom_lm,
     "op2_secrets": op2_secrets,
@@ -92,4 +97,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_token_alignment": op13_token_alignment,
 }
