@@ -324,7 +324,7 @@ def align(
     and an empty ``groups_sha256``. Null and repeated ids are fine, rows are told apart by run and slot. An
     empty table gives an empty table. Other columns are not read.
     """
-    encoded = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
+    encoded = stored(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(
         _encoded(folder, run_links), _ROWS), "encoded")
     counts = pair_counts(encoded, fan_in)
     links = encoded.where("kind = 1").select("radix", "run", "links")

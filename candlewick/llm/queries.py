@@ -11,6 +11,7 @@ from candlewick.llm.alignment import align
 from candlewick.llm.bloom_lm import score
 from candlewick.llm.common import documents
 from candlewick.llm.decontaminate import leaks
+from candlewick.llm.extract import extract
 from candlewick.llm.line_dedup import line_dedup
 from candlewick.llm.merkle import manifest
 from candlewick.llm.mixing import mix
@@ -77,6 +78,10 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return manifest(documents(spark, folder))
 
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
+    "op11_main_text": op11_main_text,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_token_alignment": op13_token_alignment,
 }
