@@ -82,6 +82,18 @@ def test_against_loops(spark, run_links, fan_in):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected))
 
 
+def test_every_code_point_is_encoded_as_by_the_file_itself():
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(f"{alignment.TOKENIZERS}/byte_bpe_50k.json")
+    own.encode_special_tokens = True
+    aligner = alignment.Aligner()
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" " + " ".join(f"a{c}1 {c}{c}\n{c} 'll{c}x" for c in points[i:i + 40]) for i in range(0, len(points), 40)]
+    for text, found in zip(texts, own.encode_batch_fast(texts, add_special_tokens=False)):
+        assert aligner.a.encode_ordinary(text) == found.ids
+
+
 def test_empty_table(spark):
     assert alignment.align(spark.createDataFrame([], SCHEMA)).collect() == []
 
@@ -100,5 +112,5 @@ def test_runs_keep_their_numbers_and_merge_in_order(monkeypatch):
 
 
 def test_maxima_keep_ties():
-    merged = [(1 << 32 | 1, 4), (1 << 32 | 2, 4), (1 << 32 | 3, 1), (2 << 32 | 1, 1)]
+    merged = [(1 << 16 | 1, 4), (1 << 16 | 2, 4), (1 << 16 | 3, 1), (2 << 16 | 1, 1)]
     assert [flag for _, _, flag in alignment.with_maxima(merged)] == [1, 1, 0, 1]
