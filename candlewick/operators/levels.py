@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from candlewick import constants as C
 from candlewick.functions.scores import at_level, price_position
 from candlewick.operators import series as S
+from candlewick.operators import zones as Z
 from candlewick.operators.prices import last_bars
 
 
@@ -33,12 +34,15 @@ def nearest(high: Column, low: Column, price: Column) -> tuple[Column, Column]:
     return F.coalesce(below, low), F.coalesce(above, high)
 
 
-def price_range(bars: DataFrame, window: int = C.RANGE_BARS) -> DataFrame:
+def price_range(bars: DataFrame, window: int = C.RANGE_BARS, zones: DataFrame | None = None) -> DataFrame:
     """Highest and lowest close of the newest ``window`` bars, newest close and trend.
 
     Only ``window`` bars per series survive the map side, so no series is
-    gathered. Series with fewer than two bars or no spread have no range.
+    gathered. Series with fewer than two bars or no spread have no range. With the zone map only the
+    folders that hold those bars are read.
     """
+    if zones is not None:
+        bars = Z.newest_rows(bars.select(*S.KEYS, "part", "ts", "close"), zones, max(window, C.TREND_BARS))
     recent = last_bars(bars.select(*S.KEYS, "ts", "close"), max(window, C.TREND_BARS))
     inside = F.col("recency") <= window
     close_at = lambda n: F.max(F.when(F.col("recency") == n, F.col("close")))
@@ -93,9 +97,9 @@ def rolling_range(
     )
 
 
-def fibonacci_levels(bars: DataFrame, window: int = C.RANGE_BARS) -> DataFrame:
+def fibonacci_levels(bars: DataFrame, window: int = C.RANGE_BARS, zones: DataFrame | None = None) -> DataFrame:
     """One row per series: range, trend, all levels, nearest support and resistance."""
-    usable, _ = split_ranges(price_range(bars, window))
+    usable, _ = split_ranges(price_range(bars, window, zones))
     high, low, price = F.col("high_52w"), F.col("low_52w"), F.col("current_price")
     support, resistance = nearest(high, low, price)
     return usable.select(
@@ -108,9 +112,9 @@ def fibonacci_levels(bars: DataFrame, window: int = C.RANGE_BARS) -> DataFrame:
     )
 
 
-def fibonacci_rows(bars: DataFrame, window: int = C.RANGE_BARS) -> DataFrame:
+def fibonacci_rows(bars: DataFrame, window: int = C.RANGE_BARS, zones: DataFrame | None = None) -> DataFrame:
     """One row per level, with its place relative to the price and its role."""
-    usable, _ = split_ranges(price_range(bars, window))
+    usable, _ = split_ranges(price_range(bars, window, zones))
     high, low, price = F.col("high_52w"), F.col("low_52w"), F.col("current_price")
     entry = lambda kind, i, name, value: F.struct(
         F.lit(kind).alias("kind"), F.lit(i).alias("level_pos"),

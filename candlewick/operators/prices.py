@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from candlewick import constants as C
+from candlewick.operators import zones as Z
 from candlewick.operators.resample import tick_order
 from candlewick.operators.series import KEYS
 
@@ -19,13 +20,15 @@ def newest(bars: DataFrame, ts: str = "ts") -> Column:
 
 
 def bar_scan(
-    bars: DataFrame, period: str = "1y", timeframe: str = "1d", as_of: Column | None = None
+    bars: DataFrame, period: str = "1y", timeframe: str = "1d", as_of: Column | None = None,
+    zones: DataFrame | None = None,
 ) -> DataFrame:
-    """Bars of one size within a lookback that ends at ``as_of`` (default: newest bar)."""
+    """Bars of one size within a lookback that ends at ``as_of`` (default: newest bar, by the zone map where given)."""
     if period not in C.PERIODS:
         raise ValueError(f"period must be one of {sorted(C.PERIODS)}, got {period}")
     bars = bars.where(F.col("timeframe") == timeframe)
-    since = (newest(bars) if as_of is None else as_of) - F.expr(f"INTERVAL {C.PERIODS[period]}")
+    end = as_of if as_of is not None else newest(bars) if zones is None else Z.newest(zones, timeframe)
+    since = end - F.expr(f"INTERVAL {C.PERIODS[period]}")
     if as_of is not None:
         bars = bars.where(F.col("ts") <= as_of)
     if "part" in bars.columns:
@@ -34,8 +37,13 @@ def bar_scan(
     return bars.where(F.col("ts") > since)
 
 
-def last_bar(bars: DataFrame) -> DataFrame:
-    """Newest bar of every series; one aggregate per column, which keeps the aggregation hash-based."""
+def last_bar(bars: DataFrame, zones: DataFrame | None = None) -> DataFrame:
+    """Newest bar of every series; one aggregate per column, which keeps the aggregation hash-based.
+
+    With the zone map only the newest folder of each series is read.
+    """
+    if zones is not None:
+        bars = Z.newest_rows(bars, zones, 1).drop("part")
     fields = [c for c in bars.columns if c not in KEYS]
     return bars.groupBy(*KEYS).agg(*[F.max_by(c, "ts").alias(c) for c in fields]).select(*KEYS, *fields)
 
@@ -60,8 +68,10 @@ def latest_quote(quotes: DataFrame) -> DataFrame:
     )
 
 
-def last_two_closes(bars: DataFrame, timeframe: str = "1d") -> DataFrame:
-    """Newest close and the one before it, over bars of one size that have a close."""
+def last_two_closes(bars: DataFrame, timeframe: str = "1d", zones: DataFrame | None = None) -> DataFrame:
+    """Newest close and the one before it, over bars of one size that have a close; from the zone map alone where given."""
+    if zones is not None:
+        return Z.last_closes(zones, timeframe)
     bars = bars.where((F.col("timeframe") == timeframe) & F.col("close").isNotNull())
     closes = last_bars(bars.select(*KEYS, "ts", "close"), 2)
     pick = lambda n: F.max(F.when(F.col("recency") == n, F.col("close")))
@@ -70,7 +80,9 @@ def last_two_closes(bars: DataFrame, timeframe: str = "1d") -> DataFrame:
     )
 
 
-def quote_or_close(tickers: DataFrame, quotes: DataFrame, bars: DataFrame) -> DataFrame:
+def quote_or_close(
+    tickers: DataFrame, quotes: DataFrame, bars: DataFrame, zones: DataFrame | None = None,
+) -> DataFrame:
     """Price and previous close: the quote when complete, else the last two closes.
 
     NULL for a ticker with neither.
@@ -83,7 +95,7 @@ def quote_or_close(tickers: DataFrame, quotes: DataFrame, bars: DataFrame) -> Da
     source = F.when(complete, "quote").when(has_two, "close")
     return (
         tickers.join(quote, "ticker", "left")
-        .join(last_two_closes(bars), "ticker", "left")
+        .join(last_two_closes(bars, zones=zones), "ticker", "left")
         .select(*tickers.columns, price.alias("price"), previous.alias("previous"),
                 source.alias("price_source"))
     )
@@ -104,7 +116,7 @@ def bar_change(bars: DataFrame) -> DataFrame:
     return bars.withColumn("pct", pct).withColumn("direction", direction(F.col("pct")))
 
 
-def day_change(bars: DataFrame, quotes: DataFrame) -> DataFrame:
+def day_change(bars: DataFrame, quotes: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     """Live price against its previous close; without a usable one, the last two closes."""
     quote = latest_quote(quotes).select("ticker", "last_price", "prev_close")
     live = F.col("prev_close") > 0
@@ -114,7 +126,7 @@ def day_change(bars: DataFrame, quotes: DataFrame) -> DataFrame:
               percent_change(F.col("last_close"), F.col("close_before")))
     )
     return (
-        last_two_closes(bars).join(quote, "ticker", "full_outer")
+        last_two_closes(bars, zones=zones).join(quote, "ticker", "full_outer")
         .select("ticker", pct.alias("pct"))
         .withColumn("direction", F.when(F.col("pct").isNotNull(), direction(F.col("pct"))))
     )

@@ -11,6 +11,7 @@ from candlewick.functions import scores
 from candlewick.operators import indicators as I
 from candlewick.operators import levels as L
 from candlewick.operators import series as S
+from candlewick.operators import zones as Z
 from candlewick.operators.prices import bar_scan, newest
 from candlewick.operators.resample import resample
 
@@ -53,12 +54,13 @@ def signal_frame(bars: DataFrame) -> DataFrame:
 
 
 def signal_snapshot(
-    bars: DataFrame, timeframe: str = "1d", period: str | None = None, as_of: Column | None = None
+    bars: DataFrame, timeframe: str = "1d", period: str | None = None, as_of: Column | None = None,
+    zones: DataFrame | None = None,
 ) -> DataFrame:
     """:func:`signal_frame` over the usual lookback of a bar size."""
     if timeframe not in C.LOOKBACK:
         raise ValueError(f"signals need one of {sorted(C.LOOKBACK)}, got {timeframe}")
-    scan = bar_scan(bars, period or C.LOOKBACK[timeframe], timeframe, as_of)
+    scan = bar_scan(bars, period or C.LOOKBACK[timeframe], timeframe, as_of, zones)
     return signal_frame(scan)
 
 
@@ -130,11 +132,13 @@ def watch_rules(signals: DataFrame) -> DataFrame:
     )
 
 
-def timeframe_scan(bars: DataFrame, as_of: Column | None = None) -> DataFrame:
+def timeframe_scan(
+    bars: DataFrame, as_of: Column | None = None, zones: DataFrame | None = None,
+) -> DataFrame:
     """Daily, weekly and monthly bars of the daily series, each over its own lookback."""
     part = [c for c in ("part",) if c in bars.columns]
     daily = bars.where(F.col("timeframe") == "1d").select(*S.KEYS, "ts", *NUMBERS, *part)
-    end = newest(daily) if as_of is None else as_of
+    end = as_of if as_of is not None else newest(daily) if zones is None else Z.newest(zones, "1d")
 
     def scan(timeframe: str, period: str) -> DataFrame:
         recent = bar_scan(daily, period, "1d", end)
@@ -147,19 +151,23 @@ def timeframe_scan(bars: DataFrame, as_of: Column | None = None) -> DataFrame:
     return scans[0].unionByName(scans[1]).unionByName(scans[2])
 
 
-def multi_timeframe(bars: DataFrame, as_of: Column | None = None) -> DataFrame:
+def multi_timeframe(
+    bars: DataFrame, as_of: Column | None = None, zones: DataFrame | None = None,
+) -> DataFrame:
     """RSI and MACD direction on daily, weekly and monthly bars."""
-    return signal_frame(timeframe_scan(bars, as_of)).select(
+    return signal_frame(timeframe_scan(bars, as_of, zones)).select(
         *S.KEYS, "rsi", "rsi_signal", "macd_bullish"
     )
 
 
-def with_timeframes(bars: DataFrame, as_of: Column | None = None) -> DataFrame:
+def with_timeframes(
+    bars: DataFrame, as_of: Column | None = None, zones: DataFrame | None = None,
+) -> DataFrame:
     """Daily signals with RSI and MACD direction of the coarser bars alongside.
 
     All bar sizes share one pass; a ticker has at most three rows to fold.
     """
-    signals = signal_frame(timeframe_scan(bars, as_of))
+    signals = signal_frame(timeframe_scan(bars, as_of, zones))
     daily = F.struct(*[c for c in signals.columns if c != "ticker"])
     coarse = [
         F.first(F.when(F.col("timeframe") == t, F.col(c)), ignorenulls=True).alias(f"{name}_{c}")

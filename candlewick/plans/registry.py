@@ -93,6 +93,12 @@ def stored_bars(spark: SparkSession, sf: str, with_part: bool = False) -> DataFr
     return sinks.read_bars(spark, _stored[key], SERIES, with_part)
 
 
+def zones(spark: SparkSession, sf: str) -> DataFrame:
+    """The zone map of the bar table."""
+    stored_bars(spark, sf)
+    return sinks.read_zones(spark, _stored[(spark.sparkContext.applicationId, sf, *M.state_of(spark, sf, "lineitem"))])
+
+
 def scan_bars(spark: SparkSession, sf: str) -> DataFrame:
     """The bar table with its folder column, for queries over a known period."""
     return stored_bars(spark, sf, with_part=True)
@@ -102,12 +108,12 @@ def market(spark: SparkSession, sf: str) -> R.Market:
     return R.Market(
         bars=scan_bars(spark, sf), quotes=M.quotes(spark, sf), articles=M.articles(spark, sf),
         facts=M.company_facts(spark, sf), statements=M.income_statements(spark, sf),
-        calendar=M.earnings_calendar(spark, sf), filings=M.insider_raw(spark, sf),
+        calendar=M.earnings_calendar(spark, sf), filings=M.insider_raw(spark, sf), zones=zones(spark, sf),
     )
 
 
 def all_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    return stored_bars(spark, sf).select("ticker").distinct()
+    return zones(spark, sf).select("ticker").distinct()
 
 
 # ---- scans, stored-table lookups ----
@@ -121,12 +127,12 @@ def daily_bars(spark, sf):
 
 @query
 def bar_scan(spark, sf):
-    return P.bar_scan(scan_bars(spark, sf), "6mo").drop("exchange")
+    return P.bar_scan(scan_bars(spark, sf), "6mo", zones=zones(spark, sf)).drop("exchange")
 
 
 @query
 def last_bar(spark, sf):
-    return P.last_bar(stored_bars(spark, sf))
+    return P.last_bar(scan_bars(spark, sf), zones(spark, sf))
 
 
 @query
@@ -141,7 +147,7 @@ def latest_quote(spark, sf):
 
 @query
 def quote_or_close(spark, sf):
-    return P.quote_or_close(all_symbols(spark, sf), M.quotes(spark, sf), stored_bars(spark, sf))
+    return P.quote_or_close(all_symbols(spark, sf), M.quotes(spark, sf), stored_bars(spark, sf), zones(spark, sf))
 
 
 @query
@@ -253,7 +259,7 @@ def rolling_range(spark, sf):
 def chart_series(spark, sf):
     """Bars, selected averages, RSI, direction flag and the level lines of the newest range."""
     bars = stored_bars(spark, sf)
-    levels = L.fibonacci_levels(bars).select(*KEYS, *[L.column_name(n) for n, _ in C.RETRACEMENTS[1:-1]])
+    levels = L.fibonacci_levels(scan_bars(spark, sf), zones=zones(spark, sf)).select(*KEYS, *[L.column_name(n) for n, _ in C.RETRACEMENTS[1:-1]])
     series = I.indicator_series(bars, (50, 200)).select(
         *KEYS, "ts", "open", "high", "low", "close", "volume", "sma_50", "sma_200", "ema_50",
         "ema_200", "rsi",
@@ -269,7 +275,7 @@ _MAS = I.ma_columns()
 
 @query
 def signal_snapshot(spark, sf):
-    out = SG.signal_snapshot(scan_bars(spark, sf)).select(
+    out = SG.signal_snapshot(scan_bars(spark, sf), zones=zones(spark, sf)).select(
         *KEYS, "ts", "price", "rsi", "rsi_signal", "macd_line", "macd_signal", "macd_histogram",
         "macd_bullish", "volume_spike", *_MAS,
     )
@@ -278,29 +284,29 @@ def signal_snapshot(spark, sf):
 
 @query
 def live_override(spark, sf):
-    signals = SG.signal_snapshot(scan_bars(spark, sf)).select("ticker", "price", "rsi", "close")
+    signals = SG.signal_snapshot(scan_bars(spark, sf), zones=zones(spark, sf)).select("ticker", "price", "rsi", "close")
     return rounded(P.live_override(signals, M.quotes(spark, sf)), 6, "rsi")
 
 
 @query
 def momentum_score(spark, sf):
-    signals = SG.signal_snapshot(scan_bars(spark, sf))
+    signals = SG.signal_snapshot(scan_bars(spark, sf), zones=zones(spark, sf))
     return SG.with_momentum(signals).select("ticker", "momentum", "momentum_label", *SG.PART_NAMES)
 
 
 @query
 def ma_relation(spark, sf):
-    return rounded(SG.ma_relation(SG.signal_snapshot(scan_bars(spark, sf))), 3, "value")
+    return rounded(SG.ma_relation(SG.signal_snapshot(scan_bars(spark, sf), zones=zones(spark, sf))), 3, "value")
 
 
 @query
 def watch_rules(spark, sf):
-    return rounded(SG.watch_rules(SG.signal_snapshot(scan_bars(spark, sf))), 6, "value")
+    return rounded(SG.watch_rules(SG.signal_snapshot(scan_bars(spark, sf), zones=zones(spark, sf))), 6, "value")
 
 
 @query
 def multi_timeframe(spark, sf):
-    return rounded(SG.multi_timeframe(scan_bars(spark, sf)), 6, "rsi")
+    return rounded(SG.multi_timeframe(scan_bars(spark, sf), zones=zones(spark, sf)), 6, "rsi")
 
 
 @query
@@ -322,12 +328,12 @@ def bar_change(spark, sf):
 
 @query
 def day_change(spark, sf):
-    return rounded(P.day_change(stored_bars(spark, sf), M.quotes(spark, sf)), 6, "pct")
+    return rounded(P.day_change(stored_bars(spark, sf), M.quotes(spark, sf), zones(spark, sf)), 6, "pct")
 
 
 @query
 def key_metrics(spark, sf):
-    out = P.key_metrics(P.bar_scan(scan_bars(spark, sf), "1y"))
+    out = P.key_metrics(P.bar_scan(scan_bars(spark, sf), "1y", zones=zones(spark, sf)))
     return rounded(out, 6, "change", "change_pct")
 
 
@@ -341,12 +347,12 @@ def listing_attrs(spark, sf):
 
 @query
 def range_52w(spark, sf):
-    return L.price_range(stored_bars(spark, sf)).drop("trend")
+    return L.price_range(scan_bars(spark, sf), zones=zones(spark, sf)).drop("trend")
 
 
 @query
 def trend(spark, sf):
-    return L.price_range(stored_bars(spark, sf)).select(*KEYS, "current_price", "trend")
+    return L.price_range(scan_bars(spark, sf), zones=zones(spark, sf)).select(*KEYS, "current_price", "trend")
 
 
 _LEVELS = [L.column_name(n) for n, _ in C.RETRACEMENTS]
@@ -355,20 +361,20 @@ _EXTENSIONS = [L.column_name(n, "ext") for n, _ in C.EXTENSIONS]
 
 @query
 def fibonacci_levels(spark, sf):
-    out = L.fibonacci_levels(stored_bars(spark, sf))
+    out = L.fibonacci_levels(scan_bars(spark, sf), zones=zones(spark, sf))
     return rounded(out, 6, "position_pct").drop("nearest_support", "nearest_resistance")
 
 
 @query
 def support_resistance(spark, sf):
-    return L.fibonacci_levels(stored_bars(spark, sf)).select(
+    return L.fibonacci_levels(scan_bars(spark, sf), zones=zones(spark, sf)).select(
         *KEYS, "current_price", "nearest_support", "nearest_resistance"
     )
 
 
 @query
 def fib_markers(spark, sf):
-    return L.fibonacci_rows(stored_bars(spark, sf))
+    return L.fibonacci_rows(scan_bars(spark, sf), zones=zones(spark, sf))
 
 
 # ---- listings and gaps ----
@@ -576,7 +582,7 @@ def insider_insert_new(spark, sf):
 
 
 def _prices(spark: SparkSession, sf: str) -> DataFrame:
-    return P.last_two_closes(stored_bars(spark, sf)).select("ticker", F.col("last_close").alias("price"))
+    return P.last_two_closes(stored_bars(spark, sf), zones=zones(spark, sf)).select("ticker", F.col("last_close").alias("price"))
 
 
 @query
@@ -657,7 +663,7 @@ def time_to_open(spark, sf):
 
 @query
 def market_snapshot(spark, sf):
-    out = R.market_snapshot(M.quotes(spark, sf), stored_bars(spark, sf))
+    out = R.market_snapshot(M.quotes(spark, sf), stored_bars(spark, sf), zones(spark, sf))
     return rounded(out, 6, "pct")
 
 
@@ -668,17 +674,17 @@ def market_groups(spark, sf):
 
 @query
 def sector_rotation(spark, sf):
-    return R.sector_rotation(M.quotes(spark, sf), stored_bars(spark, sf))
+    return R.sector_rotation(M.quotes(spark, sf), stored_bars(spark, sf), zones(spark, sf))
 
 
 @query
 def sector_breadth(spark, sf):
-    return R.sector_breadth(M.quotes(spark, sf), stored_bars(spark, sf))
+    return R.sector_breadth(M.quotes(spark, sf), stored_bars(spark, sf), zones(spark, sf))
 
 
 @query
 def vix_mood(spark, sf):
-    return R.vix_mood(stored_bars(spark, sf))
+    return R.vix_mood(scan_bars(spark, sf), zones(spark, sf))
 
 
 @query

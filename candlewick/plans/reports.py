@@ -15,6 +15,7 @@ from candlewick.operators import fundamentals as FU
 from candlewick.operators import news as N
 from candlewick.operators import prices as P
 from candlewick.operators import signals as SG
+from candlewick.operators import zones as Z
 from candlewick.sources import dims
 
 
@@ -29,11 +30,18 @@ class Market:
     statements: DataFrame
     calendar: DataFrame
     filings: DataFrame
+    #: The zone map of ``bars``; without it newest rows are found by reading the history.
+    zones: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
         return self.bars.sparkSession
 
+    def newest_day(self) -> Column:
+        if self.zones is not None:
+            return Z.newest(self.zones, "1d")
+        return P.newest(self.bars.where(F.col("timeframe") == "1d"))
+
 
 @dataclass(frozen=True)
 class Words:
@@ -44,11 +52,11 @@ class Words:
 # ---- market wide ----
 
 
-def market_snapshot(quotes: DataFrame, bars: DataFrame) -> DataFrame:
+def market_snapshot(quotes: DataFrame, bars: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     """Every snapshot symbol in its declared order; NULL figures where nothing is known."""
     symbols = dims.snapshot_symbols(bars.sparkSession)
     own_bars, own_quotes = _only(bars, symbols), _only(quotes, symbols)
-    rows = P.quote_or_close(symbols, own_quotes, own_bars)
+    rows = P.quote_or_close(symbols, own_quotes, own_bars, _only(zones, symbols))
     pct = F.when(F.col("price").isNotNull(), P.percent_change(F.col("price"), F.col("previous")))
     return (
         rows.withColumn("pct", pct)
@@ -66,14 +74,14 @@ def market_group(tickers: DataFrame) -> DataFrame:
     )
 
 
-def _only(rows: DataFrame, tickers: DataFrame) -> DataFrame:
+def _only(rows: DataFrame | None, tickers: DataFrame) -> DataFrame | None:
     """Rows of a fixed list of tickers; the list is small by construction."""
-    return rows.join(F.broadcast(tickers.select("ticker")), "ticker", "left_semi")
+    return None if rows is None else rows.join(F.broadcast(tickers.select("ticker")), "ticker", "left_semi")
 
 
-def sector_rows(quotes: DataFrame, bars: DataFrame) -> DataFrame:
+def sector_rows(quotes: DataFrame, bars: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     symbols = dims.sectors(bars.sparkSession)
-    rows = P.quote_or_close(symbols, _only(quotes, symbols), _only(bars, symbols))
+    rows = P.quote_or_close(symbols, _only(quotes, symbols), _only(bars, symbols), _only(zones, symbols))
     pct = F.round(P.percent_change(F.col("price"), F.col("previous")), 2)
     return (
         rows.where(F.col("price").isNotNull())
@@ -83,13 +91,13 @@ def sector_rows(quotes: DataFrame, bars: DataFrame) -> DataFrame:
     )
 
 
-def sector_rotation(quotes: DataFrame, bars: DataFrame) -> DataFrame:
+def sector_rotation(quotes: DataFrame, bars: DataFrame, zones: DataFrame | None = None) -> DataFrame:
     """Sectors with a price, best first; ties keep the declared order."""
-    return sector_rows(quotes, bars).orderBy(F.desc("pct_change"), "pos")
+    return sector_rows(quotes, bars, zones).orderBy(F.desc("pct_change"), "pos")
 
 
-def sector_breadth(quotes: DataFrame, bars: DataFrame) -> DataFrame:
-    return sector_rows(quotes, bars).agg(
+def sector_breadth(quotes: DataFrame, bars: DataFrame, zones: DataFrame | None = None) -> DataFrame:
+    return sector_rows(quotes, bars, zones).agg(
         F.count_if(F.col("pct_change") >= 0).alias("advancing"),
         F.count_if(F.col("pct_change") < 0).alias("declining"),
     )
@@ -101,9 +109,8 @@ def sector_breadth(quotes: DataFrame, bars: DataFrame) -> DataFrame:
 def watch_signals(market: Market, tickers: Sequence[str], as_of: Column | None = None) -> DataFrame:
     """One row per watchlist entry, in order; NULL figures for a ticker without bars."""
     watch = dims.watchlist(market.spark, tickers)
-    bars = market.bars
-    end = P.newest(bars.where(F.col("timeframe") == "1d")) if as_of is None else as_of
-    signals = SG.signal_snapshot(_only(bars, watch), as_of=end)
+    end = market.newest_day() if as_of is None else as_of
+    signals = SG.signal_snapshot(_only(market.bars, watch), as_of=end)
     signals = SG.with_momentum(P.live_override(signals, _only(market.quotes, watch)))
     pct = P.percent_change(F.col("close"), F.col("open"))
     return (
@@ -163,8 +170,8 @@ def _per_ticker(rows: DataFrame, *entries: Column) -> DataFrame:
 
 
 def _market_entries(market: Market) -> DataFrame:
-    snapshot = market_snapshot(market.quotes, market.bars)
-    sectors = sector_rows(market.quotes, market.bars)
+    snapshot = market_snapshot(market.quotes, market.bars, market.zones)
+    sectors = sector_rows(market.quotes, market.bars, market.zones)
     pick = lambda rows, section, label, value: rows.select(
         F.inline(F.array(_entry(section, F.col("pos"), F.col("ticker"), F.col(label), F.col(value))))
     )
@@ -294,7 +301,7 @@ def preopen_report(
         _entry("due", pos, ticker, F.lit("eps"), F.col("eps_estimate")),
         _entry("due", pos, ticker, F.lit("revenue"), F.col("revenue_estimate")),
     )
-    vix = vix_mood(market.bars)
+    vix = vix_mood(market.bars, market.zones)
     mood = _per_ticker(vix, _entry("mood", F.lit(0), ticker, F.col("mood"), F.col("vix")))
     return (
         own.unionByName(headline).unionByName(expected).unionByName(mood)
@@ -302,8 +309,10 @@ def preopen_report(
     )
 
 
-def vix_mood(bars: DataFrame) -> DataFrame:
-    last = P.last_bar(bars.where((F.col("ticker") == "^VIX") & (F.col("timeframe") == "1d")).select("ticker", "timeframe", "ts", "close"))
+def vix_mood(bars: DataFrame, zones: DataFrame | None = None) -> DataFrame:
+    own = (F.col("ticker") == "^VIX") & (F.col("timeframe") == "1d")
+    part = [] if zones is None else ["part"]
+    last = P.last_bar(bars.where(own).select("ticker", "timeframe", *part, "ts", "close"), None if zones is None else zones.where(own))
     vix = F.col("close").cast("double")
     return last.select("ticker", "timeframe", "ts", vix.alias("vix"), scores.vix_label(vix).alias("mood"))
 
@@ -322,8 +331,7 @@ def compare_pair(market: Market, first: str, second: str) -> DataFrame:
     """
     names = (first.upper(), second.upper())
     pair = dims.watchlist(market.spark, names)
-    end = P.newest(market.bars.where(F.col("timeframe") == "1d"))
-    signals = SG.signal_snapshot(_only(market.bars, pair), as_of=end)
+    signals = SG.signal_snapshot(_only(market.bars, pair), as_of=market.newest_day())
     signals = SG.with_momentum(
         P.live_override(signals, _only(market.quotes, pair)), use_change=False
     )
@@ -351,7 +359,7 @@ def analyze(
     Each part arrives as one row per ticker, so the joins are between small
     tables and the size of a join never depends on how much history a ticker has.
     """
-    signals = P.live_override(SG.with_timeframes(market.bars, as_of), market.quotes)
+    signals = P.live_override(SG.with_timeframes(market.bars, as_of, market.zones), market.quotes)
     usable_quote = F.col("prev_close") > 0
     day_pct = F.when(
         usable_quote, P.percent_change(F.col("price"), F.col("prev_close"))
@@ -393,7 +401,7 @@ def market_status_rows(times: DataFrame, ts: str = "ts") -> DataFrame:
 
 def alert_check(market: Market, alerts: DataFrame) -> DataFrame:
     """Alerts that fire at the current prices: live where known, else the last close."""
-    closes = P.last_two_closes(market.bars.where(F.col("timeframe") == "1d"))
+    closes = P.last_two_closes(market.bars, zones=market.zones)
     live = P.latest_quote(market.quotes).select("ticker", "last_price")
     prices = closes.join(live, "ticker", "full_outer").select(
         "ticker", F.coalesce("last_price", F.col("last_close").cast("double")).alias("price")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.operators.fundamentals import new_filings
+from candlewick.operators.zones import ZONES, zone_rows
 from candlewick.sources.schemas import BARS, INSIDER_TRANSACTIONS, MARKET_TABLES
 
 BAR_KEY = ["ticker", "ts", "timeframe"]
@@ -77,27 +78,59 @@ def part_of(ts: str = "ts", timeframe: str = "timeframe") -> Column:
     return F.when(intraday, F.date_format(ts, "yyyy-MM")).otherwise(F.date_format(ts, "yyyy"))
 
 
-def write_series(bars: DataFrame, path: str, mode: str = "append") -> None:
-    """Bars as they are, by bar size and period, sorted for row-group skipping.
+#: Rows of one task, and so of one file, when a table is written: about 256 MB of bars.
+ROWS_PER_FILE = 6_000_000
+
+
+def write_series(
+    bars: DataFrame, path: str, mode: str = "append", rows: int | None = None, touched: DataFrame | None = None,
+) -> None:
+    """Bars as they are, by bar size and period, sorted for row-group skipping; then the zone map of the touched folders.
 
     Range partitioning cuts by rows, so a ticker or period that holds most
-    bars is spread over many tasks.
+    bars is spread over many tasks; ``rows``, where the caller knows their number, sets how many. The map is
+    made from the written files, of all folders or of those in ``touched`` (``timeframe, part``).
     """
     order = [*LAYOUT, "ticker", "ts"]
+    cut = [-(-rows // ROWS_PER_FILE)] if rows else []
     (
         bars.withColumn("part", part_of())
-        .repartitionByRange(*order)
+        .repartitionByRange(*cut, *order)
         .sortWithinPartitions(*order)
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*LAYOUT)
         .parquet(path)
     )
+    refresh_zones(bars.sparkSession, path, touched)
+
+
+def zones_path(path: str) -> str:
+    return f"{path.rstrip('/')}_zones"
+
+
+def refresh_zones(spark: SparkSession, path: str, touched: DataFrame | None = None) -> None:
+    """Makes the zone map of a bar table anew, for all folders or for those in ``touched``."""
+    # The type of closes is that of the files; folder names are texts, though "1d" reads as a number.
+    close = spark.read.parquet(path).schema["close"].dataType.simpleString()
+    bars = spark.read.schema(f"ticker STRING, ts TIMESTAMP, close {close}, timeframe STRING, part STRING").parquet(path)
+    if touched is not None:
+        bars = bars.join(touched, LAYOUT, "left_semi")
+    (
+        zone_rows(bars).repartition(*LAYOUT).sortWithinPartitions(*LAYOUT, "ticker")
+        .write.mode("overwrite").option("partitionOverwriteMode", "static" if touched is None else "dynamic")
+        .partitionBy(*LAYOUT).parquet(zones_path(path))
+    )
+
+
+def read_zones(spark: SparkSession, path: str) -> DataFrame:
+    """The zone map; ``operators/zones.py`` says what it holds."""
+    return spark.read.schema(ZONES).parquet(zones_path(path))
 
 
-def write_bars(bars: DataFrame, path: str, mode: str = "append") -> None:
+def write_bars(bars: DataFrame, path: str, mode: str = "append", touched: DataFrame | None = None) -> None:
     """Bars in the types of the bar table."""
-    write_series(to_table_schema(bars, "bars"), path, mode)
+    write_series(to_table_schema(bars, "bars"), path, mode, touched=touched)
 
 
 def read_bars(
@@ -121,7 +154,8 @@ def upsert_bars(spark: SparkSession, batch: DataFrame, path: str, version: str,
     stored = stored.join(touched, LAYOUT, "left_semi").drop("part")
     staging = f"{path.rstrip('/')}_staging/{version}"
     merge_bars(stored, batch, order).write.mode("overwrite").parquet(staging)
-    write_bars(spark.read.schema(BARS).parquet(staging), path, "overwrite")
+    written = spark.read.schema(BARS).parquet(staging)
+    write_bars(written, path, "overwrite", written.select("timeframe", part_of().alias("part")).distinct())
 
 
 def insert_filings(filings: DataFrame, path: str) -> int:
