@@ -19,8 +19,13 @@ def bar_columns(bars: DataFrame, *columns: str) -> DataFrame:
     return bars.select(*S.KEYS, "ts", *[number(c) for c in columns])
 
 
-def _blocks(bars: DataFrame, halo: int, size: int) -> DataFrame:
-    return S.split_blocks(S.number_series(bars), halo, size=size)
+def _blocks(bars: DataFrame, halo: int, size: int, inner: int | None = None) -> DataFrame:
+    return S.split_blocks(S.number_series(bars), halo, size=size, inner=inner)
+
+
+def _priced(bars: DataFrame, value: str = "close") -> DataFrame:
+    """Bars with a value: recursive averages weigh bars by position, so one without has no place in the series."""
+    return bars.where(F.col(value).isNotNull())
 
 
 def _finish(blocks: DataFrame, *columns: str) -> DataFrame:
@@ -41,7 +46,7 @@ def ema(
     """Exponential moving average seeded with the first bar; NULL for ``period - 1`` bars."""
     decay = S.span(name, value, period)
     size = S.block_size([decay], size)
-    blocks = _blocks(bar_columns(bars, value), 0, size)
+    blocks = _blocks(_priced(bar_columns(bars, value), value), 0, size)
     return _finish(S.decayed_averages(blocks, [decay], size=size), value, name)
 
 
@@ -95,18 +100,18 @@ def rsi(bars: DataFrame, period: int = C.RSI_PERIOD, size: int = S.BLOCK_ROWS) -
     """Relative strength index with Wilder smoothing."""
     decays = _rsi_decays(period)
     size = S.block_size(decays, size)
-    blocks = _gains(_blocks(bar_columns(bars, "close"), 1, size))
+    blocks = _gains(_blocks(_priced(bar_columns(bars, "close")), 1, size))
     out = S.decayed_averages(blocks, decays, size=size)
     return _finish(out.withColumn("rsi", _rsi_value()), "close", "rsi")
 
 
 def _with_macd(
-    blocks: DataFrame, fast: int, slow: int, signal: int, size: int | None
+    blocks: DataFrame, fast: int, slow: int, signal: int, size: int | None, per_block: int = 1
 ) -> DataFrame:
     """Signal line and histogram, given columns ``_fast`` and ``_slow``."""
     start = max(fast, slow) - 1
     out = blocks.withColumn("macd_line", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
-    out = S.decayed_averages(out, [S.span("macd_signal", "macd_line", signal, start)], size=size)
+    out = S.decayed_averages(out, [S.span("macd_signal", "macd_line", signal, start)], size=size, per_block=per_block)
     return out.withColumn("macd_histogram", F.col("macd_line") - F.col("macd_signal"))
 
 
@@ -120,7 +125,7 @@ def macd(
     """MACD line, signal line and histogram."""
     decays = [S.span("_fast", "close", fast), S.span("_slow", "close", slow)]
     size = S.block_size([*decays, S.span("macd_signal", "close", signal)], size)
-    blocks = _blocks(bar_columns(bars, "close"), 0, size)
+    blocks = _blocks(_priced(bar_columns(bars, "close")), 0, size)
     out = _with_macd(S.decayed_averages(blocks, decays, size=size), fast, slow, signal, size)
     return _finish(out, "close", "macd_line", "macd_signal", "macd_histogram")
 
@@ -164,30 +169,34 @@ def ma_columns(periods: Sequence[int] = C.MA_PERIODS) -> list[str]:
 def moving_averages(
     bars: DataFrame, periods: Sequence[int] = C.MA_PERIODS, size: int = S.BLOCK_ROWS
 ) -> DataFrame:
-    """All simple and exponential averages in one pass over the blocks."""
+    """All simple and exponential averages in one pass over the blocks, whatever the periods."""
     decays = _ema_decays(periods)
-    size = S.block_size(decays, max(size, *periods))
-    blocks = _blocks(bar_columns(bars, "close"), max(periods) - 1, size)
-    out = S.decayed_averages(_with_smas(blocks, periods), decays, size=size)
+    inner = S.block_size(decays, size)
+    size = S.block_rows(size, inner, *periods)
+    blocks = _blocks(_priced(bar_columns(bars, "close")), max(periods) - 1, size, inner)
+    out = S.decayed_averages(_with_smas(blocks, periods), decays, size=inner, per_block=size // inner)
     return _finish(out, "close", *ma_columns(periods))
 
 
-def with_indicators(
-    blocks: DataFrame, periods: Sequence[int] = C.MA_PERIODS, size: int | None = None
-) -> DataFrame:
-    """Every indicator of a signal as a column of each bar of ``blocks``."""
-    decays = [
+def _all_decays(periods: Sequence[int]) -> list[S.Decay]:
+    return [
         *_ema_decays(periods),
         S.span("_fast", "close", C.MACD_FAST),
         S.span("_slow", "close", C.MACD_SLOW),
         *_rsi_decays(C.RSI_PERIOD),
     ]
+
+
+def with_indicators(
+    blocks: DataFrame, periods: Sequence[int] = C.MA_PERIODS, size: int | None = None, per_block: int = 1
+) -> DataFrame:
+    """Every indicator of a signal as a column of each bar of ``blocks``; all bars have a close."""
     frame = _with_spike(
         _with_smas(_gains(blocks), periods), "volume_spike", C.VOLUME_MA_PERIOD,
         C.VOLUME_SPIKE_MULTIPLIER,
     )
-    out = S.decayed_averages(frame, decays, size=size)
-    out = _with_macd(out, C.MACD_FAST, C.MACD_SLOW, C.MACD_SIGNAL, size)
+    out = S.decayed_averages(frame, _all_decays(periods), size=size, per_block=per_block)
+    out = _with_macd(out, C.MACD_FAST, C.MACD_SLOW, C.MACD_SIGNAL, size, per_block)
     return out.withColumn("rsi", _rsi_value()).drop("_gain", "_loss", "_avg_gain", "_avg_loss")
 
 
@@ -195,8 +204,10 @@ def indicator_series(
     bars: DataFrame, periods: Sequence[int] = C.MA_PERIODS, size: int = S.BLOCK_ROWS
 ) -> DataFrame:
     """Every indicator on every bar of the full history."""
-    bars = bar_columns(bars, "open", "high", "low", "close", "volume")
-    blocks = _blocks(bars, max(*periods, C.VOLUME_MA_PERIOD, 2) - 1, max(size, *periods))
-    out = with_indicators(blocks, periods, size=max(size, *periods))
-    return out.where(~F.col("halo")).drop("block", "j", "halo")
-
+    bars = _priced(bar_columns(bars, "open", "high", "low", "close", "volume"))
+    windows = (*periods, C.VOLUME_MA_PERIOD, 2)
+    inner = S.block_size([*_all_decays(periods), S.span("macd_signal", "macd_line", C.MACD_SIGNAL)], size)
+    size = S.block_rows(size, inner, *windows)
+    blocks = _blocks(bars, max(windows) - 1, size, inner)
+    out = with_indicators(blocks, periods, inner, size // inner)
+    return out.where(~F.col("halo")).drop("block", "j", "halo", "sub", "i")

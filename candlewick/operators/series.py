@@ -9,8 +9,16 @@ run inside *blocks* of at most ``BLOCK_ROWS`` consecutive bars:
 * :func:`split_blocks` cuts a numbered series and repeats the last ``halo`` bars
   of a block at the head of the next one, so that a frame of ``halo + 1`` rows
   is complete everywhere;
-* :func:`decayed_averages` evaluates exponential averages block by block and
-  adds what earlier blocks still contribute.
+* :func:`decayed_averages` evaluates exponential averages sub-block by sub-block and
+  adds what earlier ones still contribute.
+
+Blocks have two levels: a block is long enough for the longest rolling window, and is cut into
+sub-blocks short enough for the weights of the fastest exponential average. Both live in
+one shuffle and one sort, so any periods go together.
+
+Prices may stand still for long, and rounding noise must not decide comparisons there. Running sums take
+deviations from a base value of the block, means of equal values are that value, and exponential averages
+are evaluated as a distance from the current value, which shrinks by a power over a run of equal values.
 
 :func:`whole_series` is the same contract for series whose length is bounded by
 a lookback filter, where one block per series is enough.
@@ -40,11 +48,15 @@ _SO_FAR = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 
 def _over(keys: Sequence[str]) -> str:
-    return f"PARTITION BY {', '.join(keys)}, block ORDER BY rn"
+    return f"PARTITION BY {', '.join(keys)}, block ORDER BY sub, rn"
+
+
+def _over_sub(keys: Sequence[str]) -> str:
+    return f"PARTITION BY {', '.join(keys)}, block, sub ORDER BY rn"
 
 
 def block_window(keys: Sequence[str] = KEYS):
-    return W.partitionBy(*keys, "block").orderBy("rn")
+    return W.partitionBy(*keys, "block").orderBy("sub", "rn")
 
 
 def calendar_bucket(ts: str = "ts", timeframe: str = "timeframe") -> Column:
@@ -82,12 +94,22 @@ def number_series(bars: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     )
 
 
+def block_rows(size: int, inner: int, *windows: int) -> int:
+    """Rows of a block: at least ``size`` and the longest window, and a whole number of sub-blocks."""
+    return -(-max(size, *windows) // inner) * inner
+
+
 def split_blocks(
-    numbered: DataFrame, halo: int, keys: Sequence[str] = KEYS, size: int = BLOCK_ROWS
+    numbered: DataFrame, halo: int, keys: Sequence[str] = KEYS, size: int = BLOCK_ROWS, inner: int | None = None,
 ) -> DataFrame:
-    """Adds ``block``, ``j`` (position in the block) and ``halo`` (repeated bar)."""
+    """Adds ``block``, ``j`` (position in the block), ``halo`` (repeated bar), ``sub`` (sub-block of ``inner`` rows) and
+    ``i`` (position in it). Repeated bars lie in sub-block -1.
+    """
     if not 0 <= halo <= size:
         raise ValueError(f"halo of {halo} bars does not fit blocks of {size}")
+    inner = inner or size
+    if size % inner:
+        raise ValueError(f"blocks of {size} are not a whole number of sub-blocks of {inner}")
     home = F.floor(F.col("rn") / size)
     if halo:
         tail = F.col("rn") % size >= size - halo
@@ -98,6 +120,8 @@ def split_blocks(
         numbered.withColumn("block", target)
         .withColumn("j", F.col("rn") - F.col("block") * size)
         .withColumn("halo", F.col("j") < 0)
+        .withColumn("sub", F.when(F.col("halo"), F.lit(-1).cast("long")).otherwise(F.floor(F.col("j") / inner)))
+        .withColumn("i", F.when(F.col("halo"), F.col("j")).otherwise(F.col("j") % inner))
     )
 
 
@@ -112,6 +136,8 @@ def whole_series(bars: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         bars.withColumn("block", F.lit(0).cast("long"))
         .withColumn("rn", (F.row_number().over(order) - 1).cast("long"))
         .withColumn("j", F.col("rn"))
+        .withColumn("i", F.col("rn"))
+        .withColumn("sub", F.lit(0).cast("long"))
         .withColumn("halo", F.lit(False))
         .withColumn("length", F.count(F.lit(1)).over(W.partitionBy(*keys, "block")))
     )
@@ -124,26 +150,30 @@ def with_averages(
 
     ``averages`` maps a column name to ``(value, period)``. Every mean is the
     difference of two running sums of its block, so its cost does not grow with
-    the period.
+    the period. The mean of equal values is that value.
     """
     for value, period in averages.values():
         if period < 1:
             raise ValueError(f"period must be >= 1, got {period} for {value}")
     window = _over(keys)
     values = sorted({value for value, _ in averages.values()})
-    running = [
-        f"{fn}({v}) OVER ({window} {_SO_FAR}) AS _{fn}_{v}" for v in values for fn in ("sum", "count")
-    ]
+    # Deviations from the block's first value keep running sums short; where a run of equal values begins is remembered.
+    bases = [f"first({v}, true) OVER ({window} {_SO_FAR}) AS _base_{v}" for v in values]
+    running = [f"sum({v} - _base_{v}) OVER ({window} {_SO_FAR}) AS _sum_{v}" for v in values]
+    running += [f"count({v}) OVER ({window} {_SO_FAR}) AS _count_{v}" for v in values]
+    changes = [f"CASE WHEN {v} <=> lag({v}) OVER ({window}) THEN NULL ELSE j END AS _change_{v}" for v in values]
+    starts = [f"max(_change_{v}) OVER ({window} {_SO_FAR}) AS _run_{v}" for v in values]
 
     def inside(column: str, period: int) -> str:
         return f"({column} - coalesce(lag({column}, {period}) OVER ({window}), 0))"
 
     means = [
-        f"CASE WHEN {inside(f'_count_{value}', period)} = {period}"
-        f" THEN {inside(f'_sum_{value}', period)} / {period} END AS {name}"
+        f"CASE WHEN {inside(f'_count_{value}', period)} < {period} THEN NULL"
+        f" WHEN j - _run_{value} >= {period - 1} THEN {value}"
+        f" ELSE _base_{value} + {inside(f'_sum_{value}', period)} / {period} END AS {name}"
         for name, (value, period) in averages.items()
     ]
-    return blocks.selectExpr("*", *running).selectExpr(*blocks.columns, *means)
+    return blocks.selectExpr("*", *bases, *changes).selectExpr("*", *running, *starts).selectExpr(*blocks.columns, *means)
 
 
 @dataclass(frozen=True)
@@ -190,10 +220,10 @@ def block_size(decays: Sequence[Decay], size: int = BLOCK_ROWS) -> int:
     return min(size, int(math.log(_MAX_GROWTH) / -math.log(min(betas))))
 
 
-def _share(decay: Decay) -> str:
+def _share(decay: Decay, value: str) -> str:
     """Weighted input of one row; repeated and not yet started rows add nothing."""
     weight = f"if(rn = {decay.start}, 1D, {decay.alpha!r}D)"
-    return f"if(NOT halo AND rn >= {decay.start}, {weight} * {decay.value}, 0D)"
+    return f"if(NOT halo AND rn >= {decay.start}, {weight} * ({value}), 0D)"
 
 
 def decayed_averages(
@@ -201,51 +231,100 @@ def decayed_averages(
     decays: Sequence[Decay],
     keys: Sequence[str] = KEYS,
     size: int | None = BLOCK_ROWS,
+    per_block: int = 1,
 ) -> DataFrame:
-    """Adds one column per decay.
+    """Adds one column per decay; values must not be NULL from their start on.
+
+    In a sub-block the average is ``b^i · Σ share·b^(-i)``, an ordinary running sum of deviations from its first
+    value. Sub-block ``k`` of ``size`` rows ends at ``e_k``, and what those before ``k`` add at its row ``i``
+    is ``b^(i+1) · Σ b^(size·(n-1))·e_(k-n)``. The end values are plain sums of deviations from the last value, and the
+    carry is a sum over their copies addressed to later sub-blocks, so neither step
+    gathers a series. ``per_block`` sub-blocks make a block. ``size=None`` is for :func:`whole_series`: nothing is carried.
 
-    In a block the average is ``b^j · Σ share·b^(-j)``, an ordinary running sum.
-    Block ``k`` ends at ``e_k``, and what blocks before ``k`` add at its row ``j``
-    is ``b^(j+1) · Σ b^(size·(i-1))·e_(k-i)``. The end values are plain sums, and the
-    carry is a sum over their copies addressed to later blocks, so neither step
-    gathers a series. ``size=None`` is for :func:`whole_series`: nothing is carried.
+    A run of equal values ``x`` that began ``m`` rows ago has ``x + b^m · (y - x)`` with the average ``y`` before it, which
+    stays exact however long it is. Decays ``in_ratio`` are of changes, whose runs are zeros, and need no base.
     """
     moving = [d for d in decays if d.beta > 0]
-    local = [
-        f"sum({_share(d)} * pow({d.beta!r}D, -j)) OVER ({_over(keys)} {_SO_FAR})"
-        f" * pow({d.beta!r}D, j) AS _local_{d.name}"
-        for d in moving
+    centred = [d for d in moving if not d.in_ratio]
+    values = sorted({(d.value, d.start) for d in centred})
+    window = _over_sub(keys)
+    tag = lambda v: f"{v[0]}_{v[1]}"
+    begun = lambda v: f"if(NOT halo AND rn >= {v[1]}, {v[0]}, NULL)"
+    firsts = [f"first({begun(v)}, true) OVER ({window} {_SO_FAR}) AS _first_{tag(v)}" for v in values]
+    # Where values change, and where a sub-block or the average begins.
+    changes = [
+        f"rn = {v[1]} OR i = 0 OR NOT {v[0]} <=> lag({v[0]}) OVER ({window}) AS _change_{tag(v)}" for v in values
     ]
-    out = blocks.selectExpr("*", *local)
+    out = blocks.selectExpr("*", *firsts, *changes)
     if size is not None and moving:
-        out = out.join(_carries(blocks, moving, keys, size), [*keys, "block"], "left")
+        out = out.join(_carries(blocks, moving, keys, size, per_block), [*keys, "block", "sub"], "left")
+
+    def base(d: Decay) -> str:
+        return f"_first_{d.value}_{d.start}"
+
+    def carried(d: Decay) -> str:
+        return "0D" if size is None else f"coalesce(_carry_{d.name}, 0D)"
+
+    raw = []
+    for d in moving:
+        value = d.value if d.in_ratio else f"{d.value} - {base(d)}"
+        local = (f"sum({_share(d, value)} * pow({d.beta!r}D, -i)) OVER ({window} {_SO_FAR}) * pow({d.beta!r}D, i)"
+                 f" + pow({d.beta!r}D, i + 1) * {carried(d)}")
+        raw.append(f"{local if d.in_ratio else f'{base(d)} + {local}'} AS _raw_{d.name}")
+    runs = [f"max(if(_change_{tag(v)}, i, NULL)) OVER ({window} {_SO_FAR}) AS _run_{tag(v)}" for v in values]
+    before = [
+        f"CASE WHEN NOT _change_{d.value}_{d.start} THEN NULL WHEN rn = {d.start} THEN 0D WHEN i = 0 THEN {carried(d)}"
+        f" ELSE lag(_raw_{d.name}) OVER ({window}) - {d.value} END AS _step_{d.name}"
+        for d in centred
+    ]
+    away = [f"last(_step_{d.name}, true) OVER ({window} {_SO_FAR}) AS _away_{d.name}" for d in centred]
 
     def average(d: Decay) -> str:
         if d.beta <= 0:
             value = d.value
-        elif size is None:
-            value = f"_local_{d.name}"
+        elif d.in_ratio:
+            value = f"_raw_{d.name}"
         else:
-            value = f"_local_{d.name} + pow({d.beta!r}D, j + 1) * coalesce(_carry_{d.name}, 0D)"
+            value = f"{d.value} + pow({d.beta!r}D, i - _run_{d.value}_{d.start} + 1) * _away_{d.name}"
         return f"CASE WHEN rn - {d.start} + 1 >= {d.period} THEN {value} END AS {d.name}"
 
+    out = out.selectExpr("*", *raw, *runs).selectExpr("*", *before).selectExpr("*", *away)
     return out.selectExpr(*blocks.columns, *[average(d) for d in decays])
 
 
 def _carries(
-    blocks: DataFrame, decays: Sequence[Decay], keys: Sequence[str], size: int
+    blocks: DataFrame, decays: Sequence[Decay], keys: Sequence[str], size: int, per_block: int
 ) -> DataFrame:
-    ends = blocks.groupBy(*keys, "block").agg(
-        *[
-            F.expr(f"sum({_share(d)} * pow({d.beta!r}D, {size - 1} - j)) AS _end_{d.name}")
-            for d in decays
-        ]
+    """What earlier sub-blocks add at the head of each, as a distance from its first value (``in_ratio``: from zero)."""
+    values = sorted({(d.value, d.start) for d in decays if not d.in_ratio})
+    home = blocks.where("NOT halo").withColumn("_at", F.col("block") * per_block + F.col("sub"))
+    whole = f"PARTITION BY {', '.join(keys)}, block, sub"
+    lasts = [
+        f"max_by({v}, rn) OVER ({whole}) AS _last_{v}_{start}" for v, start in values
+    ]
+    tail = lambda d: f"pow({d.beta!r}D, {size - 1} - i)"
+    value = lambda d: d.value if d.in_ratio else f"{d.value} - _last_{d.value}_{d.start}"
+    ends = home.selectExpr("*", *lasts).groupBy(*keys, "_at").agg(
+        *[F.expr(f"sum({_share(d, value(d))} * {tail(d)}) AS _end_{d.name}") for d in decays],
+        *[F.expr(f"sum({_share(d, '1D')} * {tail(d)}) AS _weight_{d.name}") for d in decays if not d.in_ratio],
+        *[F.expr(f"max(_last_{v}_{start}) AS _last_{v}_{start}") for v, start in values],
+        *[F.expr(f"min_by({v}, rn) FILTER (WHERE rn >= {start}) AS _first_{v}_{start}") for v, start in values],
     )
     reach = max(d.reach(size) for d in decays)
-    steps = ends.withColumn("_step", F.explode(F.sequence(F.lit(1), F.lit(reach))))
+    sent = ends.drop(*[f"_first_{v}_{start}" for v, start in values]).withColumn(
+        "_step", F.explode(F.sequence(F.lit(1), F.lit(reach)))).withColumn("_at", F.col("_at") + F.col("_step"))
+    met = sent.join(ends.select(*keys, "_at", *[f"_first_{v}_{start}" for v, start in values]), [*keys, "_at"])
+
+    def given(d: Decay) -> str:
+        if d.in_ratio:
+            return f"_end_{d.name}"
+        at = f"{d.value}_{d.start}"
+        return f"(coalesce(_end_{d.name}, 0D) + _weight_{d.name} * coalesce(_last_{at} - _first_{at}, 0D))"
+
     sums = [
-        f"sum(CASE WHEN _step <= {d.reach(size)}"
-        f" THEN _end_{d.name} * pow({d.beta**size!r}D, _step - 1) END) AS _carry_{d.name}"
+        f"sum(CASE WHEN _step <= {d.reach(size)} THEN {given(d)} * pow({d.beta**size!r}D, _step - 1) END) AS _carry_{d.name}"
         for d in decays
     ]
-    return steps.groupBy(*keys, F.expr("block + _step AS block")).agg(*[F.expr(e) for e in sums])
+    return met.groupBy(
+        *keys, F.expr(f"_at div {per_block} AS block"), F.expr(f"_at % {per_block} AS sub"),
+    ).agg(*[F.expr(e) for e in sums])

@@ -25,7 +25,7 @@ def signal_frame(bars: DataFrame) -> DataFrame:
     ``bars`` must come from a lookback scan: its series are short, so the one
     shuffle by series serves the averages, the range and the choice of the last bar.
     """
-    bars = I.bar_columns(bars, *NUMBERS)
+    bars = I.bar_columns(bars, *NUMBERS).where("close IS NOT NULL")
     window = S.block_window()
     everything = W.partitionBy(*S.KEYS, "block")
     in_range = F.when(F.col("rn") >= F.col("length") - C.RANGE_BARS, F.col("close"))
@@ -49,7 +49,7 @@ def signal_frame(bars: DataFrame) -> DataFrame:
         .withColumn("rsi_signal", I.rsi_label(F.col("rsi")))
         .withColumn("macd_bullish", F.coalesce(F.col("macd_histogram") > 0, F.lit(False)))
         .withColumn("price", F.col("close"))
-        .drop("_anchor", "block", "rn", "j", "halo", "length")
+        .drop("_anchor", "block", "rn", "j", "halo", "sub", "i", "length")
     )
 
 

@@ -445,31 +445,31 @@ oracle("bar_upsert", """SELECT coalesce(o.ticker, n.ticker) AS ticker, coalesce(
  coalesce(n.volume, o.volume) AS volume FROM bars o FULL JOIN batch n ON n.ticker = o.ticker AND n.ts = o.ts""")
 
 _KEY = "ticker, timeframe, ts"
-oracle("sma", f"SELECT {_KEY}, close, round(sma_20, 3) AS sma_20 FROM history")
-oracle("ema", f"SELECT {_KEY}, close, round(ema_20, 3) AS ema_20 FROM history")
+oracle("sma", f"SELECT {_KEY}, close, round(sma_20, 6) AS sma_20 FROM history")
+oracle("ema", f"SELECT {_KEY}, close, round(ema_20, 6) AS ema_20 FROM history")
 oracle("rsi", f"SELECT {_KEY}, close, round(rsi, 6) AS rsi FROM history")
 oracle("rsi_bands", f"""SELECT {_KEY}, round(rsi, 6) AS rsi, rsi_signal, coalesce(rsi >= 70, false) AS is_overbought,
  coalesce(rsi <= 30, false) AS is_oversold FROM history""")
 _MACD = "macd_line", "macd_signal", "macd_histogram"
 _round = lambda names, d: ", ".join(f"round({n}, {d}) AS {n}" for n in names)
 _MAS = [f"{k}_{p}" for p in C.MA_PERIODS for k in ("sma", "ema")]
-oracle("macd", f"SELECT {_KEY}, close, {_round(_MACD, 3)} FROM history")
+oracle("macd", f"SELECT {_KEY}, close, {_round(_MACD, 6)} FROM history")
 oracle("volume_spike", f"SELECT {_KEY}, volume::DOUBLE AS volume, volume_spike AS is_spike FROM history")
-oracle("moving_averages", f"SELECT {_KEY}, close, {_round(_MAS, 3)} FROM history")
+oracle("moving_averages", f"SELECT {_KEY}, close, {_round(_MAS, 6)} FROM history")
 oracle("rolling_range", f"SELECT {_KEY}, close, high_52w AS range_high, low_52w AS range_low FROM history")
 _LINES = ", ".join(f"{_LEVEL[n]} AS {column_name(n)}" for n, _ in C.RETRACEMENTS[1:-1])
 cte("level_lines", f"SELECT ticker, {_LINES} FROM usable")
 oracle("chart_series", f"""SELECT {_KEY}, open, high, low, close, volume::DOUBLE AS volume,
- {_round(('sma_50', 'sma_200', 'ema_50', 'ema_200'), 3)}, round(rsi, 6) AS rsi, close >= open AS is_up,
+ {_round(('sma_50', 'sma_200', 'ema_50', 'ema_200'), 6)}, round(rsi, 6) AS rsi, close >= open AS is_up,
  v.* EXCLUDE (ticker) FROM history LEFT JOIN level_lines v USING (ticker)""")
 
-oracle("signal_snapshot", f"""SELECT {_KEY}, price, round(rsi, 6) AS rsi, rsi_signal, {_round(_MACD, 3)}, macd_bullish,
- volume_spike, {_round(_MAS, 3)} FROM priced_close""")
+oracle("signal_snapshot", f"""SELECT {_KEY}, price, round(rsi, 6) AS rsi, rsi_signal, {_round(_MACD, 6)}, macd_bullish,
+ volume_spike, {_round(_MAS, 6)} FROM priced_close""")
 oracle("live_override", "SELECT ticker, price, round(rsi, 6) AS rsi, close, prev_close FROM priced_live")
 _PARTS = "rsi_points, sma200_points, macd_points, volume_points, change_points"
 oracle("momentum_score", f"SELECT ticker, momentum, momentum_label, {_PARTS} FROM scored_close")
 oracle("ma_relation", " UNION ALL ".join(
-    f"""SELECT ticker, price, 'sma_{p}' AS ma, round(sma_{p}, 3) AS value,
+    f"""SELECT ticker, price, 'sma_{p}' AS ma, round(sma_{p}, 6) AS value,
     CASE WHEN price > sma_{p} THEN 'above' ELSE 'below' END AS relation FROM priced_close WHERE sma_{p} <> 0"""
     for p in (20, 50, 150, 200)))
 _WATCH_RULES = (("bounce", "rsi", "rsi < 35 AND rsi <> 0"), ("pullback", "rsi", "rsi > 70"),
@@ -658,8 +658,8 @@ cte("pair_values", " UNION ALL ".join(
     f"SELECT s.ticker, {i} AS pos, '{m}' AS metric, {m}::DOUBLE AS value FROM scored_pair s "
     "LEFT JOIN newest_profile p ON p.ticker = s.ticker WHERE s.ticker IN ('AAPL', 'MSFT')"
     for i, m in enumerate(_COMPARED)))
-oracle("compare_pair", """SELECT pos, metric, round(max(CASE WHEN ticker = 'AAPL' THEN value END), 3) AS first,
- round(max(CASE WHEN ticker = 'MSFT' THEN value END), 3) AS second FROM pair_values GROUP BY ALL""")
+oracle("compare_pair", """SELECT pos, metric, round(max(CASE WHEN ticker = 'AAPL' THEN value END), 6) AS first,
+ round(max(CASE WHEN ticker = 'MSFT' THEN value END), 6) AS second FROM pair_values GROUP BY ALL""")
 
 cte("earnings_due", f"""SELECT w.pos, w.ticker, e.quarter, e.eps_surprise_pct FROM watch w JOIN newest_facts f USING (ticker)
  JOIN earnings e USING (ticker) WHERE CAST(f.reported_at AS DATE) = DATE '{TODAY}'""")
@@ -717,7 +717,7 @@ cte("filing_counts", """SELECT ticker, count(*) FILTER (transaction_type = 'BUY'
  count(*) FILTER (transaction_type = 'SELL') AS insider_sells FROM recent_filings
  WHERE transaction_date IS NOT NULL GROUP BY ticker""")
 oracle("analyze", f"""SELECT s.ticker, s.timeframe, s.ts, s.open, s.high, s.low, s.close, s.volume::DOUBLE AS volume, s.volume_spike,
- {_round([f's.{n}' for n in _MAS], 3).replace('AS s.', 'AS ')}, {_round([f's.{n}' for n in _MACD], 3).replace('AS s.', 'AS ')},
+ {_round([f's.{n}' for n in _MAS], 6).replace('AS s.', 'AS ')}, {_round([f's.{n}' for n in _MACD], 6).replace('AS s.', 'AS ')},
  round(s.rsi, 6) AS rsi, s.close_before, s.high_52w, s.low_52w, s.bars_seen, s.trend, s.rsi_signal, s.macd_bullish, s.price,
  s.prev_close, s.rsi_points, s.sma200_points, s.macd_points, s.volume_points, s.change_points, s.momentum, s.momentum_label,
  s.nearest_support, s.nearest_resistance,

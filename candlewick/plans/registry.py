@@ -217,12 +217,12 @@ def bar_upsert(spark, sf):
 
 @query
 def sma(spark, sf):
-    return rounded(I.sma(stored_bars(spark, sf), 20, name="sma_20"), 3, "sma_20")
+    return rounded(I.sma(stored_bars(spark, sf), 20, name="sma_20"), 6, "sma_20")
 
 
 @query
 def ema(spark, sf):
-    return rounded(I.ema(stored_bars(spark, sf), 20, name="ema_20"), 3, "ema_20")
+    return rounded(I.ema(stored_bars(spark, sf), 20, name="ema_20"), 6, "ema_20")
 
 
 @query
@@ -237,7 +237,7 @@ def rsi_bands(spark, sf):
 
 @query
 def macd(spark, sf):
-    return rounded(I.macd(stored_bars(spark, sf)), 3, "macd_line", "macd_signal", "macd_histogram")
+    return rounded(I.macd(stored_bars(spark, sf)), 6, "macd_line", "macd_signal", "macd_histogram")
 
 
 @query
@@ -247,7 +247,7 @@ def volume_spike(spark, sf):
 
 @query
 def moving_averages(spark, sf):
-    return rounded(I.moving_averages(stored_bars(spark, sf)), 3, *I.ma_columns())
+    return rounded(I.moving_averages(stored_bars(spark, sf)), 6, *I.ma_columns())
 
 
 @query
@@ -265,7 +265,7 @@ def chart_series(spark, sf):
         "ema_200", "rsi",
     )
     out = series.withColumn("is_up", F.col("close") >= F.col("open")).join(levels, list(KEYS), "left")
-    return rounded(rounded(out, 3, "sma_50", "sma_200", "ema_50", "ema_200"), 6, "rsi")
+    return rounded(out, 6, "sma_50", "sma_200", "ema_50", "ema_200", "rsi")
 
 
 # ---- newest signals ----
@@ -279,7 +279,7 @@ def signal_snapshot(spark, sf):
         *KEYS, "ts", "price", "rsi", "rsi_signal", "macd_line", "macd_signal", "macd_histogram",
         "macd_bullish", "volume_spike", *_MAS,
     )
-    return rounded(rounded(out, 3, "macd_line", "macd_signal", "macd_histogram", *_MAS), 6, "rsi")
+    return rounded(out, 6, "macd_line", "macd_signal", "macd_histogram", *_MAS, "rsi")
 
 
 @query
@@ -296,7 +296,7 @@ def momentum_score(spark, sf):
 
 @query
 def ma_relation(spark, sf):
-    return rounded(SG.ma_relation(SG.signal_snapshot(scan_bars(spark, sf), zones=zones(spark, sf))), 3, "value")
+    return rounded(SG.ma_relation(SG.signal_snapshot(scan_bars(spark, sf), zones=zones(spark, sf))), 6, "value")
 
 
 @query
@@ -705,14 +705,14 @@ def rsi_summary(spark, sf):
 
 @query
 def compare_pair(spark, sf):
-    return rounded(R.compare_pair(market(spark, sf), "AAPL", "MSFT"), 3, "first", "second")
+    return rounded(R.compare_pair(market(spark, sf), "AAPL", "MSFT"), 6, "first", "second")
 
 
 @query
 def analyze(spark, sf):
     out = R.analyze(market(spark, sf), at(NEWS_AS_OF), WORDS)
     out = rounded(out, 6, "rsi", "weekly_rsi", "monthly_rsi", "day_pct", "position_pct")
-    return rounded(out, 3, "macd_line", "macd_signal", "macd_histogram", *_MAS)
+    return rounded(out, 6, "macd_line", "macd_signal", "macd_histogram", *_MAS)
 
 
 @query

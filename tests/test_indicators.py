@@ -168,3 +168,69 @@ def test_one_hot_series_is_spread_over_blocks(make_bars):
     blocks = S.split_blocks(S.number_series(make_bars({"A": range(3000)})), 10, size=100)
     sizes = blocks.groupBy("ticker", "block").count().toPandas()
     assert len(sizes) == 31 and sizes["count"].max() <= 110
+
+
+# Flat prices: rounding noise must not decide what is above or below an average.
+
+def moved_then_flat(moved, flat, price=33.37, seed=3):
+    rng = np.random.default_rng(seed)
+    return (100 + rng.normal(size=moved).cumsum()).tolist() + [price] * flat
+
+
+@pytest.mark.parametrize("size", [64, 1024])
+def test_flat_from_the_start_is_exact(make_bars, size):
+    got = I.indicator_series(make_bars({"A": [100.1] * 700}), (20, 200), size=size).orderBy("ts").toPandas()
+    for name in ("sma_20", "sma_200", "ema_20", "ema_200"):
+        assert set(got[name].dropna()) == {100.1}
+    for name in ("macd_line", "macd_signal", "macd_histogram"):
+        assert set(got[name].dropna()) == {0.0}
+
+
+@pytest.mark.parametrize("size", [64, 256, 1024])
+@pytest.mark.parametrize("tail", [[], [35.0, 36.5, 34.25]], ids=["flat at the end", "moving again"])
+def test_flat_after_movement_and_across_blocks(make_bars, size, tail):
+    values = moved_then_flat(300, 1500) + tail
+    s = pd.Series(values)
+    sma = column(I.sma(make_bars({"A": values}), 20, size=size), "sma")
+    assert sma[319:1800] == [33.37] * 1481 == s.rolling(20).mean()[319:1800].tolist()
+    same(sma, s.rolling(20).mean().tolist(), 1e-12)
+    ema = column(I.ema(make_bars({"A": values}), 20, size=size), "ema")
+    same(ema, average(20)(s).tolist(), 1e-12)
+    # The average falls towards the price and ends on it; it never gets below.
+    assert all(a >= b >= 33.37 for a, b in zip(ema[300:1800], ema[301:1800])) and ema[1799] == 33.37
+    macd = I.macd(make_bars({"A": values}), size=size).orderBy("ts").toPandas()
+    assert (macd.macd_line[300:1800] <= 1e-9).all() and abs(macd.macd_line[1799]) < 1e-30 or macd.macd_line[1799] == 0
+    same(macd.macd_line.tolist(), macd_line(s).tolist(), 1e-11)
+
+
+def test_momentum_of_flat_prices_has_no_points_from_noise(make_bars):
+    from candlewick.operators import signals as SG
+
+    row = SG.with_momentum(SG.signal_snapshot(make_bars({"A": [100.1] * 300}))).collect()[0]
+    assert (row["sma_200"], row["macd_histogram"], row["macd_bullish"]) == (100.1, 0.0, False)
+
+
+@pytest.mark.parametrize("periods", [(2, 1000), (20, 5000)])
+def test_any_periods_go_together(spark, periods):
+    rng = np.random.default_rng(5)
+    values = 100 + rng.normal(size=20_000).cumsum()
+    frame = pd.DataFrame({
+        "ticker": "A", "timeframe": "1m", "ts": pd.date_range("2024-01-01", periods=20_000, freq="min"), "open": values,
+        "high": values, "low": values, "close": values, "volume": 1})
+    bars, s = spark.createDataFrame(frame), pd.Series(values)
+    for build in (I.moving_averages, I.indicator_series):
+        got = build(bars, periods).orderBy("ts").toPandas()
+        assert len(got) == 20_000
+        for p in periods:
+            same(got[f"sma_{p}"].tolist(), s.rolling(p).mean().tolist(), 1e-9)
+            same(got[f"ema_{p}"].tolist(), average(p)(s).tolist(), 1e-9)
+
+
+def test_bars_without_a_close_have_no_place_in_recursive_averages(make_bars):
+    values = [float(v) for v in range(1, 41)]
+    holes = values[:11] + [None] + values[11:25] + [float("nan")] + values[25:]
+    bars = make_bars({"A": [v if v is not None else 0.0 for v in holes]})
+    from pyspark.sql import functions as F
+    bars = bars.withColumn("close", F.when(F.col("close") != 0, F.col("close")))
+    same(column(I.ema(bars, 3), "ema"), column(I.ema(make_bars({"A": values}), 3), "ema"), 1e-12)
+    same(column(I.rsi(bars), "rsi"), column(I.rsi(make_bars({"A": values})), "rsi"), 1e-12)
