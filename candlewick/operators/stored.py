@@ -65,9 +65,9 @@ def sentiment_history(records: DataFrame, ticker: str, limit: int = 30) -> DataF
     return _newest(rows, limit).select("ts", "score", "headline_count")
 
 
-def json_rows(rows: DataFrame) -> DataFrame:
-    """Each row as one JSON text, for callers that exchange JSON."""
-    return rows.select(F.to_json(F.struct("*")).alias("json"))
+def json_rows(rows: DataFrame, *keep: str) -> DataFrame:
+    """Each row as one JSON text, for callers that exchange JSON, beside the columns ``keep``."""
+    return rows.select(*keep, F.to_json(F.struct("*")).alias("json"))
 
 
 def volume_top_decile(bars: DataFrame, share: float = 0.9, limit: int = 20) -> DataFrame:

@@ -445,7 +445,7 @@ oracle("bar_upsert", """SELECT coalesce(o.ticker, n.ticker) AS ticker, coalesce(
  coalesce(n.volume, o.volume) AS volume FROM bars o FULL JOIN batch n ON n.ticker = o.ticker AND n.ts = o.ts""")
 
 _KEY = "ticker, timeframe, ts"
-oracle("sma", f"SELECT {_KEY}, close, round(sma_20, 6) AS sma_20 FROM history")
+oracle("sma", f"SELECT {_KEY}, close, round(sma_20, 4) AS sma_20 FROM history")
 oracle("ema", f"SELECT {_KEY}, close, round(ema_20, 6) AS ema_20 FROM history")
 oracle("rsi", f"SELECT {_KEY}, close, round(rsi, 6) AS rsi FROM history")
 oracle("rsi_bands", f"""SELECT {_KEY}, round(rsi, 6) AS rsi, rsi_signal, coalesce(rsi >= 70, false) AS is_overbought,
@@ -455,7 +455,7 @@ _round = lambda names, d: ", ".join(f"round({n}, {d}) AS {n}" for n in names)  #
 _MAS = [f"{k}_{p}" for p in C.MA_PERIODS for k in ("sma", "ema")]
 oracle("macd", f"SELECT {_KEY}, close, {_round(_MACD, 6)} FROM history")
 oracle("volume_spike", f"SELECT {_KEY}, volume::DOUBLE AS volume, volume_spike AS is_spike FROM history")
-oracle("moving_averages", f"SELECT {_KEY}, close, {_round(_MAS, 6)} FROM history")
+oracle("moving_averages", f"SELECT {_KEY}, close, {_round(_MAS, 4)} FROM history")
 oracle("rolling_range", f"SELECT {_KEY}, close, high_52w AS range_high, low_52w AS range_low FROM history")
 _LINES = ", ".join(f"{_LEVEL[n]} AS {column_name(n)}" for n, _ in C.RETRACEMENTS[1:-1])
 cte("level_lines", f"SELECT ticker, {_LINES} FROM usable")
@@ -736,11 +736,30 @@ oracle("analyze", f"""SELECT s.ticker, s.timeframe, s.ts, s.open, s.high, s.low,
 # A minute is final once the newest event is ten minutes past its end.
 oracle("stream_bars", f"""SELECT ticker, bar_ts AS ts, timeframe, {_OHLCV} FROM minute_bars
  WHERE bar_ts + INTERVAL 1 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 10 MINUTE""")
-oracle("stream_fresh", f"""SELECT DISTINCT ticker, time_bucket(INTERVAL {C.TTL_SECONDS["quote"]} SECOND, ts) AS period_ts
- FROM ticks""")
-oracle("stream_alerts", f"""SELECT DISTINCT a.id, a.chat_id, a.ticker, a.alert_type, a.threshold FROM user_alerts a
+oracle("stream_fresh", f"""SELECT ticker, period_ts, arg_min(ts, (ts, event_id)) AS ts, arg_min(price, (ts, event_id)) AS price
+ FROM (SELECT *, time_bucket(INTERVAL {C.TTL_SECONDS["quote"]} SECOND, ts) AS period_ts FROM ticks)
+ WHERE period_ts + INTERVAL {C.TTL_SECONDS["quote"]} SECOND
+ <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 HOUR GROUP BY ALL""")
+cte("fired", f"""SELECT a.id, arg_min(price, (t.ts, price)) AS price,
+ min(t.ts) AS fired_at FROM user_alerts a
  JOIN ticks t ON t.ticker = a.ticker JOIN clock c ON c.event_id = t.event_id WHERE is_active AND {_NYSE.replace('ny', 'c.ny')}
- AND ((alert_type = 'PRICE_ABOVE' AND price >= threshold) OR (alert_type = 'PRICE_BELOW' AND price <= threshold))""")
+ AND ((alert_type = 'PRICE_ABOVE' AND price >= threshold) OR (alert_type = 'PRICE_BELOW' AND price <= threshold)) GROUP BY a.id""")
+oracle("stream_alerts", """SELECT a.id, chat_id, ticker, alert_type, threshold, price, fired_at
+ FROM user_alerts a JOIN fired f USING (id)""")
+oracle("stream_alert_table", """SELECT a.id, chat_id, ticker, alert_type, threshold, is_active AND fired_at IS NULL AS is_active,
+ fired_at AS triggered_at FROM user_alerts a LEFT JOIN fired f USING (id)""")
+oracle("bar_rejects", f"""SELECT ticker, reason, count(*) AS bars, min(ts) AS first_ts, max(ts) AS last_ts FROM (
+ SELECT CASE WHEN o_custkey % 50 <> 0 THEN {sym('o_custkey')} END AS ticker, o_orderdate::TIMESTAMP AS ts,
+ CASE WHEN o_custkey % 50 = 0 THEN 'no key' WHEN o_orderstatus = 'P' THEN 'no close'
+ WHEN o_orderpriority = '5-LOW' THEN 'incomplete' END AS reason FROM orders) WHERE reason IS NOT NULL GROUP BY ALL""")
+_number = lambda c: f"CASE WHEN {c} IS NULL THEN 'N/A' ELSE printf('%.2f', {c}) END"
+cte("shown", f"""SELECT ticker, {_number('pe_trailing')} AS pe_text, {_number('eps_trailing')} AS eps_text,
+ CASE WHEN dividend_yield IS NULL THEN 'N/A' ELSE printf('%.2f%%', dividend_yield * 100) END AS yield_text,
+ CASE WHEN market_cap IS NULL THEN 'N/A' WHEN market_cap >= 1000000000 THEN printf('$%.1fB', market_cap / 1e9)
+ WHEN market_cap >= 1000000 THEN printf('$%.0fM', market_cap / 1e6) ELSE '$' || format('{{:,}}', market_cap::BIGINT) END AS cap_text,
+ CASE WHEN length(name) > 8 THEN substr(name, 1, 8) || '...' ELSE name END AS short_name FROM newest_profile""")
+oracle("company_texts", """SELECT *, to_json({ticker: ticker, pe_text: pe_text, eps_text: eps_text, yield_text: yield_text,
+ cap_text: cap_text, short_name: short_name})::VARCHAR AS json FROM shown""")
 
 # A day is final once the newest event is a day past its end; the stored bars end years earlier.
 cte("open_ticks", f"SELECT t.* FROM ticks t JOIN clock c USING (event_id) WHERE {_NYSE} OR {_TASE}")

@@ -212,12 +212,28 @@ def bar_upsert(spark, sf):
     return sinks.merge_bars(stored, batch, "o_orderkey")
 
 
+@query
+def bar_rejects(spark, sf):
+    """Orders as bars of which some lack a price, a volume or a ticker: what the writer of the bar table turns away."""
+    landed = M.landed(spark, sf, "orders").select(
+        F.when(F.col("o_custkey") % 50 != 0, M.symbol("o_custkey")).alias("ticker"),
+        F.col("o_orderdate").cast("timestamp").alias("ts"), F.lit("1d").alias("timeframe"),
+        *[(F.col("o_totalprice") / d).alias(n) for n, d in (("open", 16), ("high", 8), ("low", 32))],
+        F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") / 16).alias("close"),
+        F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderkey")).alias("volume"),
+    )
+    path = f"{shared_folder(spark)}/landing-{uuid.uuid4().hex}"
+    sinks.write_bars(landed, path)
+    return sinks.read_rejects(spark, path).groupBy("ticker", "reason").agg(
+        F.count(F.lit(1)).alias("bars"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
 # ---- indicators over the full history ----
 
 
 @query
 def sma(spark, sf):
-    return rounded(I.sma(stored_bars(spark, sf), 20, name="sma_20"), 6, "sma_20")
+    return rounded(I.sma(stored_bars(spark, sf), 20, name="sma_20"), 4, "sma_20")
 
 
 @query
@@ -247,7 +263,7 @@ def volume_spike(spark, sf):
 
 @query
 def moving_averages(spark, sf):
-    return rounded(I.moving_averages(stored_bars(spark, sf)), 6, *I.ma_columns())
+    return rounded(I.moving_averages(stored_bars(spark, sf)), 4, *I.ma_columns())
 
 
 @query
@@ -754,18 +770,43 @@ def stream_bars(spark, sf):
     return _streamed(spark, jobs.minute_bars(_event_stream(spark, sf)), "bars")
 
 
+def _alerted(spark: SparkSession, sf: str) -> str:
+    """An alert table that the event stream has run over."""
+    folder = f"{shared_folder(spark)}/alerts-{uuid.uuid4().hex}"
+    M.user_alerts(spark, sf).write.parquet(f"{folder}/table/version=-1")
+    ticks = _event_stream(spark, sf).select("ticker", "ts", "price")
+    writer = jobs.alert_writer(ticks, f"{folder}/table", f"{folder}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return f"{folder}/table"
+
+
 @query
 def stream_alerts(spark, sf):
-    alerts = M.user_alerts(spark, sf)
-    fired = jobs.alert_stream(_event_stream(spark, sf), alerts)
-    return _streamed(spark, fired, "alerts").select("id", "chat_id", "ticker", "alert_type", "threshold")
+    return jobs.fired_alerts(spark, _alerted(spark, sf)).drop("version")
+
+
+@query
+def stream_alert_table(spark, sf):
+    """The alert table after the event stream: fired alerts are off and carry the time they fired."""
+    return jobs.alert_table(spark, _alerted(spark, sf))
+
+
+@query
+def company_texts(spark, sf):
+    """Company figures as they are shown, N/A where unknown, and each row as JSON."""
+    profile, _ = FU.company_profile(FU.newest_per_ticker(M.company_facts(spark, sf), "fact_id"))
+    shown = profile.select(
+        "ticker", text.number_text(F.col("pe_trailing")).alias("pe_text"), text.number_text(F.col("eps_trailing")).alias("eps_text"),
+        text.percent_text(F.col("dividend_yield")).alias("yield_text"), text.market_cap_text(F.col("market_cap")).alias("cap_text"),
+        text.shortened(F.col("name"), 8).alias("short_name"))
+    return shown.join(ST.json_rows(shown, "ticker"), "ticker")
 
 
 @query
 def stream_fresh(spark, sf):
-    ticks = _event_stream(spark, sf).select("ticker", "ts", "price")
-    fresh = jobs.fresh_stream(ticks, "ticker", C.TTL_SECONDS["quote"])
-    return _streamed(spark, fresh, "fresh").select("ticker", "period_ts")
+    ticks = _event_stream(spark, sf).select("event_id", "ticker", "ts", "price")
+    fresh = jobs.fresh_stream(ticks, "ticker", C.TTL_SECONDS["quote"], order=("ts", "event_id"))
+    return _streamed(spark, fresh, "fresh").select("ticker", "period_ts", "ts", "price")
 
 
 @query

@@ -128,9 +128,23 @@ def read_zones(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ZONES).parquet(zones_path(path))
 
 
+REJECTS = f"{BARS}, reason STRING"
+
+
 def write_bars(bars: DataFrame, path: str, mode: str = "append", touched: DataFrame | None = None) -> None:
-    """Bars in the types of the bar table."""
-    write_series(to_table_schema(bars, "bars"), path, mode, touched=touched)
+    """Bars in the types of the bar table; those that break its contract go to the reject table beside it, with the reason."""
+    good, rejected = split_bars(to_table_schema(bars, "bars"))
+    rejected.write.mode("append").parquet(rejects_path(path))
+    write_series(good, path, mode, touched=touched)
+
+
+def rejects_path(path: str) -> str:
+    return f"{path.rstrip('/')}_rejects"
+
+
+def read_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """Bars that writers of the table turned away so far, with ``reason``."""
+    return spark.read.schema(REJECTS).parquet(rejects_path(path))
 
 
 def read_bars(
@@ -148,14 +162,15 @@ def upsert_bars(spark: SparkSession, batch: DataFrame, path: str, version: str,
     plan cannot read partitions it overwrites. One writer at a time; ``version``
     names the staging folder, so that a repeated run rewrites the same one.
     """
-    batch = to_table_schema(batch, "bars", order)
+    batch, rejected = split_bars(to_table_schema(batch, "bars", order))
+    rejected.drop(order).write.mode("append").parquet(rejects_path(path))
     touched = batch.select("timeframe", part_of().alias("part")).distinct()
     stored = read_bars(spark, path, with_part=True)
     stored = stored.join(touched, LAYOUT, "left_semi").drop("part")
     staging = f"{path.rstrip('/')}_staging/{version}"
     merge_bars(stored, batch, order).write.mode("overwrite").parquet(staging)
     written = spark.read.schema(BARS).parquet(staging)
-    write_bars(written, path, "overwrite", written.select("timeframe", part_of().alias("part")).distinct())
+    write_series(written, path, "overwrite", touched=written.select("timeframe", part_of().alias("part")).distinct())
 
 
 def insert_filings(filings: DataFrame, path: str) -> int:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.streaming import DataStreamWriter
 
 from candlewick import constants as C
@@ -38,13 +39,13 @@ def minute_bars(ticks: DataFrame, lateness: str = LATENESS) -> DataFrame:
 
 
 def daily_bars(bars: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Daily bars of a stream of finer bars."""
+    """Daily bars of a stream of finer bars; of several bars of one time the lowest opens and the highest closes."""
     return (
         bars.withWatermark("ts", lateness)
         .groupBy("ticker", F.window("ts", "1 day").alias("_day"))
         .agg(
-            F.min_by("open", "ts").alias("open"), F.max("high").alias("high"),
-            F.min("low").alias("low"), F.max_by("close", "ts").alias("close"),
+            F.min_by("open", F.struct("ts", "open")).alias("open"), F.max("high").alias("high"),
+            F.min("low").alias("low"), F.max_by("close", F.struct("ts", "close")).alias("close"),
             F.sum("volume").alias("volume"),
         )
         .select(
@@ -62,34 +63,87 @@ def while_open(rows: DataFrame, both: bool = True) -> DataFrame:
     return rows.where(is_open)
 
 
-def alert_stream(prices: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Alerts that fire on a price stream during New York hours, each one once.
+def fired_in_batch(batch: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Active alerts that a batch of prices sets off in New York hours, with the first ``price`` that did and its ``fired_at``.
 
-    One state row per fired alert remembers it; setting an alert again gives it a new id.
+    Prices and thresholds of a ticker are put in one order, falling for alerts above and rising for those below: the
+    earliest time among the prices passed so far is when the alert fired. No alert meets a price by itself, so work
+    grows with prices plus alerts, and how the prices are cut into batches changes neither time nor price.
     """
-    active = alerts.where("is_active").drop("triggered_at")
-    hit = AL.is_triggered(F.col("alert_type"), F.col("price"), F.col("threshold"))
-    return (
-        while_open(prices, both=False)
-        .join(active, "ticker")
-        .where(hit)
-        .dropDuplicates(["id"])
-        .select("id", "chat_id", "ticker", "alert_type", "threshold", "price", "ts")
-    )
+    active = alerts.where("is_active").select(
+        "id", "chat_id", "ticker", "alert_type", "threshold", (F.col("alert_type") == AL.ABOVE).alias("above"),
+        F.col("threshold").cast("double").alias("at"), F.lit(None).cast("timestamp").alias("ts"))
+    # One row per price, combined before the shuffle; tickers that nobody watches stay behind.
+    seen = while_open(batch, both=False).where("price IS NOT NULL").join(
+        active.select("ticker").distinct(), "ticker", "left_semi").groupBy(
+        "ticker", F.col("price").cast("double").alias("at")).agg(F.min("ts").alias("ts"))
+    ticks = seen.withColumn("above", F.explode(F.array(F.lit(True), F.lit(False))))
+    order = W.partitionBy("ticker", "above").orderBy(
+        F.when(F.col("above"), -F.col("at")).otherwise(F.col("at")), F.col("id").isNotNull())
+    first = F.min(F.when(F.col("ts").isNotNull(), F.struct("ts", F.col("at").alias("price")))).over(
+        order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    return active.unionByName(ticks, allowMissingColumns=True).withColumn("first", first).where(
+        F.col("id").isNotNull() & F.col("first").isNotNull()).select(
+        "id", "chat_id", "ticker", "alert_type", "threshold", "first.price", F.col("first.ts").alias("fired_at"))
+
+
+def alert_table(spark: SparkSession, table: str, before: int | None = None) -> DataFrame:
+    """The newest complete version of an alert table (below ``before``): folders ``version=<n>``, of which each holds all alerts."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(table)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in files.listStatus(folder)]
+    done = [int(p.getName().split("=")[1]) for p in found
+            if p.getName().startswith("version=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    version = max(v for v in done if before is None or v < before)
+    return spark.read.parquet(f"{table}/version={version}")
+
+
+FIRED = ("id BIGINT, chat_id STRING, ticker STRING, alert_type STRING, threshold DOUBLE, price DOUBLE, fired_at TIMESTAMP, "
+         "version BIGINT")
+
+
+def fired_alerts(spark: SparkSession, table: str, version: int | None = None) -> DataFrame:
+    """What fired in one batch, or in all."""
+    rows = spark.read.schema(FIRED).parquet(f"{table}_fired")
+    return rows if version is None else rows.where(F.col("version") == version)
+
+
+def alert_writer(prices: DataFrame, table: str, checkpoint: str) -> DataStreamWriter:
+    """Switches alerts off as a price stream sets them off, and stamps them; the table is the only state.
+
+    Each batch reads the version before it and writes its own, so a repeated batch gives the same version again, readers
+    see whole versions only, and an alert fires once. Nothing is kept per fired alert.
+    """
+
+    def write(batch: DataFrame, version: int) -> None:
+        spark = batch.sparkSession
+        alerts = alert_table(spark, table, version)
+        fired_in_batch(batch, alerts).write.mode("overwrite").parquet(f"{table}_fired/version={version}")
+        fired = fired_alerts(spark, table, version).groupBy("id").agg(F.min("fired_at").alias("fired_at"))
+        alerts.join(fired, "id", "left").withColumns({
+            "is_active": F.col("is_active") & F.col("fired_at").isNull(),
+            "triggered_at": F.coalesce("fired_at", "triggered_at"),
+        }).select(*alerts.columns).write.mode("overwrite").parquet(f"{table}/version={version}")
+
+    return prices.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
 
 
-def fresh_stream(values: DataFrame, key: str, ttl: int, late: str = "1 hour") -> DataFrame:
-    """The first value of a key to arrive in each period of ``ttl`` seconds, with the period's start.
+def fresh_stream(
+    values: DataFrame, key: str, ttl: int, late: str = "1 hour", order: tuple[str, ...] = ("ts",),
+) -> DataFrame:
+    """The earliest value of a key in each period of ``ttl`` seconds, with the period's start ``period_ts``.
 
-    Periods are those of event time, so which (key, period) come out does not
+    Periods and order are those of event time (``order`` settles ties), so the result does not
     depend on how the input is cut into batches, as long as rows arrive at most ``late``.
-    Among rows of one period in one batch any may be the first. State of a period ends
-    once the watermark has passed it.
+    A period comes out, and its state ends, once the watermark has passed its end.
     """
-    # A stream may carry one event time: the period takes that part from ``ts``.
-    period = values.withWatermark("ts", late).withColumn("_period", F.window("ts", f"{ttl} seconds")).withColumn(
-        "ts", F.timestamp_micros(F.unix_micros("ts")))
-    return period.dropDuplicates([key, "_period"]).withColumn("period_ts", F.col("_period.start")).drop("_period")
+    fields = [c for c in values.columns if c != key]
+    row, by = F.struct(*fields), F.struct(*order)
+    return (
+        values.withWatermark("ts", late).groupBy(key, F.window("ts", f"{ttl} seconds").alias("_period"))
+        .agg(F.min_by(row, by).alias("_row"))
+        .select(key, F.col("_period.start").alias("period_ts"), "_row.*")
+    )
 
 
 def signal_writer(bars: DataFrame, table: str, signals: str, checkpoint: str) -> DataStreamWriter:

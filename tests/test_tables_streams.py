@@ -140,23 +140,74 @@ def test_streamed_bars_equal_batch_bars(spark, tmp_path):
     assert got == batch.select(columns).orderBy("ticker", "ts").collect() and len(got) > 20
 
 
+ALERTS = ("id BIGINT, chat_id STRING, ticker STRING, alert_type STRING, threshold DOUBLE, is_active BOOLEAN, "
+          "triggered_at TIMESTAMP")
+
+
+def alerts_after(spark, folder, batches, alerts):
+    """The alert table and what fired, after a stream of so many batches."""
+    for rows in batches:
+        write_ticks(spark, folder / "t", rows)
+    ticks = spark.readStream.schema(spark.read.parquet(str(folder / "t")).schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "t"))
+    table = str(folder / "alerts")
+    spark.createDataFrame(alerts, ALERTS).write.parquet(f"{table}/version=-1")
+    jobs.alert_writer(ticks, table, str(folder / "check")).trigger(availableNow=True).start().awaitTermination()
+    key = lambda r: r["id"]
+    return (sorted(jobs.alert_table(spark, table).collect(), key=key),
+            sorted(jobs.fired_alerts(spark, table).drop("version").collect(), key=key))
+
+
 def test_an_alert_fires_once_and_only_while_open(spark, tmp_path):
     night = dt.datetime(2024, 1, 16, 3, 0)
-    write_ticks(spark, tmp_path / "t", [(1, "A", night, 100.0, 1)])
-    write_ticks(spark, tmp_path / "t", [(2, "A", at(0), 99.0, 1), (3, "A", at(1), 100.0, 1)])
-    write_ticks(spark, tmp_path / "t", [(4, "A", at(2), 101.0, 1), (5, "B", at(2), 1.0, 1)])
-    alerts = spark.createDataFrame([(1, "c", "A", "PRICE_ABOVE", 100.0, True, None), (2, "c", "A", "PRICE_ABOVE", 50.0, False, None),
-                                    (3, "c", "B", "PRICE_BELOW", 0.5, True, None)],
-                                   "id BIGINT, chat_id STRING, ticker STRING, alert_type STRING, threshold DOUBLE, is_active BOOLEAN, triggered_at TIMESTAMP")
-    jobs.run_available(jobs.alert_stream(stream(spark, tmp_path / "t"), alerts), str(tmp_path / "out"), str(tmp_path / "check"))
-    assert [r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [1]
+    alerts = [(1, "c", "A", "PRICE_ABOVE", 100.0, True, None), (2, "c", "A", "PRICE_ABOVE", 50.0, False, None),
+              (3, "c", "B", "PRICE_BELOW", 0.5, True, None)]
+    table, fired = alerts_after(spark, tmp_path, [
+        [(1, "A", night, 100.0, 1)], [(2, "A", at(0), 99.0, 1), (3, "A", at(1), 100.0, 1)],
+        [(4, "A", at(2), 101.0, 1), (5, "B", at(2), 1.0, 1)]], alerts)
+    assert [(r.id, r.price, r.fired_at) for r in fired] == [(1, 100.0, at(1))]
+    assert [(r.id, r.is_active, r.triggered_at) for r in table] == [(1, False, at(1)), (2, False, None), (3, True, None)]
+
+
+def test_alerts_do_not_depend_on_the_batches(spark, tmp_path):
+    rows = [(i, "AB"[i % 2], at(5 * i), float((i * 37) % 101), 1) for i in range(120)]
+    alerts = [(i, "c", "ABC"[i % 3], ("PRICE_ABOVE", "PRICE_BELOW")[i % 2], float(i % 110), i % 7 > 0, None) for i in range(200)]
+    expected = {}
+    for i, _, ticker, kind, limit, active, _ in alerts:
+        hits = [(r[2], r[3]) for r in rows if active and r[1] == ticker and (r[3] >= limit if kind == "PRICE_ABOVE" else r[3] <= limit)]
+        if hits:
+            expected[i] = min(hits)
+    for name, size in (("one", 120), ("many", 30)):
+        table, fired = alerts_after(spark, tmp_path / name, [rows[k:k + size] for k in range(0, 120, size)], alerts)
+        assert {r.id: (r.fired_at, r.price) for r in fired} == expected and len(fired) == len(expected)
+        assert all(r.is_active == (alerts[r.id][5] and r.id not in expected) for r in table)
+        assert {r.id: r.triggered_at for r in table if r.triggered_at} == {i: t for i, (t, _) in expected.items()}
+
+
+def test_alert_work_does_not_grow_with_prices_times_alerts(spark):
+    """No join of prices with alerts but the one that keeps watched tickers."""
+    ticks = spark.createDataFrame([(1, "A", at(0), 1.0, 1)], "event_id BIGINT, ticker STRING, ts TIMESTAMP, price DOUBLE, size BIGINT")
+    alerts = spark.createDataFrame([], ALERTS)
+    plan = jobs.fired_in_batch(ticks, alerts)._jdf.queryExecution().optimizedPlan().toString()
+    assert [line.strip().split("Join ")[1].split(",")[0] for line in plan.splitlines() if "Join " in line] == ["LeftSemi"]
+
+
+def test_rejected_bars_are_kept_with_the_reason(spark, tmp_path):
+    path, day = str(tmp_path / "bars"), dt.datetime(2024, 1, 2)
+    bars = spark.createDataFrame(
+        [("A", day, "1d", 1.0, 2.0, 0.5, 1.5, 10), ("A", day, "1d", 1.0, 2.0, 0.5, None, 10), (None, day, "1d", 1.0, 2.0, 0.5, 1.5, 10),
+         ("B", day, "1d", 1.0, None, 0.5, 1.5, 10)],
+        "ticker STRING, ts TIMESTAMP, timeframe STRING, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume BIGINT")
+    sinks.write_bars(bars, path)
+    assert [r.ticker for r in sinks.read_bars(spark, path).collect()] == ["A"]
+    assert sorted((str(r.ticker), r.reason) for r in sinks.read_rejects(spark, path).collect()) == [
+        ("A", "no close"), ("B", "incomplete"), ("None", "no key")]
 
 
 def test_repeats_within_the_time_to_live_are_dropped(spark, tmp_path):
     write_ticks(spark, tmp_path / "t", [(1, "A", at(0), 1.0, 1)])
     write_ticks(spark, tmp_path / "t", [(2, "A", at(30), 2.0, 1), (3, "B", at(30), 9.0, 1)])
     write_ticks(spark, tmp_path / "t", [(4, "A", at(500), 3.0, 1)])
-    write_ticks(spark, tmp_path / "t", [(5, "A", at(505), 4.0, 1)])
+    write_ticks(spark, tmp_path / "t", [(5, "A", at(505), 4.0, 1), (6, "A", at(9000), 5.0, 1)])
     jobs.run_available(jobs.fresh_stream(stream(spark, tmp_path / "t"), "ticker", 60), str(tmp_path / "out"), str(tmp_path / "check"))
     got = {(r.ticker, r.price) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {("A", 1.0), ("B", 9.0), ("A", 3.0)}
@@ -164,15 +215,21 @@ def test_repeats_within_the_time_to_live_are_dropped(spark, tmp_path):
 
 def test_fresh_periods_do_not_depend_on_the_batches(spark, tmp_path):
     rows = [(i, "AB"[i % 2], at(i * 17), float(i), 1) for i in range(60)]
-    write_ticks(spark, tmp_path / "one", rows)
+    # The last one only moves the watermark past the periods of the others.
+    closing = [(60, "C", at(9000), 0.0, 1)]
+    write_ticks(spark, tmp_path / "one", rows + closing)
     for k in range(4):
-        write_ticks(spark, tmp_path / "four", rows[15 * k : 15 * k + 15])
+        write_ticks(spark, tmp_path / "four", rows[15 * k : 15 * k + 15] + (closing if k == 3 else []))
     got = []
     for name in ("one", "four"):
-        out = jobs.fresh_stream(stream(spark, tmp_path / name), "ticker", 60).select("ticker", "period_ts")
+        out = jobs.fresh_stream(stream(spark, tmp_path / name), "ticker", 60).select("ticker", "period_ts", "price")
         jobs.run_available(out, str(tmp_path / f"{name}-out"), str(tmp_path / f"{name}-check"))
         got.append(sorted(map(tuple, spark.read.parquet(str(tmp_path / f"{name}-out")).collect())))
     assert got[0] == got[1] and len(got[0]) == len({(r[1], r[2].replace(second=0)) for r in rows})
+    first = {}
+    for r in rows:
+        first.setdefault((r[1], r[2].replace(second=0, microsecond=0)), r[3])
+    assert {(t, p): price for t, p, price in got[0]} == first
 
 
 def test_streams_read_a_table_that_is_a_folder(spark, tmp_path):
