@@ -752,11 +752,11 @@ oracle("bar_rejects", f"""SELECT ticker, reason, count(*) AS bars, min(ts) AS fi
  SELECT CASE WHEN o_custkey % 50 <> 0 THEN {sym('o_custkey')} END AS ticker, o_orderdate::TIMESTAMP AS ts,
  CASE WHEN o_custkey % 50 = 0 THEN 'no key' WHEN o_orderstatus = 'P' THEN 'no close'
  WHEN o_orderpriority = '5-LOW' THEN 'incomplete' END AS reason FROM orders) WHERE reason IS NOT NULL GROUP BY ALL""")
-_number = lambda c: f"CASE WHEN {c} IS NULL THEN 'N/A' ELSE printf('%.2f', {c}) END"
+_number = lambda c: f"CASE WHEN {c} IS NULL THEN 'N/A' ELSE printf('%.2f', round({c}, 2)) END"
 cte("shown", f"""SELECT ticker, {_number('pe_trailing')} AS pe_text, {_number('eps_trailing')} AS eps_text,
- CASE WHEN dividend_yield IS NULL THEN 'N/A' ELSE printf('%.2f%%', dividend_yield * 100) END AS yield_text,
- CASE WHEN market_cap IS NULL THEN 'N/A' WHEN market_cap >= 1000000000 THEN printf('$%.1fB', market_cap / 1e9)
- WHEN market_cap >= 1000000 THEN printf('$%.0fM', market_cap / 1e6) ELSE '$' || format('{{:,}}', market_cap::BIGINT) END AS cap_text,
+ CASE WHEN dividend_yield IS NULL THEN 'N/A' ELSE printf('%.2f%%', round(dividend_yield * 100, 2)) END AS yield_text,
+ CASE WHEN market_cap IS NULL THEN 'N/A' WHEN market_cap >= 1000000000 THEN printf('$%.1fB', round(market_cap / 1e9, 1))
+ WHEN market_cap >= 1000000 THEN printf('$%.0fM', round(market_cap / 1e6, 0)) ELSE '$' || format('{{:,}}', market_cap::BIGINT) END AS cap_text,
  CASE WHEN length(name) > 8 THEN substr(name, 1, 8) || '...' ELSE name END AS short_name FROM newest_profile""")
 oracle("company_texts", """SELECT *, to_json({ticker: ticker, pe_text: pe_text, eps_text: eps_text, yield_text: yield_text,
  cap_text: cap_text, short_name: short_name})::VARCHAR AS json FROM shown""")
