@@ -619,6 +619,9 @@ _NYSE = f"(isodow(ny) <= 5 AND {_T('ny')} >= TIME '09:30:00' AND {_T('ny')} <= T
 _TASE = (f"(isodow(il) <= 5 AND {_T('il')} >= TIME '10:00:00' AND {_T('il')} <= "
          "CASE WHEN isodow(il) = 5 THEN TIME '15:45:00' ELSE TIME '17:25:00' END)")
 _PRE = f"(isodow(il) <= 5 AND {_T('il')} >= TIME '09:45:00' AND {_T('il')} < TIME '10:00:00')"
+_LABELS = " ".join(f"WHEN score >= {floor} THEN {_str(name)}" for floor, name in C.MOMENTUM_LABELS)
+oracle("sql_functions", f"""SELECT event_id, ts, {_NYSE} AS is_open, CASE {_LABELS} ELSE {_str(C.MOMENTUM_LOWEST)} END AS label,
+ (score - 20) / 60::DOUBLE * 100 AS position FROM (SELECT *, event_id * 7 % 101 AS score FROM clock)""")
 oracle("is_nyse_open", f"SELECT event_id, ts, {_NYSE} AS is_open FROM clock")
 oracle("is_tase_open", f"SELECT event_id, ts, {_TASE} AS is_open FROM clock")
 oracle("market_status", f"""SELECT event_id, ts, {_NYSE} AS nyse_open, {_TASE} AS tase_open, {_PRE} AS tase_preopen,

@@ -17,6 +17,7 @@ from pyspark.sql.types import TimestampType
 from candlewick import constants as C
 from candlewick.functions import market_time as MT
 from candlewick.functions import scores, text
+from candlewick.functions import sql as SQL
 from candlewick.operators import alerts as AL
 from candlewick.operators import arbitrage as AR
 from candlewick.operators import fundamentals as FU
@@ -659,6 +660,17 @@ def is_tase_open(spark, sf):
     return _times(spark, sf).withColumn("is_open", MT.is_tase_open(F.col("ts")))
 
 
+@query
+def sql_functions(spark, sf):
+    """The SQL functions, called from SQL over the events: session, score label and place in a range."""
+    SQL.register(spark)
+    return spark.sql(
+        """SELECT event_id, ts, is_nyse_open(ts) AS is_open, momentum_label(score) AS label,
+        price_position(score, 20D, 80D) AS position
+        FROM (SELECT event_id, ts, CAST(event_id * 7 % 101 AS INT) AS score FROM {events})""",
+        events=_times(spark, sf))
+
+
 @query
 def market_status(spark, sf):
     return R.market_status_rows(_times(spark, sf))
