@@ -710,7 +710,8 @@ oracle("preopen_report", _report(
           "pos", "ticker", "title || ' | ' || source", "NULL"),
     _rows("due", "due", "pos", "ticker", "'eps'", "eps_estimate"),
     _rows("due", "due", "pos", "ticker", "'revenue'", "revenue_estimate"),
-    _rows("mood", "vix_last", "0", "ticker", _VIX, "vix"), *_MARKET))
+    _rows("mood", "(SELECT * FROM previewed WHERE watch_ticker = 'SPY' AND pct IS NOT NULL)", "0", "watch_ticker", "direction", "pct"),
+    _rows("mood", "vix_last", "1", "ticker", _VIX, "vix"), *_MARKET))
 
 _RANGED = "bars_seen >= 2 AND high_52w > low_52w"
 cte("levelled", f"""SELECT *, CASE WHEN {_RANGED} THEN s END AS nearest_support, CASE WHEN {_RANGED} THEN r END AS nearest_resistance

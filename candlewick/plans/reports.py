@@ -282,11 +282,13 @@ def preopen_report(
     spark = market.spark
     pos, ticker = F.col("pos"), F.col("ticker")
     watch = dims.watchlist(spark, tickers)
-    own = _per_ticker(
-        watch_signals(market, tickers),
+    # The mood opens with the broad market's change, where it is known.
+    broad = F.when((ticker == "SPY") & F.col("pct").isNotNull(), _entry("mood", F.lit(0), ticker, F.col("direction"), F.col("pct")))
+    own = watch_signals(market, tickers).select(F.inline(F.array_compact(F.array(
         _entry("change", pos, ticker, F.col("direction"), F.col("pct")),
         _entry("rsi", pos, ticker, F.col("rsi_signal"), F.col("rsi")),
-    )
+        broad,
+    ))))
     news = N.report_articles(_only(market.articles, watch))
     top = N.top_headlines(news, 1, news_as_of).select("ticker", "title", "source")
     headline = _per_ticker(
@@ -302,7 +304,7 @@ def preopen_report(
         _entry("due", pos, ticker, F.lit("revenue"), F.col("revenue_estimate")),
     )
     vix = vix_mood(market.bars, market.zones)
-    mood = _per_ticker(vix, _entry("mood", F.lit(0), ticker, F.col("mood"), F.col("vix")))
+    mood = _per_ticker(vix, _entry("mood", F.lit(1), ticker, F.col("mood"), F.col("vix")))
     return (
         own.unionByName(headline).unionByName(expected).unionByName(mood)
         .unionByName(_market_entries(market))
