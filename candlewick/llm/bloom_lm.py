@@ -129,8 +129,9 @@ class Lookup:
 def train(docs: DataFrame, segments: int) -> DataFrame:
     """``segment, tokens, keys, counts, filter``: exact unigram counts and the bigram filter, by segment.
 
-    Counts of all rows of ``docs``. Each task sums what it has read before it
-    sends it on, so a frequent n-gram is one row per task and chunk.
+    Counts of all rows of ``docs``. A task sums each chunk of tokens in numpy and all its
+    chunks in the aggregation by n-gram, so a frequent n-gram is one row per task in the
+    shuffle, and a segment is built from one row per distinct n-gram.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,8 +147,8 @@ def train(docs: DataFrame, segments: int) -> DataFrame:
                 for at in range(0, len(keys), CHUNK):
                     own = keys[at : at + CHUNK]
                     yield pd.DataFrame({
-                        "segment": segment_of(own, segments), "gram": np.int8(order),
-                        "key": own.view(np.int64), "n": counts[at : at + CHUNK].astype(np.int64)})
+                        "gram": np.int8(order), "key": own.view(np.int64),
+                        "n": counts[at : at + CHUNK].astype(np.int64)})
 
         for batch in batches:
             for text in batch["text"]:
@@ -163,18 +164,21 @@ def train(docs: DataFrame, segments: int) -> DataFrame:
         out = {"segment": [int(group["segment"].iloc[0])]}
         for order in (1, 2):
             own = group[group["gram"] == order]
-            keys, place = np.unique(own["key"].to_numpy().view(np.uint64), return_inverse=True)
-            # Exact up to 2^53, and as integers beyond.
-            counts = np.zeros(len(keys), np.int64)
-            np.add.at(counts, place, own["n"].to_numpy())
+            keys, counts = own["key"].to_numpy().view(np.uint64), own["n"].to_numpy()
             if order == 1:
+                place = np.argsort(keys)
+                keys, counts = keys[place], counts[place]
                 out |= {"tokens": [int(counts.sum())], "keys": [keys.tobytes()], "counts": [counts.tobytes()]}
             else:
                 out |= {"filter": [build_filter(keys, counts).tobytes()]}
         return pd.DataFrame(out)
 
-    return docs.select("text").mapInPandas(count, "segment int, gram byte, key long, n long").groupBy(
-        "segment").applyInPandas(build, "segment int, tokens long, keys binary, counts binary, filter binary")
+    # The segment of ``segment_of``, from the key alone.
+    segment = F.expr(f"cast(shiftrightunsigned(shiftrightunsigned(key, 32) * {segments}L, 32) AS int)")
+    summed = docs.select("text").mapInPandas(count, "gram byte, key long, n long").groupBy("gram", "key").agg(
+        F.sum("n").alias("n")).select(segment.alias("segment"), "gram", "key", "n")
+    return summed.groupBy("segment").applyInPandas(
+        build, "segment int, tokens long, keys binary, counts binary, filter binary")
 
 
 def _probability(pair: np.ndarray, history: np.ndarray, unigram: np.ndarray) -> np.ndarray:
