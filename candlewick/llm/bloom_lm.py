@@ -15,8 +15,10 @@ from candlewick.llm.shingles import mix64, word_hashes
 
 #: Base of the quantisation: a count is kept as ``1 + floor(log(count) / log(BASE))``.
 BASE = 1.5
-#: Hash functions: an absent count is taken for 1 in one of 64 lookups.
+#: Least number of hash functions: an absent count is taken for 1 in one of 64 lookups.
 PROBES = 6
+#: Largest share of ``BACKOFF`` that false counts may add to a history, over all words.
+EXCESS = 0.01
 #: Weight of the unigram distribution after each history, in counts.
 BACKOFF = 2000.0
 #: Largest model that is broadcast; a larger one is looked up by shuffling the lookups.
@@ -53,10 +55,13 @@ def level(counts: np.ndarray) -> np.ndarray:
 
 
 def level_count(levels: np.ndarray) -> np.ndarray:
-    """The middle of the counts that a level stands for; 0 for level 0."""
-    low = np.ceil(BASE ** (levels - 1.0) - 1e-9)
-    high = np.maximum(low, np.ceil(BASE ** levels.astype(float) - 1e-9) - 1)
-    return np.where(levels > 0, (low + high) / 2, 0.0)
+    """The least count that a level stands for, so that a history's pairs never sum to more than it; 0 for level 0."""
+    return np.where(levels > 0, np.ceil(BASE ** (levels - 1.0) - 1e-9), 0.0)
+
+
+def probes_for(types: int) -> int:
+    """Hash functions for a vocabulary of ``types`` words: each may be asked after any history."""
+    return max(PROBES, int(np.ceil(np.log2(max(1, types) / (EXCESS * BACKOFF)))))
 
 
 def _positions(keys: np.ndarray, at: np.ndarray | int, bits: np.ndarray | int, probe: int) -> np.ndarray:
@@ -65,35 +70,40 @@ def _positions(keys: np.ndarray, at: np.ndarray | int, bits: np.ndarray | int, p
     return (first + np.uint64(probe) * step) % np.asarray(bits).astype(np.uint64)
 
 
-def build_filter(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def build_filter(keys: np.ndarray, counts: np.ndarray, probes: int = PROBES) -> np.ndarray:
     """A byte array whose bits hold each key together with every level up to its own."""
     levels = level(counts)
-    bits = max(64, int(np.ceil(levels.sum() * PROBES / np.log(2) / 64)) * 64)
+    bits = max(64, int(np.ceil(levels.sum() * probes / np.log(2) / 64)) * 64)
     table = np.zeros(bits, bool)
     top = int(levels.max()) if len(levels) else 0
     for at in range(1, top + 1):
         keys = keys[levels >= at]
         levels = levels[levels >= at]
-        for probe in range(PROBES):
+        for probe in range(probes):
             table[_positions(keys, at, bits, probe)] = True
     return np.packbits(table, bitorder="little")
 
 
-def probe_levels(keys: np.ndarray, filters: np.ndarray, starts: np.ndarray, bits: np.ndarray) -> np.ndarray:
+def probe_levels(
+    keys: np.ndarray, filters: np.ndarray, starts: np.ndarray, bits: np.ndarray, probes: np.ndarray,
+) -> np.ndarray:
     """Levels of keys: level after level is looked up until one is missing.
 
-    ``filters`` holds the filters of all segments, ``starts`` (bytes) and ``bits`` say where each is.
+    ``filters`` holds the filters of all segments; ``starts`` (bytes) and ``bits`` say where
+    each is, ``probes`` how many hash functions it has.
     """
     segment = segment_of(keys, len(bits))
-    base, size = starts[segment].astype(np.uint64), bits[segment]
+    base, size, needed = starts[segment].astype(np.uint64), bits[segment], probes[segment]
+    most = int(probes.max()) if len(probes) else 0
     out = np.zeros(len(keys), np.int64)
     live = np.arange(len(keys))
     at = 1
     while len(live):
-        for probe in range(PROBES):
+        for probe in range(most):
             place = _positions(keys[live], at, size[live], probe)
             byte = filters[base[live] + (place >> np.uint64(3))]
-            live = live[(byte >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+            held = (byte >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            live = live[held | (probe >= needed[live])]
         out[live] = at
         at += 1
     return out
@@ -105,12 +115,14 @@ class Lookup:
     def __init__(self, rows: Iterable, segments: int) -> None:
         """``rows`` of the model, sorted by segment, so that keys are sorted as they come."""
         self.starts, self.bits = np.zeros(segments, np.int64), np.full(segments, 8, np.int64)
+        self.probes = np.full(segments, PROBES, np.int64)
         keys, counts, parts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(1, np.uint8)], 1
         for r in rows:  # segments without a bigram look at the empty byte in front
             keys.append(np.frombuffer(r["keys"], np.uint64))
             counts.append(np.frombuffer(r["counts"], np.int64))
             parts.append(np.frombuffer(r["filter"], np.uint8))
             self.starts[r["segment"]], self.bits[r["segment"]] = at, 8 * len(parts[-1])
+            self.probes[r["segment"]] = r["probes"]
             at += len(parts[-1])
         self.keys, self.counts, self.filters = np.concatenate(keys), np.concatenate(counts), np.concatenate(parts)
         if not len(self.counts) or self.counts.max() < 2**32:
@@ -123,11 +135,11 @@ class Lookup:
         return np.where(self.keys[at] == keys, self.counts[at].astype(np.int64), 0)
 
     def bigrams(self, keys: np.ndarray) -> np.ndarray:
-        return level_count(probe_levels(keys, self.filters, self.starts, self.bits))
+        return level_count(probe_levels(keys, self.filters, self.starts, self.bits, self.probes))
 
 
 def train(docs: DataFrame, segments: int) -> DataFrame:
-    """``segment, tokens, keys, counts, filter``: exact unigram counts and the bigram filter, by segment.
+    """``segment, tokens, keys, counts, probes, filter``: exact unigram counts and the bigram filter, by segment.
 
     Counts of all rows of ``docs``. A task sums each chunk of tokens in numpy and all its
     chunks in the aggregation by n-gram, so a frequent n-gram is one row per task in the
@@ -168,9 +180,12 @@ def train(docs: DataFrame, segments: int) -> DataFrame:
             if order == 1:
                 place = np.argsort(keys)
                 keys, counts = keys[place], counts[place]
-                out |= {"tokens": [int(counts.sum())], "keys": [keys.tobytes()], "counts": [counts.tobytes()]}
+                # Words are spread evenly, so a segment knows about how many there are in all.
+                probes = probes_for(segments * len(keys))
+                out |= {"tokens": [int(counts.sum())], "keys": [keys.tobytes()], "counts": [counts.tobytes()],
+                        "probes": [probes]}
             else:
-                out |= {"filter": [build_filter(keys, counts).tobytes()]}
+                out |= {"filter": [build_filter(keys, counts, probes).tobytes()]}
         return pd.DataFrame(out)
 
     # The segment of ``segment_of``, from the key alone.
@@ -178,12 +193,15 @@ def train(docs: DataFrame, segments: int) -> DataFrame:
     summed = docs.select("text").mapInPandas(count, "gram byte, key long, n long").groupBy("gram", "key").agg(
         F.sum("n").alias("n")).select(segment.alias("segment"), "gram", "key", "n")
     return summed.groupBy("segment").applyInPandas(
-        build, "segment int, tokens long, keys binary, counts binary, filter binary")
+        build, "segment int, tokens long, keys binary, counts binary, probes int, filter binary")
 
 
-def _probability(pair: np.ndarray, history: np.ndarray, unigram: np.ndarray) -> np.ndarray:
-    """Interpolation: the history's counts, with ``BACKOFF`` counts dealt out as unigrams are."""
-    return (np.minimum(pair, history) + BACKOFF * unigram) / (history + BACKOFF)
+def _probability(pair: np.ndarray, history: np.ndarray, token: np.ndarray, unigram: np.ndarray) -> np.ndarray:
+    """Interpolation: the history's counts, with ``BACKOFF`` counts dealt out as unigrams are.
+
+    A pair is no more frequent than either of its words.
+    """
+    return (np.minimum(pair, np.minimum(history, token)) + BACKOFF * unigram) / (history + BACKOFF)
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -216,7 +234,7 @@ def _score_here(docs: DataFrame, model, total: int, types: int) -> DataFrame:
                 found.append(pd.DataFrame({
                     "n_tokens": length, "n_known": np.add.reduceat(count > 0, first, dtype=np.int64),
                     "base_score": np.add.reduceat(np.log10(unigram), first),
-                    "score": np.add.reduceat(np.log10(_probability(pair, before, unigram)), first)}))
+                    "score": np.add.reduceat(np.log10(_probability(pair, before, count, unigram)), first)}))
                 start = stop
             if len(row):
                 out = pd.concat(found, ignore_index=True)
@@ -272,7 +290,7 @@ def _score_shuffled(docs: DataFrame, model: DataFrame, total: int, types: int, s
         answer, "row long, place long, role byte, n long, value double")
     value = [F.max(F.when(F.col("role") == r, F.col("value"))).alias(c) for r, c in enumerate(("pair", "history", "token"))]
     unigram = (F.col("token") + 1) / F.lit(float(total + types + 1))
-    term = (F.least("pair", "history") + BACKOFF * unigram) / (F.col("history") + BACKOFF)
+    term = (F.least("pair", "history", "token") + BACKOFF * unigram) / (F.col("history") + BACKOFF)
     summed = answered.groupBy("row", "place").agg(F.first("n").alias("n"), *value).groupBy("row").agg(
         F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("token") > 0, F.col("n")).otherwise(0)).alias("n_known"),
         F.sum(F.col("n") * F.log10(unigram)).alias("base_score"), F.sum(F.col("n") * F.log10(term)).alias("score"))
@@ -286,7 +304,9 @@ def score(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``. ``base_score`` is the
     add-one unigram model of exact counts. ``score`` is a bigram model: counts of pairs come from the
     filter by repeated membership tests, level after level until one fails, and are
-    interpolated with the unigram model (``BACKOFF`` counts per history).
+    interpolated with the unigram model (``BACKOFF`` counts per history). A count stands for the
+    least of its level and is bounded by those of both words, and hash functions follow the vocabulary:
+    the probabilities after a history sum to 1 + ``EXCESS`` at most, in expectation.
 
     A null text is empty: one end token. A null id hashes as an empty text and
     is trained on. Repeated rows count and are scored each. An empty table gives an

@@ -195,15 +195,56 @@ def test_bloom_scores_both_paths_and_exact_base(make):
             assert math.isclose(r["base_score"], sum(math.log10((counts[x] + 1) / (total + types + 1)) for x in w), rel_tol=1e-9)
 
 
+def test_bloom_scores_against_exact_bigram_counts(make):
+    """False counts only raise a score, and few texts have one."""
+    rng = random.Random(21)
+    docs = [(i, prose(rng, rng.randint(0, 8))) for i in range(300)]
+    train = [t.split() for i, t in docs if zlib.crc32(str(i).encode()) % 7 != 2]
+    ends = collections.Counter(w for t in train for w in [*t, None])
+    pairs = collections.Counter(p for t in train for p in zip([0, *t], [*t, None]))
+    total, types, equal = sum(ends.values()), len(ends), 0
+    low = {n: bloom_lm.level_count(bloom_lm.level(np.array([n])))[0] for n in {*pairs.values()}}
+    for r in bloom_lm.score(make(docs)).collect():
+        words, exact = dict(docs)[r["doc_id"]].split(), 0.0
+        for h, w in zip([0, *words], [*words, None]):
+            before = ends[None] if h == 0 else ends[h]
+            pair = min(low.get(pairs[h, w], 0), before, ends[w])
+            exact += math.log10((pair + bloom_lm.BACKOFF * (ends[w] + 1) / (total + types + 1)) / (before + bloom_lm.BACKOFF))
+        assert r["score"] >= exact - 1e-9
+        equal += abs(r["score"] - exact) < 1e-9
+    assert equal >= 0.85 * len(docs)
+
+
+@pytest.mark.parametrize("types", [50, 3000, 200_000])
+def test_bloom_rows_sum_to_one(types):
+    """Rare and frequent histories, over the whole vocabulary: false counts add little, quantised counts nothing."""
+    rng = np.random.default_rng(types)
+    word = rng.integers(1, 2**63, types).astype(np.uint64)
+    history, token = rng.integers(0, types, (2, 400_000))
+    token = np.minimum(token, rng.integers(0, types, len(token)))
+    token[:50_000], history[:50_000] = token[:50_000] % 7, 0  # one history of 50,000, before few words
+    held = np.bincount(history, minlength=types)
+    count = np.bincount(token, minlength=types)
+    keys, pairs = np.unique(bloom_lm.bigram_keys(word[history], word[token]), return_counts=True)
+    probes = bloom_lm.probes_for(types)
+    table = bloom_lm.build_filter(keys, pairs, probes)
+    unigram = (count + 1) / (count.sum() + types + 1)
+    for h in [0, *np.argsort(held, kind="stable")[:20], *np.argsort(-held)[:5]]:
+        pair = bloom_lm.level_count(bloom_lm.probe_levels(
+            bloom_lm.bigram_keys(np.full(types, word[h]), word), table,
+            np.array([0]), np.array([8 * len(table)]), np.array([probes])))
+        assert bloom_lm._probability(pair, np.full(types, held[h]), count, unigram).sum() < 1 + 2 * bloom_lm.EXCESS
+
+
 def test_bloom_filter_levels_have_no_false_negatives():
     rng = np.random.default_rng(2)
     keys = rng.integers(0, 2**63, 5000).astype(np.uint64)
     counts = rng.geometric(0.2, 5000)
     table = bloom_lm.build_filter(keys, counts)
-    found = bloom_lm.probe_levels(keys, table, np.array([0]), np.array([8 * len(table)]))
+    found = bloom_lm.probe_levels(keys, table, np.array([0]), np.array([8 * len(table)]), np.array([bloom_lm.PROBES]))
     assert (found >= bloom_lm.level(counts)).all() and (found > bloom_lm.level(counts)).mean() < 0.05
     other = rng.integers(0, 2**63, 5000).astype(np.uint64)
-    assert (bloom_lm.probe_levels(other, table, np.array([0]), np.array([8 * len(table)])) > 0).mean() < 0.05
+    assert (bloom_lm.probe_levels(other, table, np.array([0]), np.array([8 * len(table)]), np.array([bloom_lm.PROBES])) > 0).mean() < 0.05
 
 
 def test_pii_base_against_plain_patterns():
