@@ -18,7 +18,7 @@ BASE = 1.5
 #: Least number of hash functions: an absent count is taken for 1 in one of 64 lookups.
 PROBES = 6
 #: Largest share of ``BACKOFF`` that false counts may add to a history, over all words.
-EXCESS = 0.01
+EXCESS = 0.02
 #: Weight of the unigram distribution after each history, in counts.
 BACKOFF = 2000.0
 #: Largest model that is broadcast; a larger one is looked up by shuffling the lookups.
@@ -64,10 +64,10 @@ def probes_for(types: int) -> int:
     return max(PROBES, int(np.ceil(np.log2(max(1, types) / (EXCESS * BACKOFF)))))
 
 
-def _positions(keys: np.ndarray, at: np.ndarray | int, bits: np.ndarray | int, probe: int) -> np.ndarray:
-    mixed = mix64(keys + np.asarray(at).astype(np.uint64) * _PRIME)
-    first, step = mixed >> np.uint64(32), (mixed & np.uint64(0xFFFFFFFF)) | np.uint64(1)
-    return (first + np.uint64(probe) * step) % np.asarray(bits).astype(np.uint64)
+def _spread(keys: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """First place and odd step of the places of a key with a level, before they are taken modulo the filter's bits."""
+    mixed = mix64(keys + np.array([at], np.uint64) * _PRIME)
+    return mixed >> np.uint64(32), (mixed & np.uint64(0xFFFFFFFF)) | np.uint64(1)
 
 
 def build_filter(keys: np.ndarray, counts: np.ndarray, probes: int = PROBES) -> np.ndarray:
@@ -79,8 +79,9 @@ def build_filter(keys: np.ndarray, counts: np.ndarray, probes: int = PROBES) ->
     for at in range(1, top + 1):
         keys = keys[levels >= at]
         levels = levels[levels >= at]
+        first, step = _spread(keys, at)
         for probe in range(probes):
-            table[_positions(keys, at, bits, probe)] = True
+            table[(first + np.uint64(probe) * step) % np.uint64(bits)] = True
     return np.packbits(table, bitorder="little")
 
 
@@ -92,39 +93,56 @@ def probe_levels(
     ``filters`` holds the filters of all segments; ``starts`` (bytes) and ``bits`` say where
     each is, ``probes`` how many hash functions it has.
     """
-    segment = segment_of(keys, len(bits))
-    base, size, needed = starts[segment].astype(np.uint64), bits[segment], probes[segment]
-    most = int(probes.max()) if len(probes) else 0
     out = np.zeros(len(keys), np.int64)
-    live = np.arange(len(keys))
-    at = 1
+    live, at = np.arange(len(keys)), 1
     while len(live):
-        for probe in range(most):
-            place = _positions(keys[live], at, size[live], probe)
-            byte = filters[base[live] + (place >> np.uint64(3))]
-            held = (byte >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            live = live[held | (probe >= needed[live])]
-        out[live] = at
+        out[live] = at - 1
+        live = live[_held(keys[live], at, filters, starts, bits, probes)]
         at += 1
     return out
 
 
+def _held(keys: np.ndarray, at: int, filters: np.ndarray, starts: np.ndarray, bits: np.ndarray, probes: np.ndarray) -> np.ndarray:
+    """Places in ``keys`` of those that the filters hold with level ``at``."""
+    segment = segment_of(keys, len(bits))
+    own = [np.arange(len(keys)), *_spread(keys, at), starts[segment].astype(np.uint64),
+           bits[segment].astype(np.uint64), probes[segment]]
+    alive = np.ones(len(keys), bool)
+    for probe in range(int(probes.max())):
+        place, first, step, base, size, needed = own
+        spot = (first + np.uint64(probe) * step) % size
+        byte = filters[base + (spot >> np.uint64(3))]
+        alive &= ((byte >> (spot & np.uint64(7)).astype(np.uint8)) & 1 == 1) | (probe >= needed)
+        left = np.count_nonzero(alive)
+        if not left:
+            return place[:0]
+        if 2 * left < len(place):
+            own, alive = [x[alive] for x in own], np.ones(left, bool)
+    return own[0][alive]
+
+
 class Lookup:
     """A model, or some segments of it, as arrays."""
 
-    def __init__(self, rows: Iterable, segments: int) -> None:
-        """``rows`` of the model, sorted by segment, so that keys are sorted as they come."""
+    def __init__(self, rows: Iterable, segments: int, types: int, filter_bytes: int) -> None:
+        """``rows`` of the model, sorted by segment, so that keys are sorted as they come.
+
+        ``types`` and ``filter_bytes`` are the sums over ``rows``: what comes is put in its place, and held once.
+        """
         self.starts, self.bits = np.zeros(segments, np.int64), np.full(segments, 8, np.int64)
         self.probes = np.full(segments, PROBES, np.int64)
-        keys, counts, parts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(1, np.uint8)], 1
-        for r in rows:  # segments without a bigram look at the empty byte in front
-            keys.append(np.frombuffer(r["keys"], np.uint64))
-            counts.append(np.frombuffer(r["counts"], np.int64))
-            parts.append(np.frombuffer(r["filter"], np.uint8))
-            self.starts[r["segment"]], self.bits[r["segment"]] = at, 8 * len(parts[-1])
+        self.keys, self.counts = np.zeros(types, np.uint64), np.zeros(types, np.int64)
+        # Segments without a bigram look at the empty byte in front.
+        self.filters = np.zeros(1 + filter_bytes, np.uint8)
+        word, at = 0, 1
+        for r in rows:
+            own, bits = np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["filter"], np.uint8)
+            self.keys[word : word + len(own)] = own
+            self.counts[word : word + len(own)] = np.frombuffer(r["counts"], np.int64)
+            self.filters[at : at + len(bits)] = bits
+            self.starts[r["segment"]], self.bits[r["segment"]] = at, 8 * len(bits)
             self.probes[r["segment"]] = r["probes"]
-            at += len(parts[-1])
-        self.keys, self.counts, self.filters = np.concatenate(keys), np.concatenate(counts), np.concatenate(parts)
+            word, at = word + len(own), at + len(bits)
         if not len(self.counts) or self.counts.max() < 2**32:
             self.counts = self.counts.astype(np.uint32)
 
@@ -141,9 +159,9 @@ class Lookup:
 def train(docs: DataFrame, segments: int) -> DataFrame:
     """``segment, tokens, keys, counts, probes, filter``: exact unigram counts and the bigram filter, by segment.
 
-    Counts of all rows of ``docs``. A task sums each chunk of tokens in numpy and all its
-    chunks in the aggregation by n-gram, so a frequent n-gram is one row per task in the
-    shuffle, and a segment is built from one row per distinct n-gram.
+    Counts of all rows of ``docs``. A task sums each chunk of tokens before the shuffle, so a
+    frequent n-gram is one row per chunk; they are summed by n-gram after it, where segments
+    lie together, and a segment is built from one row per distinct n-gram.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,8 +208,10 @@ def train(docs: DataFrame, segments: int) -> DataFrame:
 
     # The segment of ``segment_of``, from the key alone.
     segment = F.expr(f"cast(shiftrightunsigned(shiftrightunsigned(key, 32) * {segments}L, 32) AS int)")
-    summed = docs.select("text").mapInPandas(count, "gram byte, key long, n long").groupBy("gram", "key").agg(
-        F.sum("n").alias("n")).select(segment.alias("segment"), "gram", "key", "n")
+    counted = docs.select("text").mapInPandas(count, "gram byte, key long, n long")
+    # Most n-grams are rare: one shuffle by segment serves the sums and the build.
+    summed = counted.select(segment.alias("segment"), "gram", "key", "n").repartition("segment").groupBy(
+        "segment", "gram", "key").agg(F.sum("n").alias("n"))
     return summed.groupBy("segment").applyInPandas(
         build, "segment int, tokens long, keys binary, counts binary, probes int, filter binary")
 
@@ -274,7 +294,7 @@ def _score_shuffled(docs: DataFrame, model: DataFrame, total: int, types: int, s
                 yield pd.concat(parts)
 
     def answer(asked: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        lookup = Lookup(part.to_dict("records"), segments)
+        lookup = Lookup(part.to_dict("records"), segments, part["keys"].map(len).sum() // 8, part["filter"].map(len).sum())
         keys = asked["key"].to_numpy().view(np.uint64)
         values = np.where(asked["role"] == 0, lookup.bigrams(keys), lookup.unigrams(keys))
         return asked[["row", "place", "role", "n"]].assign(value=values)
@@ -328,7 +348,7 @@ def score(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     if 2 * keys + filters <= broadcast_bytes:
         # Part by part, so the driver holds the model once.
         lookup = spark.sparkContext.broadcast(
-            Lookup(model.orderBy("segment").toLocalIterator(), segments))
+            Lookup(model.orderBy("segment").toLocalIterator(), segments, types, filters))
         return _score_here(texts, lookup, total, types)
     return _score_shuffled(texts, model, total, types, segments)
 
