@@ -10,6 +10,12 @@ from candlewick.operators.asof import value_at
 from candlewick.sources import dims
 
 PAIR = "USD/ILS"
+#: Gap rows as stored, and what tells them apart.
+GAPS = (
+    "ticker_us STRING, ticker_tase STRING, timeframe STRING, ts TIMESTAMP, price_us_usd DOUBLE, price_tase_ils DOUBLE, "
+    "usd_ils_rate DOUBLE, price_tase_in_usd DOUBLE, gap_pct DOUBLE, gap_direction STRING, is_opportunity BOOLEAN"
+)
+GAP_KEY = ["ticker_us", "ticker_tase", "timeframe", "ts"]
 
 
 def local_listing(tickers: DataFrame) -> DataFrame:

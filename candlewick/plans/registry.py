@@ -35,6 +35,7 @@ from candlewick.sources import dims
 from candlewick.sources import market as M
 from candlewick.sources import sinks
 from candlewick.sources.schemas import LANDED
+from candlewick.sources.versioned import VersionedTable
 from candlewick.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +101,21 @@ def zones(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.read_zones(spark, _stored[(spark.sparkContext.applicationId, sf, *M.state_of(spark, sf, "lineitem"))])
 
 
+def stored_gaps(spark: SparkSession, sf: str) -> VersionedTable:
+    """The gap table of a folder, written once: a first batch that lacks newer exchange rates, then the corrected rows."""
+    key = ("gaps", spark.sparkContext.applicationId, sf, *M.state_of(spark, sf, "lineitem"), *M.state_of(spark, sf, "orders"))
+    table = VersionedTable(
+        spark, _stored.setdefault(key, f"{shared_folder(spark)}/gaps-{uuid.uuid4().hex}"), AR.GAPS, AR.GAP_KEY)
+    if not table.commits()[1]:
+        bars, rates = stored_bars(spark, sf), M.fx_rates(spark, sf)
+        late = F.col("ts") >= "1995-01-01"
+        gaps, _ = AR.arbitrage_gap(bars, rates)
+        unknown, _ = AR.arbitrage_gap(bars, rates.where("false"))
+        table.append(gaps.where(~late).unionByName(unknown.where(late)), 1)
+        table.append(gaps.where(late), 2)
+    return table
+
+
 def scan_bars(spark: SparkSession, sf: str) -> DataFrame:
     """The bar table with its folder column, for queries over a known period."""
     return stored_bars(spark, sf, with_part=True)
@@ -158,8 +174,7 @@ def price_query(spark, sf):
 
 @query
 def gap_history(spark, sf):
-    gaps, _ = AR.arbitrage_gap(stored_bars(spark, sf), M.fx_rates(spark, sf))
-    return ST.gap_history(gaps, "teva", 5.0)
+    return ST.gap_history(stored_gaps(spark, sf).read(), "teva", 5.0)
 
 
 @query
@@ -199,9 +214,12 @@ def fresh_lookup(spark, sf):
 @query
 def bar_upsert(spark, sf):
     """Daily bars as stored; the batch holds revised and new bars, several per key."""
-    stored = stored_bars(spark, sf)
+    return sinks.merge_bars(stored_bars(spark, sf), _revised_bars(spark, sf), "o_orderkey")
+
+
+def _revised_bars(spark: SparkSession, sf: str) -> DataFrame:
     order = F.pmod("o_orderkey", F.lit(2))
-    batch = M.landed(spark, sf, "orders").select(
+    return M.landed(spark, sf, "orders").select(
         M.symbol("o_custkey").alias("ticker"),
         F.lit("NEW").alias("exchange"),
         (F.col("o_orderdate") + F.make_interval(years=order.cast("int"))).alias("ts"),
@@ -210,7 +228,18 @@ def bar_upsert(spark, sf):
         F.col("o_custkey").alias("volume"),
         "o_orderkey",
     )
-    return sinks.merge_bars(stored, batch, "o_orderkey")
+
+
+@query
+def bar_upsert_versions(spark, sf):
+    """The same upsert into a table that grows by versions: the stored bars, two batches, read merged."""
+    table = VersionedTable(
+        spark, f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}", SERIES, sinks.BAR_KEY, ("exchange", "open", "high", "low"))
+    batch, odd = _revised_bars(spark, sf), F.col("volume") % 2 == 1
+    table.append(stored_bars(spark, sf), 0)
+    table.append(batch.where(odd), 1, "o_orderkey")
+    table.append(batch.where(~odd), 2, "o_orderkey")
+    return table.read()
 
 
 @query
