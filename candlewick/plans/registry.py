@@ -232,10 +232,10 @@ def _revised_bars(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bar_upsert_versions(spark, sf):
-    """The same upsert into a table that grows by versions: the stored bars, two batches, read merged."""
+    """The same upsert into a table that grows by versions: the stored bars, a batch of odd and one of even months."""
     table = VersionedTable(
         spark, f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}", SERIES, sinks.BAR_KEY, ("exchange", "open", "high", "low"))
-    batch, odd = _revised_bars(spark, sf), F.col("volume") % 2 == 1
+    batch, odd = _revised_bars(spark, sf), F.month("ts") % 2 == 1
     table.append(stored_bars(spark, sf), 0)
     table.append(batch.where(odd), 1, "o_orderkey")
     table.append(batch.where(~odd), 2, "o_orderkey")
