@@ -51,3 +51,24 @@ def exact_percentile(
              F.max(F.col("_target") - F.col("_lo")).alias("_w"))
         .select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_w")).alias(name))
     )
+
+
+#: Size of a sketch: ranks are off by 0.4 % of the rows in 99 of 100 sketches (rank error falls as 1 / SKETCH).
+SKETCH = 800
+
+
+def percentile_sketches(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``keys, sketch``: a KLL sketch of the values of each group; NULL and NaN are left out.
+
+    A sketch is at most some 20 kB whatever the group holds, and is built before the shuffle. Kept per
+    group and folder, sketches of new folders are merged with stored ones instead of reading history again.
+    """
+    number = F.col(value).cast("double")
+    return rows.where(number.isNotNull() & ~F.isnan(number)).groupBy(*keys).agg(
+        F.kll_sketch_agg_double(number, F.lit(SKETCH)).alias("sketch"))
+
+
+def sketched_percentile(sketches: DataFrame, keys: list[str], share: float, name: str = "threshold") -> DataFrame:
+    """An approximate percentile per group from sketches of its parts: a value of the group whose rank is near ``share``."""
+    merged = sketches.groupBy(*keys).agg(F.kll_merge_agg_double("sketch", F.lit(SKETCH)).alias("_merged"))
+    return merged.select(*keys, F.kll_sketch_get_quantile_double("_merged", F.lit(share)).alias(name))

@@ -443,6 +443,8 @@ oracle("bar_upsert", """SELECT coalesce(o.ticker, n.ticker) AS ticker, coalesce(
  coalesce(o.ts, n.ts) AS ts, coalesce(o.timeframe, n.timeframe) AS timeframe, coalesce(o.open, n.open) AS open,
  coalesce(o.high, n.high) AS high, coalesce(o.low, n.low) AS low, coalesce(n.close, o.close) AS close,
  coalesce(n.volume, o.volume) AS volume FROM bars o FULL JOIN batch n ON n.ticker = o.ticker AND n.ts = o.ts""")
+oracle("volume_sketch", """SELECT ticker, count(*) AS bars, true AS near FROM bars WHERE volume IS NOT NULL
+ GROUP BY ticker""")
 ORACLE["bar_upsert_versions"] = ORACLE["bar_upsert"]
 
 _KEY = "ticker, timeframe, ts"

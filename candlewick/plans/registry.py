@@ -24,6 +24,7 @@ from candlewick.operators import fundamentals as FU
 from candlewick.operators import indicators as I
 from candlewick.operators import levels as L
 from candlewick.operators import news as N
+from candlewick.operators import percentile as PC
 from candlewick.operators import prices as P
 from candlewick.operators import resample as RS
 from candlewick.operators import signals as SG
@@ -193,6 +194,19 @@ def volume_top_decile(spark, sf):
     return rounded(ST.volume_top_decile(stored_bars(spark, sf)), 6, "threshold")
 
 
+@query
+def volume_sketch(spark, sf):
+    """The volume percentile from sketches per ticker and year: whether its rank is within 1 % (and a bar) of the asked one."""
+    bars = scan_bars(spark, sf).where("volume IS NOT NULL").select("ticker", "part", "volume")
+    level = PC.sketched_percentile(PC.percentile_sketches(bars, ["ticker", "part"], "volume"), ["ticker"], 0.9)
+    below = lambda test: F.sum(F.when(test, 1).otherwise(0)) / F.count(F.lit(1))
+    ranks = bars.join(level, "ticker").groupBy("ticker").agg(
+        F.count(F.lit(1)).alias("bars"), below(F.col("volume") < F.col("threshold")).alias("_low"),
+        below(F.col("volume") <= F.col("threshold")).alias("_high"))
+    room = 0.01 + 1 / F.col("bars")
+    return ranks.select("ticker", "bars", ((F.col("_low") - room <= 0.9) & (F.col("_high") + room >= 0.9)).alias("near"))
+
+
 @query
 def table_counts(spark, sf):
     def counted(name: str, df: DataFrame) -> DataFrame:

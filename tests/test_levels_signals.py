@@ -8,7 +8,7 @@ from candlewick.operators import levels as L
 from candlewick.operators import prices as P
 from candlewick.operators import signals as SG
 from candlewick.operators.asof import value_at
-from candlewick.operators.percentile import exact_percentile
+from candlewick.operators.percentile import exact_percentile, percentile_sketches, sketched_percentile
 
 
 def test_levels_of_a_known_range(make_bars):
@@ -155,3 +155,22 @@ def test_day_change_uses_a_positive_previous_close(spark, make_bars):
 def test_bar_scan_refuses_unknown_periods(make_bars):
     with pytest.raises(ValueError):
         P.bar_scan(make_bars({"A": [1]}), "9y")
+
+
+@pytest.mark.parametrize("share", [0.01, 0.5, 0.9, 0.999])
+def test_sketched_percentile_keeps_its_rank_error(spark, share):
+    rows = spark.range(120_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id % 5) END AS k", "id % 40 AS part",
+        "CASE WHEN id % 11 = 0 THEN NULL WHEN id % 13 = 0 THEN double('NaN') ELSE pow(id % 5003, 2) END AS v")
+    got = {r.k: r.threshold for r in sketched_percentile(percentile_sketches(rows, ["k", "part"], "v"), ["k"], share).collect()}
+    values = rows.where("v IS NOT NULL AND NOT isnan(v)").toPandas()
+    assert set(got) == set(values["k"])
+    for key, own in values.groupby("k")["v"]:
+        assert (own < got[key]).mean() - 0.01 <= share <= (own <= got[key]).mean() + 0.01
+
+
+def test_sketched_percentile_of_few_rows_and_none(spark):
+    few = spark.createDataFrame([("a", 3.0), ("a", 1.0), ("a", 2.0), ("b", None)], "k STRING, v DOUBLE")
+    out = sketched_percentile(percentile_sketches(few, ["k"], "v"), ["k"], 0.5).collect()
+    assert [(r.k, r.threshold) for r in out] == [("a", 2.0)]
+    assert percentile_sketches(few.where("false"), ["k"], "v").count() == 0
