@@ -50,8 +50,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deals all rows to shards whose counts differ by one at most: the columns of ``docs``, ``shard``, ``slot``."""
-    return shard(docs, SHARDS).select("row.*", "shard", "slot")
+    """Deals all rows to shards whose counts differ by one at most: the columns of ``docs``, ``shard``, ``slot``.
+
+    Columns of ``docs`` that have one of these two names already give way to the new ones.
+    """
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return shard(docs, SHARDS).select(*own, "shard", "slot")
 
 
 STAGES = [
