@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.llm.common import held_fold, stored
-from candlewick.llm.shingles import mix64, word_hashes
+from candlewick.llm.shingles import mix64
 
 #: Base of the quantisation: a count is kept as ``1 + floor(log(count) / log(BASE))``.
 BASE = 1.5
@@ -33,8 +33,10 @@ BEGIN = np.uint64(0xA0761D6478BD642F)
 _PRIME = np.uint64(0xE7037ED1A0B428DB)
 
 
-def tokens(text: str | None) -> np.ndarray:
-    return np.append(word_hashes(text), END)
+def tokens(body: bytes | None) -> np.ndarray:
+    """Hashes of the words of a UTF-8 text, A to Z lower-cased, and ``END``. ``bytes.split`` splits at the six ASCII blanks."""
+    words = (body or b"").lower().split()
+    return np.append(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), END)
 
 
 def histories(token: np.ndarray) -> np.ndarray:
@@ -164,10 +166,10 @@ def train(docs: DataFrame, segments: int) -> DataFrame:
     lie together, and a segment is built from one row per distinct n-gram.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def flush() -> Iterator[pd.DataFrame]:
+        def flush() -> Iterator[pa.RecordBatch]:
             token = np.concatenate(held)
             # Every text ends with END, so the token after one begins a text.
             history = histories(token)
@@ -176,13 +178,13 @@ def train(docs: DataFrame, segments: int) -> DataFrame:
                 keys, counts = np.unique(token if order == 1 else bigram_keys(history, token), return_counts=True)
                 for at in range(0, len(keys), CHUNK):
                     own = keys[at : at + CHUNK]
-                    yield pd.DataFrame({
-                        "gram": np.int8(order), "key": own.view(np.int64),
+                    yield pa.RecordBatch.from_pydict({
+                        "gram": np.full(len(own), order, np.int8), "key": own.view(np.int64),
                         "n": counts[at : at + CHUNK].astype(np.int64)})
 
         for batch in batches:
             for text in batch["text"]:
-                held.append(tokens(text))
+                held.append(tokens(text.as_py()))
                 size += len(held[-1])
                 if size >= 5 * CHUNK:
                     yield from flush()
@@ -190,29 +192,26 @@ def train(docs: DataFrame, segments: int) -> DataFrame:
         if held:
             yield from flush()
 
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        out = {"segment": [int(group["segment"].iloc[0])]}
-        for order in (1, 2):
-            own = group[group["gram"] == order]
-            keys, counts = own["key"].to_numpy().view(np.uint64), own["n"].to_numpy()
-            if order == 1:
-                place = np.argsort(keys)
-                keys, counts = keys[place], counts[place]
-                # Words are spread evenly, so a segment knows about how many there are in all.
-                probes = probes_for(segments * len(keys))
-                out |= {"tokens": [int(counts.sum())], "keys": [keys.tobytes()], "counts": [counts.tobytes()],
-                        "probes": [probes]}
-            else:
-                out |= {"filter": [build_filter(keys, counts, probes).tobytes()]}
-        return pd.DataFrame(out)
+    def build(group: pa.Table) -> pa.Table:
+        gram = group["gram"].to_numpy()
+        key, n = group["key"].to_numpy().view(np.uint64), group["n"].to_numpy()
+        place = np.flatnonzero(gram == 1)
+        place = place[np.argsort(key[place])]
+        # Words are spread evenly, so a segment knows about how many there are in all.
+        probes = probes_for(segments * len(place))
+        return pa.table({
+            "segment": group["segment"][:1].cast(pa.int32()), "tokens": pa.array([n[place].sum()], pa.int64()),
+            "keys": pa.array([key[place].tobytes()]), "counts": pa.array([n[place].tobytes()]),
+            "probes": pa.array([probes], pa.int32()),
+            "filter": pa.array([build_filter(key[gram == 2], n[gram == 2], probes).tobytes()])})
 
     # The segment of ``segment_of``, from the key alone.
     segment = F.expr(f"cast(shiftrightunsigned(shiftrightunsigned(key, 32) * {segments}L, 32) AS int)")
-    counted = docs.select("text").mapInPandas(count, "gram byte, key long, n long")
+    counted = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "gram byte, key long, n long")
     # Most n-grams are rare: one shuffle by segment serves the sums and the build.
     summed = counted.select(segment.alias("segment"), "gram", "key", "n").repartition("segment").groupBy(
         "segment", "gram", "key").agg(F.sum("n").alias("n"))
-    return summed.groupBy("segment").applyInPandas(
+    return summed.groupBy("segment").applyInArrow(
         build, "segment int, tokens long, keys binary, counts binary, probes int, filter binary")
 
 
@@ -227,43 +226,57 @@ def _probability(pair: np.ndarray, history: np.ndarray, token: np.ndarray, unigr
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def _pieces(bodies: Iterable) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Tokens of many short texts, or of a part of a long one, at most ``CHUNK`` and a text's rest at once.
+
+    Per piece the rows, where each begins, all tokens and their histories.
+    """
+    rows, held, before, size = [], [], [], 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        length = np.array([len(t) for t in held])
+        return np.array(rows), np.cumsum(length) - length, np.concatenate(held), np.concatenate(before)
+
+    for row, body in enumerate(bodies):
+        token = tokens(body.as_py())
+        history = histories(token)
+        for at in range(0, len(token), CHUNK):
+            rows.append(row)
+            held.append(token[at : at + CHUNK])
+            before.append(history[at : at + CHUNK])
+            size += len(held[-1])
+            if size >= CHUNK:
+                yield joined()
+                rows, held, before, size = [], [], [], 0
+    if rows:
+        yield joined()
+
+
 def _score_here(docs: DataFrame, model, total: int, types: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lookup = model.value
-            row = np.arange(len(batch))
-            found, start = [], 0
-            while start < len(batch):
-                held, size, stop = [], 0, start
-                while stop < len(batch) and size < CHUNK:
-                    held.append(tokens(batch["text"].iloc[stop]))
-                    size += len(held[-1])
-                    stop += 1
-                length = np.array([len(t) for t in held])
-                token = np.concatenate(held)
-                history = histories(token)
-                first = np.cumsum(length) - length
-                history[first] = BEGIN
+            lookup, n = model.value, batch.num_rows
+            sums = {"n_tokens": np.zeros(n, np.int64), "n_known": np.zeros(n, np.int64),
+                    "base_score": np.zeros(n), "score": np.zeros(n)}
+            for row, first, token, history in _pieces(batch["text"]):
                 unique, place = np.unique(token, return_inverse=True)
                 count = lookup.unigrams(unique)[place]
                 before = np.concatenate([[0], count[:-1]])
-                before[first] = lookup.unigrams(np.array([END]))[0]
+                before[first] = lookup.unigrams(np.where(history[first] == BEGIN, END, history[first]))
                 keys, place = np.unique(bigram_keys(history, token), return_inverse=True)
                 pair = lookup.bigrams(keys)[place]
                 unigram = (count + 1) / (total + types + 1)
-                found.append(pd.DataFrame({
-                    "n_tokens": length, "n_known": np.add.reduceat(count > 0, first, dtype=np.int64),
-                    "base_score": np.add.reduceat(np.log10(unigram), first),
-                    "score": np.add.reduceat(np.log10(_probability(pair, before, count, unigram)), first)}))
-                start = stop
-            if len(row):
-                out = pd.concat(found, ignore_index=True)
-                out.insert(0, "held_out", batch["held_out"].to_numpy())
-                out.insert(0, "doc_id", batch["doc_id"])
-                out["train_tokens"] = total
-                yield out[[c.split()[0] for c in _SCORES.split(", ")]]
+                for name, value in (
+                    ("n_tokens", np.ones(len(token), np.int64)), ("n_known", (count > 0).astype(np.int64)),
+                    ("base_score", np.log10(unigram)), ("score", np.log10(_probability(pair, before, count, unigram))),
+                ):
+                    np.add.at(sums[name], row, np.add.reduceat(value, first))
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch["doc_id"], "held_out": batch["held_out"], "n_tokens": sums["n_tokens"],
+                "n_known": sums["n_known"], "train_tokens": np.full(n, total, np.int64),
+                "base_score": sums["base_score"], "score": sums["score"]})
 
-    return docs.mapInPandas(run, _SCORES)
+    return docs.mapInArrow(run, _SCORES)
 
 
 def _score_shuffled(docs: DataFrame, model: DataFrame, total: int, types: int, segments: int) -> DataFrame:
@@ -273,40 +286,34 @@ def _score_shuffled(docs: DataFrame, model: DataFrame, total: int, types: int, s
     and token); a segment meets them batch by batch with its part of the model.
     """
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for row, text in zip(batch["row"], batch["text"]):
-                token = tokens(text)
-                history = histories(token)
-                pair, n = np.unique(np.stack([history, token]), axis=1, return_counts=True)
+            for row, body in zip(batch["row"].to_numpy(), batch["text"]):
+                token = tokens(body.as_py())
+                pair, n = np.unique(np.stack([histories(token), token]), axis=1, return_counts=True)
                 pairs = len(n)
                 keys = np.concatenate([
                     bigram_keys(pair[0], pair[1]), np.where(pair[0] == BEGIN, END, pair[0]), pair[1]])
-                parts.append(pd.DataFrame({
-                    "row": row, "place": np.tile(np.arange(pairs), 3),
+                yield pa.RecordBatch.from_pydict({
+                    "row": np.full(3 * pairs, row), "place": np.tile(np.arange(pairs), 3),
                     "role": np.repeat(np.arange(3, dtype=np.int8), pairs), "n": np.tile(n, 3),
-                    "key": keys.view(np.int64), "segment": segment_of(keys, segments)}))
-                if len(parts) == 256:
-                    yield pd.concat(parts)
-                    parts = []
-            if parts:
-                yield pd.concat(parts)
-
-    def answer(asked: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        lookup = Lookup(part.to_dict("records"), segments, part["keys"].map(len).sum() // 8, part["filter"].map(len).sum())
+                    "key": keys.view(np.int64), "segment": segment_of(keys, segments)})
+
+    def answer(asked: pa.Table, part: pa.Table) -> pa.Table:
+        rows = part.to_pylist()
+        lookup = Lookup(rows, segments, sum(len(r["keys"]) // 8 for r in rows), sum(len(r["filter"]) for r in rows))
         keys = asked["key"].to_numpy().view(np.uint64)
-        values = np.where(asked["role"] == 0, lookup.bigrams(keys), lookup.unigrams(keys))
-        return asked[["row", "place", "role", "n"]].assign(value=values)
+        values = np.where(asked["role"].to_numpy() == 0, lookup.bigrams(keys), lookup.unigrams(keys))
+        return asked.select(["row", "place", "role", "n"]).append_column("value", pa.array(values, pa.float64()))
 
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
     rows = stored(numbered, "rows")
     # Lookups of a segment are cut into slices, so a frequent token's segment is many groups.
     slices = 16
-    asked = rows.select("row", "text").mapInPandas(
+    asked = rows.select("row", "text").mapInArrow(
         ask, "row long, place long, role byte, n long, key long, segment int").withColumn("slice", F.pmod("row", F.lit(slices)).cast("int"))
     parts = model.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    answered = asked.groupBy("segment", "slice").cogroup(parts.groupBy("segment", "slice")).applyInPandas(
+    answered = asked.groupBy("segment", "slice").cogroup(parts.groupBy("segment", "slice")).applyInArrow(
         answer, "row long, place long, role byte, n long, value double")
     value = [F.max(F.when(F.col("role") == r, F.col("value"))).alias(c) for r, c in enumerate(("pair", "history", "token"))]
     unigram = (F.col("token") + 1) / F.lit(float(total + types + 1))
@@ -337,9 +344,10 @@ def score(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     workers; a larger one stays where it is, and lookups are shuffled to it, with the same results.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
+    # Texts reach the workers as bytes: no text is decoded, and a batch is held once.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"),
                         (held_fold(F.col("doc_id"), 7) == 2).alias("held_out"))
-    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     segments = max(32, chars // SEGMENT_CHARS)
     model = stored(train(texts.where("NOT held_out"), segments), "model")
     sizes = model.select(F.octet_length("keys").alias("k"), F.octet_length("filter").alias("f"), "tokens")

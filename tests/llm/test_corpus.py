@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from candlewick.llm import bloom_lm, near_dedup, pii, toxicity
@@ -215,6 +216,22 @@ def test_bloom_scores_against_exact_bigram_counts(make):
     assert equal >= 0.85 * len(docs)
 
 
+def test_bloom_pieces_hold_all_tokens_with_their_histories(monkeypatch):
+    """Texts longer than a piece go on in the next one, after the word that came before."""
+    monkeypatch.setattr(bloom_lm, "CHUNK", 5)
+    rng = random.Random(3)
+    bodies = [prose(rng, n).encode() if n else None for n in (0, 1, 4, 5, 6, 23, 0, 2, 40, 0)]
+    got = collections.defaultdict(lambda: ([], []))
+    for row, first, token, history in bloom_lm._pieces(pa.array(bodies, pa.binary())):
+        assert len(token) == len(history) < 10
+        for r, start, end in zip(row, first, [*first[1:], len(token)]):
+            got[r][0].extend(token[start:end])
+            got[r][1].extend(history[start:end])
+    for row, body in enumerate(bodies):
+        token = bloom_lm.tokens(body)
+        assert got[row] == ([*token], [*bloom_lm.histories(token)])
+
+
 @pytest.mark.parametrize("types", [50, 3000, 200_000])
 def test_bloom_rows_sum_to_one(types):
     """Rare and frequent histories, over the whole vocabulary: false counts add little, quantised counts nothing."""
