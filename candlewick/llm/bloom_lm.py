@@ -25,6 +25,8 @@ BACKOFF = 2000.0
 BROADCAST_BYTES = 384 * 1024 * 1024
 #: Characters of text per segment of the model.
 SEGMENT_CHARS = 2_000_000
+#: Pairs whose level a worker remembers.
+REMEMBERED = 1 << 20
 #: Tokens handled at once in a task.
 CHUNK = 100_000
 
@@ -67,9 +69,17 @@ def probes_for(types: int) -> int:
 
 
 def _spread(keys: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
-    """First place and odd step of the places of a key with a level, before they are taken modulo the filter's bits."""
+    """First place and odd step of the places of a key with a level, on a ring of 2**32."""
     mixed = mix64(keys + np.array([at], np.uint64) * _PRIME)
-    return mixed >> np.uint64(32), (mixed & np.uint64(0xFFFFFFFF)) | np.uint64(1)
+    return (mixed >> np.uint64(32)).astype(np.uint32), mixed.astype(np.uint32) | np.uint32(1)
+
+
+def _spots(ring: np.ndarray, bits: np.ndarray | np.uint64) -> np.ndarray:
+    """Places on the ring scaled to a filter of fewer than 2**32 bits."""
+    spot = ring.astype(np.uint64)
+    spot *= bits
+    spot >>= np.uint64(32)
+    return spot
 
 
 def build_filter(keys: np.ndarray, counts: np.ndarray, probes: int = PROBES) -> np.ndarray:
@@ -82,8 +92,9 @@ def build_filter(keys: np.ndarray, counts: np.ndarray, probes: int = PROBES) ->
         keys = keys[levels >= at]
         levels = levels[levels >= at]
         first, step = _spread(keys, at)
-        for probe in range(probes):
-            table[(first + np.uint64(probe) * step) % np.uint64(bits)] = True
+        for _ in range(probes):
+            table[_spots(first, np.uint64(bits))] = True
+            first += step
     return np.packbits(table, bitorder="little")
 
 
@@ -107,18 +118,22 @@ def probe_levels(
 def _held(keys: np.ndarray, at: int, filters: np.ndarray, starts: np.ndarray, bits: np.ndarray, probes: np.ndarray) -> np.ndarray:
     """Places in ``keys`` of those that the filters hold with level ``at``."""
     segment = segment_of(keys, len(bits))
-    own = [np.arange(len(keys)), *_spread(keys, at), starts[segment].astype(np.uint64),
-           bits[segment].astype(np.uint64), probes[segment]]
+    least = int(probes.min())
+    own = [np.arange(len(keys)), *_spread(keys, at), starts[segment], bits[segment].astype(np.uint64), probes[segment]]
     alive = np.ones(len(keys), bool)
     for probe in range(int(probes.max())):
-        place, first, step, base, size, needed = own
-        spot = (first + np.uint64(probe) * step) % size
-        byte = filters[base + (spot >> np.uint64(3))]
-        alive &= ((byte >> (spot & np.uint64(7)).astype(np.uint8)) & 1 == 1) | (probe >= needed)
+        _, ring, step, base, size, needed = own
+        spot = _spots(ring, size)
+        byte = filters.take(base + (spot >> np.uint64(3)).view(np.int64))
+        held = (byte >> (spot.astype(np.uint8) & np.uint8(7))) & np.uint8(1) == 1
+        if probe >= least:
+            held |= probe >= needed
+        alive &= held
+        ring += step
         left = np.count_nonzero(alive)
         if not left:
-            return place[:0]
-        if 2 * left < len(place):
+            return own[0][:0]
+        if 2 * left < len(alive):
             own, alive = [x[alive] for x in own], np.ones(left, bool)
     return own[0][alive]
 
@@ -147,6 +162,7 @@ class Lookup:
             word, at = word + len(own), at + len(bits)
         if not len(self.counts) or self.counts.max() < 2**32:
             self.counts = self.counts.astype(np.uint32)
+        self.memory = None
 
     def unigrams(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -155,7 +171,20 @@ class Lookup:
         return np.where(self.keys[at] == keys, self.counts[at].astype(np.int64), 0)
 
     def bigrams(self, keys: np.ndarray) -> np.ndarray:
-        return level_count(probe_levels(keys, self.filters, self.starts, self.bits, self.probes))
+        """Counts of distinct keys. The levels found are remembered by key, in ``REMEMBERED`` places that
+        keep the more frequent of two pairs: those take the most lookups, and nearly all texts ask for them.
+        """
+        if self.memory is None:
+            self.memory = np.zeros(REMEMBERED, np.uint64), np.zeros(REMEMBERED, np.int8)
+        known, levels = self.memory
+        place = (keys & np.uint64(REMEMBERED - 1)).astype(np.int64)
+        out = np.where(known[place] == keys, levels[place], 0).astype(np.int64)
+        ask = np.flatnonzero(out == 0)
+        out[ask] = probe_levels(keys[ask], self.filters, self.starts, self.bits, self.probes)
+        ask = ask[out[ask] > levels[place[ask]]]
+        ask = ask[np.argsort(out[ask], kind="stable")]  # of several keys of a place the last one stays
+        known[place[ask]], levels[place[ask]] = keys[ask], out[ask]
+        return level_count(out)
 
 
 def train(docs: DataFrame, segments: int) -> DataFrame:

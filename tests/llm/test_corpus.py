@@ -216,6 +216,20 @@ def test_bloom_scores_against_exact_bigram_counts(make):
     assert equal >= 0.85 * len(docs)
 
 
+def test_bloom_remembered_levels_change_nothing(monkeypatch):
+    """More pairs than places, asked again and again, known and unknown."""
+    monkeypatch.setattr(bloom_lm, "REMEMBERED", 64)
+    rng = np.random.default_rng(8)
+    keys, counts = np.unique(rng.integers(0, 2**63, 900).astype(np.uint64)), rng.geometric(0.1, 900)
+    table = bloom_lm.build_filter(keys[:600], counts[:600])
+    row = {"segment": 0, "keys": b"", "counts": b"", "probes": bloom_lm.PROBES, "filter": table.tobytes()}
+    lookup = bloom_lm.Lookup([row], 1, 0, len(table))
+    plain = bloom_lm.level_count(bloom_lm.probe_levels(keys, lookup.filters, lookup.starts, lookup.bits, lookup.probes))
+    for _ in range(20):
+        some = rng.permutation(len(keys))[:300]
+        assert (lookup.bigrams(keys[some]) == plain[some]).all()
+
+
 def test_bloom_pieces_hold_all_tokens_with_their_histories(monkeypatch):
     """Texts longer than a piece go on in the next one, after the word that came before."""
     monkeypatch.setattr(bloom_lm, "CHUNK", 5)
