@@ -237,8 +237,9 @@ def train(docs: DataFrame, segments: int) -> DataFrame:
     # The segment of ``segment_of``, from the key alone.
     segment = F.expr(f"cast(shiftrightunsigned(shiftrightunsigned(key, 32) * {segments}L, 32) AS int)")
     counted = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "gram byte, key long, n long")
-    # Most n-grams are rare: one shuffle by segment serves the sums and the build.
-    summed = counted.select(segment.alias("segment"), "gram", "key", "n").repartition("segment").groupBy(
+    # Most n-grams are rare: one shuffle by segment serves the sums and the build. As many parts as segments,
+    # which are not merged: a task sums and builds a few segments, whatever the size of the corpus.
+    summed = counted.select(segment.alias("segment"), "gram", "key", "n").repartition(segments, "segment").groupBy(
         "segment", "gram", "key").agg(F.sum("n").alias("n"))
     return summed.groupBy("segment").applyInArrow(
         build, "segment int, tokens long, keys binary, counts binary, probes int, filter binary")
