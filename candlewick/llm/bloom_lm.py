@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -187,12 +188,33 @@ class Lookup:
         return level_count(out)
 
 
+def _packed(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The bytes of ``values``, one binary from each of ``starts`` to the next; nothing is copied."""
+    offsets = np.append(starts, len(values)).astype(np.int32) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def _unpacked(packed: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(packed.to_pylist()), kind)
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, each with the sum of its counts."""
+    if not len(keys):
+        return keys, counts.astype(np.int64)
+    place = np.argsort(keys)
+    keys = keys[place]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(counts[place].astype(np.int64), first)
+
+
 def train(docs: DataFrame, segments: int) -> DataFrame:
     """``segment, tokens, keys, counts, probes, filter``: exact unigram counts and the bigram filter, by segment.
 
     Counts of all rows of ``docs``. A task sums each chunk of tokens before the shuffle, so a
-    frequent n-gram is one row per chunk; they are summed by n-gram after it, where segments
-    lie together, and a segment is built from one row per distinct n-gram.
+    frequent n-gram is counted once per chunk. What a chunk has for a segment is shuffled as one row, its keys
+    and counts packed: rows of single n-grams, most of them rare, filled the heap of the executors. A segment
+    sums its keys and is built in one task; its share of the n-grams is bounded by ``SEGMENT_CHARS``.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,11 +227,11 @@ def train(docs: DataFrame, segments: int) -> DataFrame:
             history[history == END] = BEGIN
             for order in (1, 2):
                 keys, counts = np.unique(token if order == 1 else bigram_keys(history, token), return_counts=True)
-                for at in range(0, len(keys), CHUNK):
-                    own = keys[at : at + CHUNK]
-                    yield pa.RecordBatch.from_pydict({
-                        "gram": np.full(len(own), order, np.int8), "key": own.view(np.int64),
-                        "n": counts[at : at + CHUNK].astype(np.int64)})
+                segment = segment_of(keys, segments)
+                starts = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
+                yield pa.RecordBatch.from_pydict({
+                    "segment": segment[starts], "gram": np.full(len(starts), order, np.int8),
+                    "keys": _packed(keys, starts), "counts": _packed(counts.astype(np.uint32), starts)})
 
         for batch in batches:
             for text in batch["text"]:
@@ -222,26 +244,21 @@ def train(docs: DataFrame, segments: int) -> DataFrame:
             yield from flush()
 
     def build(group: pa.Table) -> pa.Table:
-        gram = group["gram"].to_numpy()
-        key, n = group["key"].to_numpy().view(np.uint64), group["n"].to_numpy()
-        place = np.flatnonzero(gram == 1)
-        place = place[np.argsort(key[place])]
+        grams = [group.filter(pc.equal(group["gram"], order)) for order in (1, 2)]
+        (words, n), (pairs, pair_n) = [
+            _summed(_unpacked(part["keys"], np.uint64), _unpacked(part["counts"], np.uint32)) for part in grams]
         # Words are spread evenly, so a segment knows about how many there are in all.
-        probes = probes_for(segments * len(place))
+        probes = probes_for(segments * len(words))
         return pa.table({
-            "segment": group["segment"][:1].cast(pa.int32()), "tokens": pa.array([n[place].sum()], pa.int64()),
-            "keys": pa.array([key[place].tobytes()]), "counts": pa.array([n[place].tobytes()]),
+            "segment": group["segment"][:1].cast(pa.int32()), "tokens": pa.array([n.sum()], pa.int64()),
+            "keys": pa.array([words.tobytes()]), "counts": pa.array([n.tobytes()]),
             "probes": pa.array([probes], pa.int32()),
-            "filter": pa.array([build_filter(key[gram == 2], n[gram == 2], probes).tobytes()])})
-
-    # The segment of ``segment_of``, from the key alone.
-    segment = F.expr(f"cast(shiftrightunsigned(shiftrightunsigned(key, 32) * {segments}L, 32) AS int)")
-    counted = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "gram byte, key long, n long")
-    # Most n-grams are rare: one shuffle by segment serves the sums and the build. As many parts as segments,
-    # which are not merged: a task sums and builds a few segments, whatever the size of the corpus.
-    summed = counted.select(segment.alias("segment"), "gram", "key", "n").repartition(segments, "segment").groupBy(
-        "segment", "gram", "key").agg(F.sum("n").alias("n"))
-    return summed.groupBy("segment").applyInArrow(
+            "filter": pa.array([build_filter(pairs, pair_n, probes).tobytes()])})
+
+    counted = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(
+        count, "segment int, gram byte, keys binary, counts binary")
+    # As many parts as segments, which are not merged: a task builds a few segments, whatever the size of the corpus.
+    return counted.repartition(segments, "segment").groupBy("segment").applyInArrow(
         build, "segment int, tokens long, keys binary, counts binary, probes int, filter binary")
 
 
@@ -370,7 +387,7 @@ def score(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     empty table; other columns are ignored. Words are told apart by 64-bit hashes.
 
     The model is cut into segments by hash, each built in one task from counts
-    summed before the shuffle. A model of at most ``broadcast_bytes`` goes to all
+    summed and packed before the shuffle. A model of at most ``broadcast_bytes`` goes to all
     workers; a larger one stays where it is, and lookups are shuffled to it, with the same results.
     """
     spark = docs.sparkSession

@@ -216,6 +216,30 @@ def test_bloom_scores_against_exact_bigram_counts(make):
     assert equal >= 0.85 * len(docs)
 
 
+def test_bloom_training_ships_packed_counts(make, capfd):
+    """Many partitions and several chunks in one of them: exact sums, and no row per n-gram in the shuffle."""
+    rng = random.Random(9)
+    docs = [(i, prose(rng, rng.randint(0, 30))) for i in range(200)] + [(500, prose(rng, 300_000)), (501, prose(rng, 300_000)), (502, "End")]
+    model = bloom_lm.train(make(docs).coalesce(2).union(make(docs[:50]).repartition(5)), 40)
+    model.explain()
+    plan = capfd.readouterr().out
+    assert "FlatMapGroupsInArrow" in plan and "Aggregate" not in plan
+    words, pairs = collections.Counter(), collections.Counter()
+    for _, text in [*docs, *docs[:50]]:
+        token = bloom_lm.tokens(text.encode())
+        words.update(token.tolist())
+        pairs.update(bloom_lm.bigram_keys(bloom_lm.histories(token), token).tolist())
+    rows = model.orderBy("segment").collect()
+    keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
+    counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in rows])
+    assert dict(zip(keys.tolist(), counts.tolist())) == words and len(keys) == len(words) and (np.diff(keys.astype(object)) > 0).all()
+    assert sum(r["tokens"] for r in rows) == words.total()
+    key, n = np.array([*pairs], np.uint64), np.array([*pairs.values()])
+    for r in rows:
+        own = bloom_lm.segment_of(key, 40) == r["segment"]
+        assert r["filter"] == bloom_lm.build_filter(key[own], n[own], r["probes"]).tobytes()
+
+
 def test_bloom_remembered_levels_change_nothing(monkeypatch):
     """More pairs than places, asked again and again, known and unknown."""
     monkeypatch.setattr(bloom_lm, "REMEMBERED", 64)
