@@ -77,10 +77,21 @@ def company_profile(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def newest_per_ticker(rows: DataFrame, order: str) -> DataFrame:
+    """The row with the greatest ``order`` of every ticker; a row of NULLs where a ticker has none.
+
+    The greatest ``order`` comes first, from a hash aggregation of two narrow columns. Only rows that
+    carry it are folded: an aggregation of whole rows sorts all of a task's rows in memory.
+    One number per ticker is broadcast.
+    """
     fields = [c for c in rows.columns if c != "ticker"]
-    return rows.groupBy("ticker").agg(F.max_by(F.struct(*fields), order).alias("_row")).select(
-        "ticker", "_row.*"
-    )
+    top = rows.groupBy("ticker").agg(F.max(order).alias("_top")).withColumnRenamed("ticker", "_ticker")
+    newest = rows.join(
+        F.broadcast(top),
+        F.col("ticker").eqNullSafe(F.col("_ticker")) & F.col(order).eqNullSafe(F.col("_top")))
+    known = F.when(F.col("_top").isNotNull(), F.struct(*fields))
+    return newest.select("ticker", "_top", known.alias("_row")).groupBy("ticker").agg(
+        F.max_by("_row", "_top").alias("_row")
+    ).select("ticker", "_row.*")
 
 
 def display_texts(profile: DataFrame) -> DataFrame:

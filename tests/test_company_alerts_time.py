@@ -27,6 +27,23 @@ def test_profile_casts_and_fallbacks(spark):
     assert [r.ticker for r in bad.collect()] == ["NONE"]
 
 
+def test_newest_facts_without_sorting_whole_rows(spark):
+    """Every ticker keeps one row, also the one without a name and those without a number; only its newest rows are folded."""
+    rows = [("a", 1, {"k": "old"}), ("a", 7, {"k": "new"}), ("a", None, {"k": "none"}), ("a", 7, {"k": "new"}),
+            ("b", None, {"k": "x"}), ("b", None, {"k": "y"}), (None, 3, {"k": "nobody"}), (None, 2, None), ("c", 4, None)]
+    facts = spark.createDataFrame(rows, "ticker STRING, fact_id BIGINT, facts MAP<STRING, STRING>")
+    newest = FU.newest_per_ticker(facts, "fact_id")
+    assert newest.columns == ["ticker", "fact_id", "facts"]
+    assert sorted(map(tuple, newest.collect()), key=str) == sorted(
+        [("a", 7, {"k": "new"}), ("b", None, None), (None, 3, {"k": "nobody"}), ("c", 4, None)], key=str)
+    assert FU.newest_per_ticker(facts.limit(0), "fact_id").collect() == []
+    # Below the join, from the scan on, nothing is sorted: the aggregation there is one of two narrow columns.
+    plan = newest._jdf.queryExecution().sparkPlan().toString()
+    folded, _, below = plan.partition("BroadcastHashJoin")
+    assert "max_by" in folded and "HashAggregate" in below and "partial_max(fact_id" in below
+    assert "Sort" not in below and "max_by" not in below
+
+
 def test_surprises(spark):
     rows = [("A", 2.40, 2.35, 124.3e9, 123.0e9), ("B", 1.0, None, None, 5.0), ("C", 1.0, 0.0, 4.0, 5.0),
             ("D", None, 1.0, None, 1.0), ("E", -1.0, -2.0, None, None)]
