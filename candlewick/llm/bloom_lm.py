@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import tempfile
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -139,30 +140,41 @@ def _held(keys: np.ndarray, at: int, filters: np.ndarray, starts: np.ndarray, bi
     return own[0][alive]
 
 
+def _mapped(size: int, kind: type) -> np.ndarray:
+    """Zeros in a file without a name, whose pages the system takes back when memory is short."""
+    with tempfile.TemporaryFile() as file:
+        # A plain array, which pickle writes as it lies; it copies a memmap first.
+        return np.asarray(np.memmap(file, kind, "w+", shape=max(1, size)))[:size]
+
+
 class Lookup:
     """A model, or some segments of it, as arrays."""
 
-    def __init__(self, rows: Iterable, segments: int, types: int, filter_bytes: int) -> None:
+    def __init__(self, rows: Iterable, segments: int, types: int, filter_bytes: int, zeros: Callable = np.zeros) -> None:
         """``rows`` of the model, sorted by segment, so that keys are sorted as they come.
 
-        ``types`` and ``filter_bytes`` are the sums over ``rows``: what comes is put in its place, and held once.
+        ``types`` and ``filter_bytes`` are the sums over ``rows``: what comes is put in its place, and held once,
+        in arrays that ``zeros`` makes.
         """
         self.starts, self.bits = np.zeros(segments, np.int64), np.full(segments, 8, np.int64)
         self.probes = np.full(segments, PROBES, np.int64)
-        self.keys, self.counts = np.zeros(types, np.uint64), np.zeros(types, np.int64)
+        self.keys, self.counts = zeros(types, np.uint64), zeros(types, np.uint32)
         # Segments without a bigram look at the empty byte in front.
-        self.filters = np.zeros(1 + filter_bytes, np.uint8)
+        self.filters = zeros(1 + filter_bytes, np.uint8)
         word, at = 0, 1
         for r in rows:
             own, bits = np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["filter"], np.uint8)
+            counts = np.frombuffer(r["counts"], np.int64)
+            if counts.max(initial=0) >= 2**32 and self.counts.dtype == np.uint32:
+                wider = zeros(types, np.int64)
+                wider[:word] = self.counts[:word]
+                self.counts = wider
             self.keys[word : word + len(own)] = own
-            self.counts[word : word + len(own)] = np.frombuffer(r["counts"], np.int64)
+            self.counts[word : word + len(own)] = counts
             self.filters[at : at + len(bits)] = bits
             self.starts[r["segment"]], self.bits[r["segment"]] = at, 8 * len(bits)
             self.probes[r["segment"]] = r["probes"]
             word, at = word + len(own), at + len(bits)
-        if not len(self.counts) or self.counts.max() < 2**32:
-            self.counts = self.counts.astype(np.uint32)
         self.memory = None
 
     def unigrams(self, keys: np.ndarray) -> np.ndarray:
@@ -401,9 +413,9 @@ def score(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     keys, filters, total = [n or 0 for n in sizes.agg(F.sum("k"), F.sum("f"), F.sum("tokens")).first()]
     types = keys // 8
     if 2 * keys + filters <= broadcast_bytes:
-        # Part by part, so the driver holds the model once.
+        # Segment by segment into mapped files, so the driver's memory holds none of the model for long.
         lookup = spark.sparkContext.broadcast(
-            Lookup(model.orderBy("segment").toLocalIterator(), segments, types, filters))
+            Lookup(model.orderBy("segment").toLocalIterator(), segments, types, filters, _mapped))
         return _score_here(texts, lookup, total, types)
     return _score_shuffled(texts, model, total, types, segments)
 

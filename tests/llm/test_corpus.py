@@ -2,8 +2,11 @@
 
 import collections
 import math
+import pickle
 import random
 import re
+import tempfile
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -254,6 +257,43 @@ def test_bloom_remembered_levels_change_nothing(monkeypatch):
         assert (lookup.bigrams(keys[some]) == plain[some]).all()
 
 
+def test_bloom_driver_holds_no_model(spark, monkeypatch):
+    """As it is broadcast, and as it is pickled, the model's arrays take none of the driver's memory."""
+    docs = spark.range(800).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 300), x -> md5(concat(id, ':', x)))) AS text")
+    sent, send = [], spark.sparkContext.broadcast
+
+    def broadcast(value):
+        own = tracemalloc.take_snapshot().filter_traces([tracemalloc.Filter(True, bloom_lm.__file__)])
+        before, _ = tracemalloc.get_traced_memory()
+        tracemalloc.reset_peak()
+        with tempfile.TemporaryFile() as file:
+            pickle.dump(value, file, pickle.HIGHEST_PROTOCOL)
+            sent.append((sum(t.size for t in own.traces), tracemalloc.get_traced_memory()[1] - before, file.tell()))
+        return send(value)
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", broadcast)
+    tracemalloc.start()
+    try:
+        frame = bloom_lm.score(docs)
+    finally:
+        tracemalloc.stop()
+    [(held, copied, size)] = sent
+    assert size > 12 * 200_000 and held < size / 4 and copied < size / 4  # 200,000 words and more, each with its hash and count
+    assert frame.where("n_tokens <> 301 OR n_known <> IF(held_out, 1, 301)").count() == 0
+
+
+@pytest.mark.parametrize("large", [0, 1, 2])
+def test_bloom_counts_beyond_32_bits(large):
+    words = np.arange(1, 7, dtype=np.uint64)
+    counts = np.array([5, 6, 7, 8, 2**32 - 1, 9]) + [2**32 if large == at // 2 + 1 else 0 for at in range(6)]
+    rows = [{"segment": at, "keys": words[2 * at:2 * at + 2].tobytes(), "counts": counts[2 * at:2 * at + 2].tobytes(),
+             "probes": bloom_lm.PROBES, "filter": b"\0" * 8} for at in range(3)]
+    for lookup in (bloom_lm.Lookup(rows, 3, 6, 24), pickle.loads(pickle.dumps(bloom_lm.Lookup(rows, 3, 6, 24, bloom_lm._mapped)))):
+        assert lookup.unigrams(np.append(words, words[-1:] + np.uint64(1))).tolist() == [*counts.tolist(), 0]
+        assert lookup.counts.dtype == (np.int64 if large else np.uint32)
+    assert not bloom_lm.Lookup([], 3, 0, 0, bloom_lm._mapped).unigrams(words).any()
+
+
 def test_bloom_pieces_hold_all_tokens_with_their_histories(monkeypatch):
     """Texts longer than a piece go on in the next one, after the word that came before."""
     monkeypatch.setattr(bloom_lm, "CHUNK", 5)
