@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.llm.common import held_fold, stored
@@ -29,6 +30,8 @@ BROADCAST_BYTES = 384 * 1024 * 1024
 SEGMENT_CHARS = 2_000_000
 #: Pairs whose level a worker remembers.
 REMEMBERED = 1 << 20
+#: Texts in a batch that a worker gets; Spark's default of 10,000 is held several times over between JVM and worker.
+TEXTS = 1000
 #: Tokens handled at once in a task.
 CHUNK = 100_000
 
@@ -282,6 +285,18 @@ def _probability(pair: np.ndarray, history: np.ndarray, token: np.ndarray, unigr
     return (np.minimum(pair, np.minimum(history, token)) + BACKOFF * unigram) / (history + BACKOFF)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside pass at most ``TEXTS`` rows to a worker at once; then the session's own setting holds again."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(name)
+    spark.conf.set(name, str(min(TEXTS, int(own)) if int(own) > 0 else TEXTS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
+
+
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -400,7 +415,8 @@ def score(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
 
     The model is cut into segments by hash, each built in one task from counts
     summed and packed before the shuffle. A model of at most ``broadcast_bytes`` goes to all
-    workers; a larger one stays where it is, and lookups are shuffled to it, with the same results.
+    workers, and goes once the scores are written; a larger one stays where it is, and lookups are
+    shuffled to it, with the same results.
     """
     spark = docs.sparkSession
     # Texts reach the workers as bytes: no text is decoded, and a batch is held once.
@@ -408,7 +424,8 @@ def score(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
                         (held_fold(F.col("doc_id"), 7) == 2).alias("held_out"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     segments = max(32, chars // SEGMENT_CHARS)
-    model = stored(train(texts.where("NOT held_out"), segments), "model")
+    with _small_batches(spark):
+        model = stored(train(texts.where("NOT held_out"), segments), "model")
     sizes = model.select(F.octet_length("keys").alias("k"), F.octet_length("filter").alias("f"), "tokens")
     keys, filters, total = [n or 0 for n in sizes.agg(F.sum("k"), F.sum("f"), F.sum("tokens")).first()]
     types = keys // 8
@@ -416,6 +433,11 @@ def score(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
         # Segment by segment into mapped files, so the driver's memory holds none of the model for long.
         lookup = spark.sparkContext.broadcast(
             Lookup(model.orderBy("segment").toLocalIterator(), segments, types, filters, _mapped))
-        return _score_here(texts, lookup, total, types)
+        # Scores are written at once, so driver, executors and workers can let go of the model.
+        try:
+            with _small_batches(spark):
+                return stored(_score_here(texts, lookup, total, types), "scores")
+        finally:
+            lookup.destroy()
     return _score_shuffled(texts, model, total, types, segments)
 

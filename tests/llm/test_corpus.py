@@ -2,6 +2,7 @@
 
 import collections
 import math
+import os
 import pickle
 import random
 import re
@@ -282,6 +283,26 @@ def test_bloom_driver_holds_no_model(spark, monkeypatch):
     assert frame.where("n_tokens <> 301 OR n_known <> IF(held_out, 1, 301)").count() == 0
 
 
+def test_bloom_lets_go_of_the_model_and_keeps_the_session(make, spark, monkeypatch):
+    """Once a frame is returned its model is gone everywhere, batches were small, and the setting is as it was."""
+    name, sent, rows, send, count = "spark.sql.execution.arrow.maxRecordsPerBatch", [], [], spark.sparkContext.broadcast, bloom_lm._score_here
+    docs = [(i, f"w{i} a b") for i in range(40)]
+    whole = sorted(bloom_lm.score(make(docs)).collect())
+
+    def seen(frame, *rest):
+        rows.append(spark.conf.get(name))
+        return count(frame, *rest)
+
+    monkeypatch.setattr(bloom_lm, "TEXTS", 3)
+    monkeypatch.setattr(bloom_lm, "_score_here", seen)
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(send(value)) or sent[0])
+    before = spark.conf.get(name)
+    frame = bloom_lm.score(make(docs))
+    assert rows == ["3"] and spark.conf.get(name) == before
+    assert len(sent) == 1 and not os.path.exists(sent[0]._path)
+    assert sorted(frame.collect()) == whole
+
+
 @pytest.mark.parametrize("large", [0, 1, 2])
 def test_bloom_counts_beyond_32_bits(large):
     words = np.arange(1, 7, dtype=np.uint64)
