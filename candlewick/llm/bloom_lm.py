@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -24,7 +25,7 @@ PROBES = 6
 EXCESS = 0.02
 #: Weight of the unigram distribution after each history, in counts.
 BACKOFF = 2000.0
-#: Largest model that is broadcast; a larger one is looked up by shuffling the lookups.
+#: Largest model that is broadcast; texts that may have a larger one are cut into chunks, whose n-grams are shuffled.
 BROADCAST_BYTES = 384 * 1024 * 1024
 #: Characters of text per segment of the model.
 SEGMENT_CHARS = 2_000_000
@@ -34,6 +35,10 @@ REMEMBERED = 1 << 20
 TEXTS = 1000
 #: Tokens handled at once in a task.
 CHUNK = 100_000
+#: Tokens of a stored chunk: each of its distinct n-grams is shuffled once.
+STORED_CHUNK = 1_000_000
+#: Bytes of the stored chunks that a worker gets at once.
+BATCH_BYTES = 8 * 1024 * 1024
 
 END = np.uint64(xxhash.xxh64_intdigest(b""))  # no word is empty
 BEGIN = np.uint64(0xA0761D6478BD642F)
@@ -59,6 +64,11 @@ def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
     return (((keys >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)).astype(np.int32)
 
 
+def floors(segment: np.ndarray, segments: int) -> np.ndarray:
+    """The least key of each segment."""
+    return ((segment.astype(np.uint64) << np.uint64(32)) + np.uint64(segments - 1)) // np.uint64(segments) << np.uint64(32)
+
+
 def level(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / np.log(BASE) + 1e-9).astype(np.int64)
 
@@ -223,6 +233,13 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts[place].astype(np.int64), first)
 
 
+def _segment_filter(words: np.ndarray, pairs: np.ndarray, counts: np.ndarray, segments: int) -> tuple[np.ndarray, int]:
+    """The filter of a segment and its number of hash functions, from its distinct words and pairs."""
+    # Words are spread evenly, so a segment knows about how many there are in all.
+    probes = probes_for(segments * len(words))
+    return build_filter(pairs, counts, probes), probes
+
+
 def train(docs: DataFrame, segments: int) -> DataFrame:
     """``segment, tokens, keys, counts, probes, filter``: exact unigram counts and the bigram filter, by segment.
 
@@ -262,13 +279,11 @@ def train(docs: DataFrame, segments: int) -> DataFrame:
         grams = [group.filter(pc.equal(group["gram"], order)) for order in (1, 2)]
         (words, n), (pairs, pair_n) = [
             _summed(_unpacked(part["keys"], np.uint64), _unpacked(part["counts"], np.uint32)) for part in grams]
-        # Words are spread evenly, so a segment knows about how many there are in all.
-        probes = probes_for(segments * len(words))
+        table, probes = _segment_filter(words, pairs, pair_n, segments)
         return pa.table({
             "segment": group["segment"][:1].cast(pa.int32()), "tokens": pa.array([n.sum()], pa.int64()),
             "keys": pa.array([words.tobytes()]), "counts": pa.array([n.tobytes()]),
-            "probes": pa.array([probes], pa.int32()),
-            "filter": pa.array([build_filter(pairs, pair_n, probes).tobytes()])})
+            "probes": pa.array([probes], pa.int32()), "filter": pa.array([table.tobytes()])})
 
     counted = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(
         count, "segment int, gram byte, keys binary, counts binary")
@@ -285,23 +300,37 @@ def _probability(pair: np.ndarray, history: np.ndarray, token: np.ndarray, unigr
     return (np.minimum(pair, np.minimum(history, token)) + BACKOFF * unigram) / (history + BACKOFF)
 
 
+def _terms(pair: np.ndarray, history: np.ndarray, token: np.ndarray, total: int, types: int) -> dict[str, np.ndarray]:
+    """What each token adds to the sums of its text, from the counts of the pair, its history and itself."""
+    unigram = (token + 1) / (total + types + 1)
+    return {"n_tokens": np.ones(len(token), np.int64), "n_known": (token > 0).astype(np.int64),
+            "base_score": np.log10(unigram), "score": np.log10(_probability(pair, history, token, unigram))}
+
+
 @contextmanager
 def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Jobs that run inside pass at most ``TEXTS`` rows to a worker at once; then the session's own setting holds again."""
+    """Jobs that run inside pass at most ``TEXTS`` rows or about ``BATCH_BYTES`` to a worker at once, and their shuffle
+    files go as each ends; then the session's own settings hold again.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    own = spark.conf.get(name)
-    spark.conf.set(name, str(min(TEXTS, int(own)) if int(own) > 0 else TEXTS))
+    rows = int(spark.conf.get(name))
+    small = {name: str(min(TEXTS, rows) if rows > 0 else TEXTS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
+             "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    own = {name: spark.conf.get(name) for name in small}
     try:
+        for name, value in small.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.set(name, own)
+        for name, value in own.items():
+            spark.conf.set(name, value)
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _pieces(bodies: Iterable) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Tokens of many short texts, or of a part of a long one, at most ``CHUNK`` and a text's rest at once.
+def _pieces(bodies: Iterable, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Tokens of many short texts, or of parts of a long one, at most ``most`` (``CHUNK``) and a text's rest at once.
 
     Per piece the rows, where each begins, all tokens and their histories.
     """
@@ -319,7 +348,7 @@ def _pieces(bodies: Iterable) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
             held.append(token[at : at + CHUNK])
             before.append(history[at : at + CHUNK])
             size += len(held[-1])
-            if size >= CHUNK:
+            if size >= (most or CHUNK):
                 yield joined()
                 rows, held, before, size = [], [], [], 0
     if rows:
@@ -338,12 +367,7 @@ def _score_here(docs: DataFrame, model, total: int, types: int) -> DataFrame:
                 before = np.concatenate([[0], count[:-1]])
                 before[first] = lookup.unigrams(np.where(history[first] == BEGIN, END, history[first]))
                 keys, place = np.unique(bigram_keys(history, token), return_inverse=True)
-                pair = lookup.bigrams(keys)[place]
-                unigram = (count + 1) / (total + types + 1)
-                for name, value in (
-                    ("n_tokens", np.ones(len(token), np.int64)), ("n_known", (count > 0).astype(np.int64)),
-                    ("base_score", np.log10(unigram)), ("score", np.log10(_probability(pair, before, count, unigram))),
-                ):
+                for name, value in _terms(lookup.bigrams(keys)[place], before, count, total, types).items():
                     np.add.at(sums[name], row, np.add.reduceat(value, first))
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch["doc_id"], "held_out": batch["held_out"], "n_tokens": sums["n_tokens"],
@@ -353,49 +377,180 @@ def _score_here(docs: DataFrame, model, total: int, types: int) -> DataFrame:
     return docs.mapInArrow(run, _SCORES)
 
 
-def _score_shuffled(docs: DataFrame, model: DataFrame, total: int, types: int, segments: int) -> DataFrame:
-    """The same scores for a model of any size: lookups travel to the segments and back.
+def _narrow(values: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, int]:
+    """Whole numbers as their low bytes, as many as the largest takes: one binary from each of ``starts`` to the next."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    low = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+    offsets = np.append(starts, len(values)).astype(np.int32) * width
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(low)]), width
+
+
+def _wide(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+def _gaps(keys: np.ndarray, starts: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Keys in order as distances, from the key before or, at each of ``starts`` that has keys, from its base."""
+    out = np.diff(keys, prepend=np.uint64(0))
+    full = starts < np.append(starts[1:], len(keys))
+    out[starts[full]] = keys[starts[full]] - base[full]
+    return out
+
+
+_CHUNK = ("row array<long>, doc_id array<long>, held_out array<boolean>, length array<int>, before array<int>, "
+          "width int, words binary, tokens binary")
+
+
+def _chunks(texts: DataFrame) -> DataFrame:
+    """Texts as tokens, ``STORED_CHUNK`` and a part of a text at most in a row.
 
-    Each text gives its distinct bigrams with three lookups each (pair, history
-    and token); a segment meets them batch by batch with its part of the model.
+    ``words`` are the hashes that occur, in order, as distances of ``width`` bytes; ``tokens`` places among them, all
+    first bytes in front of all second ones. Per text or part of a text: whose it is, its number of tokens, and the
+    place of the word ``before`` it.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        about, seen = {}, itertools.count()
+
+        def bodies() -> Iterator:
+            for batch in batches:
+                for own, body in zip(batch.select(["row", "doc_id", "held_out"]).to_pylist(), batch["text"]):
+                    about[next(seen)] = own
+                    yield body
+
+        start = np.zeros(1, np.int64)
+        for rows, first, token, history in _pieces(bodies(), STORED_CHUNK):
+            words, place = np.unique(np.concatenate([token, history[first], np.array([BEGIN, END])]), return_inverse=True)
+            packed, width = _narrow(_gaps(words, start, np.zeros(1, np.uint64)), start)
+            own, place = [about[r] for r in rows.tolist()], place.astype("<u4")
+            size = len(token)
+            yield pa.RecordBatch.from_pydict({
+                "row": pa.array([[o["row"] for o in own]], pa.list_(pa.int64())),
+                "doc_id": pa.array([[o["doc_id"] for o in own]], pa.list_(pa.int64())),
+                "held_out": pa.array([[o["held_out"] for o in own]], pa.list_(pa.bool_())),
+                "length": pa.array([np.diff(np.append(first, size)).astype(np.int32)]),
+                "before": pa.array([place[size : size + len(first)].astype(np.int32)]),
+                "width": pa.array([width], pa.int32()), "words": packed,
+                "tokens": pa.array([place[:size].view(np.uint8).reshape(-1, 4).T.tobytes()])})
+            # The last text may go on.
+            last = int(rows[-1])
+            for r in [r for r in about if r < last]:
+                del about[r]
+
+    numbered = texts.withColumn("row", F.monotonically_increasing_id())
+    return numbered.mapInArrow(cut, _CHUNK).withColumn("chunk", F.monotonically_increasing_id())
+
+
+def _opened(chunk: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a chunk, the places of each token and of its history among them, and where its texts begin."""
+    words = np.cumsum(_wide(chunk["words"], chunk["width"]), dtype=np.uint64)
+    token = np.ascontiguousarray(np.frombuffer(chunk["tokens"], np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    first = np.cumsum(chunk["length"]) - chunk["length"]
+    history = np.empty_like(token)
+    history[1:] = token[:-1]
+    history[first] = chunk["before"]
+    return words, token, history, first
+
+
+def _answers(chunks: DataFrame, segments: int) -> DataFrame:
+    """``chunk, segment, n_width, n, levels, tokens, types``: what the model knows of the n-grams of each chunk.
+
+    Per segment the counts of a chunk's words and the levels that the filter has for its pairs, both in the order of
+    their hashes. A chunk sends each distinct n-gram once, with its count in the texts that are trained on, to the
+    segment's task; that sums them, builds the filter and looks the same n-grams up in it. ``tokens`` and ``types``
+    of a segment stand at one of its rows. A task's share of the n-grams is bounded by ``SEGMENT_CHARS``.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment = np.arange(segments)
+        base = floors(segment, segments)
         for batch in batches:
-            for row, body in zip(batch["row"].to_numpy(), batch["text"]):
-                token = tokens(body.as_py())
-                pair, n = np.unique(np.stack([histories(token), token]), axis=1, return_counts=True)
-                pairs = len(n)
-                keys = np.concatenate([
-                    bigram_keys(pair[0], pair[1]), np.where(pair[0] == BEGIN, END, pair[0]), pair[1]])
-                yield pa.RecordBatch.from_pydict({
-                    "row": np.full(3 * pairs, row), "place": np.tile(np.arange(pairs), 3),
-                    "role": np.repeat(np.arange(3, dtype=np.int8), pairs), "n": np.tile(n, 3),
-                    "key": keys.view(np.int64), "segment": segment_of(keys, segments)})
-
-    def answer(asked: pa.Table, part: pa.Table) -> pa.Table:
-        rows = part.to_pylist()
-        lookup = Lookup(rows, segments, sum(len(r["keys"]) // 8 for r in rows), sum(len(r["filter"]) for r in rows))
-        keys = asked["key"].to_numpy().view(np.uint64)
-        values = np.where(asked["role"].to_numpy() == 0, lookup.bigrams(keys), lookup.unigrams(keys))
-        return asked.select(["row", "place", "role", "n"]).append_column("value", pa.array(values, pa.float64()))
-
-    numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    rows = stored(numbered, "rows")
-    # Lookups of a segment are cut into slices, so a frequent token's segment is many groups.
-    slices = 16
-    asked = rows.select("row", "text").mapInArrow(
-        ask, "row long, place long, role byte, n long, key long, segment int").withColumn("slice", F.pmod("row", F.lit(slices)).cast("int"))
-    parts = model.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    answered = asked.groupBy("segment", "slice").cogroup(parts.groupBy("segment", "slice")).applyInArrow(
-        answer, "row long, place long, role byte, n long, value double")
-    value = [F.max(F.when(F.col("role") == r, F.col("value"))).alias(c) for r, c in enumerate(("pair", "history", "token"))]
-    unigram = (F.col("token") + 1) / F.lit(float(total + types + 1))
-    term = (F.least("pair", "history", "token") + BACKOFF * unigram) / (F.col("history") + BACKOFF)
-    summed = answered.groupBy("row", "place").agg(F.first("n").alias("n"), *value).groupBy("row").agg(
-        F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("token") > 0, F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("n") * F.log10(unigram)).alias("base_score"), F.sum(F.col("n") * F.log10(term)).alias("score"))
-    return rows.join(summed, "row").select(
+            for chunk in range(batch.num_rows):
+                [own] = batch.slice(chunk, 1).to_pylist()
+                words, token, history, _ = _opened(own)
+                trained = np.repeat(~np.array(own["held_out"]), own["length"])
+                n = np.bincount(token[trained], minlength=len(words))
+                pairs = bigram_keys(words[history], words[token])
+                place = np.argsort(pairs)
+                pairs = pairs[place]
+                first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+                pair_n = np.add.reduceat(trained[place].astype(np.int64), first)
+                out, held = {"chunk": np.full(segments, own["chunk"]), "segment": segment.astype(np.int32)}, np.zeros(segments, bool)
+                for name, keys, counts in (("word", words, n), ("pair", pairs[first], pair_n)):
+                    starts = np.searchsorted(keys, base)
+                    for kind, values in (("", _gaps(keys, starts, base)), ("_n", counts)):
+                        out[name + kind], width = _narrow(values, starts)
+                        out[f"{name}{kind}_width"] = np.full(segments, width, np.int8)
+                    held |= np.diff(np.append(starts, len(keys))) > 0
+                yield pa.RecordBatch.from_pydict(out).filter(pa.array(held))
+
+    def answer(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        [base] = floors(np.array([rows[0]["segment"]]), segments)
+
+        def summed(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """Distinct keys of all chunks with their counts; the place of each chunk's keys among them, chunk after chunk."""
+            keys = [base + np.cumsum(_wide(r[name], r[f"{name}_width"]), dtype=np.uint64) for r in rows]
+            counts = np.concatenate([_wide(r[f"{name}_n"], r[f"{name}_n_width"]) for r in rows])
+            starts = np.cumsum([0, *map(len, keys)])[:-1]
+            keys, place = np.unique(np.concatenate(keys), return_inverse=True)
+            # Sums of whole numbers below 2**53 are exact.
+            return keys, np.bincount(place, counts, len(keys)).astype(np.int64), place, starts
+
+        words, n, word_place, word_starts = summed("word")
+        pairs, pair_n, pair_place, pair_starts = summed("pair")
+        known = n > 0
+        table, probes = _segment_filter(words[known], pairs[pair_n > 0], pair_n[pair_n > 0], segments)
+        levels = probe_levels(pairs, table, np.array([0]), np.array([8 * len(table)]), np.array([probes]))
+        counts, width = _narrow(n[word_place], word_starts)
+        once = np.arange(len(rows)) == 0
+        return pa.table({
+            "chunk": group["chunk"], "segment": group["segment"], "n_width": np.full(len(rows), width, np.int8), "n": counts,
+            "levels": _packed(levels.astype(np.int8)[pair_place], pair_starts),
+            "tokens": np.where(once, n.sum(), 0), "types": np.where(once, np.count_nonzero(known), 0)})
+
+    asked = chunks.mapInArrow(ask, "chunk long, segment int, " + ", ".join(
+        f"{name}{kind} binary, {name}{kind}_width byte" for name in ("word", "pair") for kind in ("", "_n")))
+    # As many parts as segments, as in training.
+    return asked.repartition(segments, "segment").groupBy("segment").applyInArrow(
+        answer, "chunk long, segment int, n_width byte, n binary, levels binary, tokens long, types long")
+
+
+def _score_shuffled(texts: DataFrame, segments: int) -> DataFrame:
+    """The same scores for a model of any size, of which a task builds and holds one segment at a time.
+
+    Each chunk of texts sends its distinct n-grams, packed, to the segments and gets counts and levels back.
+    """
+    spark = texts.sparkSession
+    # A row is megabytes: row groups are to be bounded by size, not by rows.
+    packed = {"compression": "zstd", "parquet.page.size.row.check.min": "1", "parquet.block.size": str(BATCH_BYTES)}
+    with _small_batches(spark):
+        chunks = stored(_chunks(texts), "chunks", **packed)
+        answers = stored(_answers(chunks, segments), "answers", compression="zstd")
+    total, types = [n or 0 for n in answers.agg(F.sum("tokens"), F.sum("types")).first()]
+
+    def finish(chunk: pa.Table, found: pa.Table) -> pa.Table:
+        [own] = chunk.to_pylist()
+        words, token, history, first = _opened(own)
+        rows = sorted(found.to_pylist(), key=lambda r: r["segment"])
+        known = np.concatenate([_wide(r["n"], r["n_width"]) for r in rows]).astype(np.int64)
+        # A text begins as often as one ends.
+        known[words == BEGIN] = known[words == END]
+        _, place = np.unique(bigram_keys(words[history], words[token]), return_inverse=True)
+        pair = level_count(np.frombuffer(b"".join(r["levels"] for r in rows), np.int8))[place]
+        return pa.table({
+            **{name: pa.array(own[name], kind) for name, kind in (("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()))},
+            **{name: np.add.reduceat(value, first) for name, value in _terms(pair, known[history], known[token], total, types).items()}})
+
+    sums, parts = ["n_tokens", "n_known", "base_score", "score"], max(32, segments // 2)
+    # As many parts as there are chunks, about, whatever the session's number: what a task sorts stays small.
+    sides = [side.repartition(parts, "chunk").groupBy("chunk") for side in (chunks, answers.drop("tokens", "types"))]
+    scored = sides[0].cogroup(sides[1]).applyInArrow(
+        finish, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    # A long text lies in several chunks.
+    return scored.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in sums]).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
@@ -414,30 +569,30 @@ def score(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     empty table; other columns are ignored. Words are told apart by 64-bit hashes.
 
     The model is cut into segments by hash, each built in one task from counts
-    summed and packed before the shuffle. A model of at most ``broadcast_bytes`` goes to all
-    workers, and goes once the scores are written; a larger one stays where it is, and lookups are
-    shuffled to it, with the same results.
+    summed and packed before the shuffle. A model that takes at most ``broadcast_bytes``, by a bound from the
+    size of the texts, goes to all workers, and goes once the scores are written. Any other is held nowhere as a
+    whole: chunks of texts send their n-grams to the segments and get counts and levels back, with the same results.
     """
     spark = docs.sparkSession
     # Texts reach the workers as bytes: no text is decoded, and a batch is held once.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"),
                         (held_fold(F.col("doc_id"), 7) == 2).alias("held_out"))
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    chars, rows = [n or 0 for n in docs.agg(F.sum(F.length("text")), F.count("*")).first()]
     segments = max(32, chars // SEGMENT_CHARS)
+    # At most chars / 2 + 1.5 * rows tokens; a token adds at most 16 bytes of words and, with up to 20 hash functions, 3.6 of filters.
+    if 10 * chars + 30 * rows > broadcast_bytes:
+        return _score_shuffled(texts, segments)
     with _small_batches(spark):
         model = stored(train(texts.where("NOT held_out"), segments), "model")
     sizes = model.select(F.octet_length("keys").alias("k"), F.octet_length("filter").alias("f"), "tokens")
     keys, filters, total = [n or 0 for n in sizes.agg(F.sum("k"), F.sum("f"), F.sum("tokens")).first()]
     types = keys // 8
-    if 2 * keys + filters <= broadcast_bytes:
-        # Segment by segment into mapped files, so the driver's memory holds none of the model for long.
-        lookup = spark.sparkContext.broadcast(
-            Lookup(model.orderBy("segment").toLocalIterator(), segments, types, filters, _mapped))
-        # Scores are written at once, so driver, executors and workers can let go of the model.
-        try:
-            with _small_batches(spark):
-                return stored(_score_here(texts, lookup, total, types), "scores")
-        finally:
-            lookup.destroy()
-    return _score_shuffled(texts, model, total, types, segments)
-
+    # Segment by segment into mapped files, so the driver's memory holds none of the model for long.
+    lookup = spark.sparkContext.broadcast(
+        Lookup(model.orderBy("segment").toLocalIterator(), segments, types, filters, _mapped))
+    # Scores are written at once, so driver, executors and workers can let go of the model.
+    try:
+        with _small_batches(spark):
+            return stored(_score_here(texts, lookup, total, types), "scores")
+    finally:
+        lookup.destroy()

@@ -50,15 +50,15 @@ def held_fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def stored(frame: DataFrame, name: str) -> DataFrame:
-    """``frame`` written to a new folder below ``spark.checkpoint.dir`` and read again.
+def stored(frame: DataFrame, name: str, **options: str) -> DataFrame:
+    """``frame`` written, with ``options`` of the writer, to a new folder below ``spark.checkpoint.dir`` and read again.
 
     Files in the shared folder outlive the executors that wrote them, and the
     steps that follow start from them instead of computing the frame again.
     """
     spark = frame.sparkSession
     path = scratch(spark, name)
-    frame.write.parquet(path)
+    frame.write.options(**options).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 

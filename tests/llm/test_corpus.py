@@ -15,6 +15,7 @@ import pyarrow as pa
 import pytest
 
 from candlewick.llm import bloom_lm, near_dedup, pii, toxicity
+from candlewick.llm.common import scratch
 from candlewick.llm.decontaminate import leaks
 from candlewick.llm.graph import components
 from candlewick.llm.line_dedup import line_dedup
@@ -200,6 +201,58 @@ def test_bloom_scores_both_paths_and_exact_base(make):
             assert math.isclose(r["base_score"], sum(math.log10((counts[x] + 1) / (total + types + 1)) for x in w), rel_tol=1e-9)
 
 
+def test_bloom_scores_of_chunks_are_those_of_a_broadcast_model(make, monkeypatch):
+    """Odd rows, many chunks, and texts that go on in further chunks."""
+    rng = random.Random(31)
+    docs = [*ODD, *((10 + i, prose(rng, rng.randint(0, 60))) for i in range(150)),
+            *((200 + i, " ".join(rng.choice(WORDS) + str(rng.randint(0, 9)) for _ in range(110_000))) for i in range(2))]
+    frame = make(docs).repartition(3)
+    monkeypatch.setattr(bloom_lm, "STORED_CHUNK", 300)
+    by = lambda rows: sorted((tuple(round(v, 5) if isinstance(v, float) else v for v in r) for r in rows), key=str)
+    here, there = bloom_lm.score(frame), bloom_lm.score(frame, broadcast_bytes=0)
+    assert here.dtypes == there.dtypes
+    assert len(by(here.collect())) == len(docs) and by(here.collect()) == by(there.collect())
+
+
+def test_bloom_chunks_take_little_disk(make, spark):
+    """Stored chunks and answers, and what is shuffled: less than twice the texts; 16 times when each lookup was a row."""
+    rng = random.Random(32)
+    docs = [(i, " ".join("w" + str(int(rng.paretovariate(0.7))) for _ in range(300))) for i in range(1200)]
+    local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shared = os.path.dirname(scratch(spark, "x"))
+
+    def disk():
+        files = local.getAllFiles()
+        found = {str(f): f.length() for f in (files.apply(i) for i in range(files.size()))}
+        return found | {f: os.path.getsize(f) for at, _, names in os.walk(shared.removeprefix("file:")) for f in (f"{at}/{x}" for x in names)}
+
+    frame, before = make(docs), disk()
+    scored = bloom_lm.score(frame, broadcast_bytes=0)
+    assert len(scored.collect()) == len(docs)
+    size = sum(n for name, n in disk().items() if name not in before)
+    assert 0 < size < 2 * sum(len(t) for _, t in docs)
+
+
+@pytest.mark.parametrize("segments", [1, 32, 33, 5000])
+def test_bloom_packed_keys_and_counts(segments):
+    """Keys of all segments, also of those without any, come back from their distances."""
+    rng = np.random.default_rng(segments)
+    for n in (0, 1, 2, 700):
+        keys = np.unique(np.append(rng.integers(0, 2**64, n, dtype=np.uint64), np.array([0, 2**64 - 1][:n], np.uint64)))
+        base = bloom_lm.floors(np.arange(segments), segments)
+        assert (bloom_lm.segment_of(base, segments) == np.arange(segments)).all()
+        assert (bloom_lm.segment_of(base[1:] - np.uint64(1), segments) == np.arange(segments - 1)).all()
+        starts = np.searchsorted(keys, base)
+        packed, width = bloom_lm._narrow(bloom_lm._gaps(keys, starts, base), starts)
+        back = [base[s] + np.cumsum(bloom_lm._wide(x, width), dtype=np.uint64) for s, x in enumerate(packed.to_pylist())]
+        assert len(back) == segments and np.concatenate(back).tolist() == keys.tolist()
+        assert all((bloom_lm.segment_of(x, segments) == s).all() for s, x in enumerate(back))
+    for most in (0, 255, 256, 2**40):
+        packed, width = bloom_lm._narrow(np.array([most, 0, 3]), np.array([0, 0, 1]))
+        assert width == max(1, -(-most.bit_length() // 8))
+        assert [bloom_lm._wide(x, width).tolist() for x in packed.to_pylist()] == [[], [most], [0, 3]]
+
+
 def test_bloom_scores_against_exact_bigram_counts(make):
     """False counts only raise a score, and few texts have one."""
     rng = random.Random(21)
